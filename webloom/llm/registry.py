@@ -1,14 +1,21 @@
 """Queries of the training-data operators by name, and the same in DuckDB SQL."""
 
-from webloom.llm import line_dedup, ngram_join, substring_dedup
+from webloom.llm import chat, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_chat_formatting": chat.OP3_SQL,
+    "op4_source_mixing": mixing.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
 }
