@@ -1,6 +1,6 @@
 """Queries of the training-data operators by name, and the same in DuckDB SQL."""
 
-from webloom.llm import chat, line_dedup, mixing, ngram_join, packing, quality, substring_dedup
+from webloom.llm import chat, html_text, line_dedup, media, mixing, ngram_join, packing, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -8,6 +8,9 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_media_columns": media.op6_media_columns,
+    "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_packing": packing.op10_packing,
 }
