@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,5 +40,18 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder that driver and executors share (``spark.checkpoint.dir``) and read it back.
+
+    That cuts its lineage, and the files outlive any executor. Only where the session names no folder one under /tmp is used.
+    """
+    spark = df.sparkSession
+    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = f"{top}/webloom/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
