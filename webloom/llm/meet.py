@@ -3,7 +3,7 @@
 Rows are (key, id). Every map task first combines its own rows: a key that several local
 ids share is answered at once, and only the key's smallest local id travels on, so however
 many rows a key has, each map task sends it once. Rows travel as packed, compressed arrays by
-bucket of the key; a bucket is met by a vectorised sort.
+bucket of the key; a bucket is met by a vectorised sort. Answers travel alike, by bucket of the id.
 
 Answers are (id, values), the values being 64-bit numbers:
 
@@ -82,8 +82,16 @@ def answers(ident: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, bytes]]
 
 
 def _answer_rows(ident: np.ndarray, value: np.ndarray, n_buckets: int) -> tuple[list, list, list, list]:
-    rows = list(answers(ident, value))
-    return [(k * 0x9E3779B1 >> 7) % n_buckets for k, _ in rows], [1] * len(rows), [k & 0x7FFFFFFF for k, _ in rows], [k.to_bytes(8, "little", signed=True) + v for k, v in rows]
+    """Packed answers by bucket of the id."""
+    if not len(ident):
+        return [], [], [], []
+    name = ident.view(np.uint64)
+    bucket = (name ^ (name >> np.uint64(17)) ^ (name >> np.uint64(31))) % np.uint64(n_buckets)
+    order = np.lexsort((value, name, bucket))
+    bucket, name, value = bucket[order], name[order], value[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    to = np.append(at[1:], len(name))
+    return bucket[at].astype(np.int64).tolist(), [1] * len(at), (to - at).tolist(), [pack(name[i:j], value[i:j].view(np.int64)) for i, j in zip(at, to, strict=True)]
 
 
 def _batches(cols: tuple[list, list, list, list], limit: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -101,7 +109,7 @@ def sender(emit: Callable[[pa.RecordBatch], Iterable[tuple]], mode: str, n_bucke
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         to = np.append(at[1:], len(key))
         yield from _batches(([int(b) for b in bucket[at]], [0] * len(at), [int(x) for x in to - at], [pack(key[i:j], ident[i:j]) for i, j in zip(at, to, strict=True)]), 64)
-        yield from _batches(_answer_rows(told, value, n_buckets))
+        yield from _batches(_answer_rows(told, value, n_buckets), 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -121,11 +129,8 @@ def sender(emit: Callable[[pa.RecordBatch], Iterable[tuple]], mode: str, n_bucke
     return run
 
 
-def receiver(mode: str, passes: bool = False):
-    """For mapInArrow over rows sorted by bucket: (id, payload); with ``passes`` also kind 2 as it came."""
-
-    def answer(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["id", "payload"])
+def receiver(mode: str, n_buckets: int):
+    """For mapInArrow over the rows of whole buckets: packed answers; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, told, n_told = None, [], [], 0
@@ -142,36 +147,65 @@ def receiver(mode: str, passes: bool = False):
 
         def tell() -> Iterator[pa.RecordBatch]:
             if told:
-                rows = list(answers(*(np.concatenate([x[i] for x in told]) for i in (0, 1))))
+                yield from _batches(_answer_rows(*(np.concatenate([x[i] for x in told]) for i in (0, 1)), n_buckets), 64)
                 told.clear()
-                for lo in range(0, len(rows), 4096):
-                    yield answer(rows[lo : lo + 4096])
 
         for batch in batches:
             through = []
-            for bucket, kind, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if kind == 0:
-                    if bucket != now:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[1] == 0:
+                    if row[0] != now:
                         n_told += close()
-                        now = bucket
+                        now = row[0]
                         if n_told >= FLUSH:
                             yield from tell()
                             n_told = 0
-                    held.append(unpack(blob, n))
-                elif kind == 1:
-                    through.append((int.from_bytes(blob[:8], "little", signed=True), blob[8:]))
-                elif passes:
-                    through.append((None, blob))
+                    held.append(unpack(row[3], row[2]))
+                else:
+                    through.append(row)
             if through:
-                yield answer(through)
+                yield from _batches(tuple(map(list, zip(*through, strict=True))))
         close()
         yield from tell()
 
     return run
 
 
-def meet(rows: DataFrame, emit: Callable, mode: str, n_buckets: int, passes: bool = False) -> DataFrame:
-    """(id, payload) answers for what ``emit`` yields from the batches of ``rows``."""
-    sent = rows.mapInArrow(sender(emit, mode, n_buckets), PACKED)
-    dealt = sent.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(receiver(mode, passes), ANSWER)
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over the answers of whole buckets: one row for each id, and the rows of kind 2."""
+    now, held = None, []
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows), 4096):
+            ids, payload = zip(*rows[lo : lo + 4096], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], names=["id", "payload"])
+
+    def close() -> list[tuple]:
+        if not held:
+            return []
+        name, value = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        held.clear()
+        return list(answers(name.view(np.int64), value.view(np.uint64)))
+
+    for batch in batches:
+        through = []
+        for bucket, kind, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == 2:
+                through.append((None, blob))
+                continue
+            if bucket != now:
+                yield from out(close())
+                now = bucket
+            held.append(unpack(blob, n))
+        yield from out(through)
+    yield from out(close())
+
+
+def meet(rows: DataFrame, emit: Callable, mode: str, n_buckets: int) -> DataFrame:
+    """(id, payload) for what ``emit`` yields from the batches of ``rows``: one row for each id with an answer, and
+    one without an id for each row that is passed on."""
+    # A bucket is a partition: as many packed rows as map tasks times buckets, and none meets by chance.
+    deal = lambda df: df.repartitionById(n_buckets, F.col("bucket").cast("int"))
+    sent = deal(rows.mapInArrow(sender(emit, mode, n_buckets), PACKED))
+    told = deal(sent.mapInArrow(receiver(mode, n_buckets), PACKED))
+    return told.mapInArrow(_gather, ANSWER)

@@ -5,10 +5,14 @@ from __future__ import annotations
 import gc
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Input bytes for which one more bucket of a keyed exchange is made.
 BYTES_PER_BUCKET = 64 << 20
+#: A scan that tells of more than this doesn't know its size.
+UNKNOWN = 1 << 60
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,15 +39,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for the steps that use it; what a lost executor held is worked out again.
+
+    For tables of a fixed number of steps. Rounds, whose lineage would grow, use ``materialise``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def plain(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns with the wanted types; without a cast where they have them, so equal scans stay equal."""
+    have = dict(df.dtypes)
+    return df.select(*[F.col(f"`{c}`") if have.get(c) == kind else F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
+
+
 def buckets(df: DataFrame) -> int:
-    """Buckets for a keyed exchange over ``df``: they follow the input and the shuffle width."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= 1 << 62:  # unknown
-        size = 0
-    return max(4 * parts, size // BYTES_PER_BUCKET)
+    """Buckets for a keyed exchange over ``df``: they follow the bytes that its scans read and the shuffle width."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < UNKNOWN)
+    return int(max(parts(df.sparkSession), known // BYTES_PER_BUCKET))
 
 
 def parts(spark: SparkSession) -> int:
+    """The shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

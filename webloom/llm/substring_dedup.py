@@ -60,7 +60,7 @@ def _emit_anchors(width: int):
 
 
 def _payload(cell) -> np.ndarray:
-    return np.frombuffer(b"".join(cell), np.uint64)
+    return np.frombuffer(cell or b"", np.uint64)
 
 
 def _emit_windows(width: int):
@@ -117,10 +117,6 @@ def _remove(schema: pa.Schema, width: int):
     return run
 
 
-def _told(answers: DataFrame) -> DataFrame:
-    return answers.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("payload").alias("payload"))
-
-
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id``, ``text``, ``kept_text``, ``n_words``, ``n_removed`` for every row of ``docs``.
 
@@ -136,15 +132,17 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < 2 * PERIOD - 1:
         raise ValueError(f"width must be {2 * PERIOD - 1} or more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = shared.plain(docs, doc_id="bigint", text="string")
     n = shared.buckets(docs)
     named = docs.where(F.col("doc_id").isNotNull())
-    flagged = _told(meet(named, _emit_anchors(width), "shared", n))
+    # Both joins merge, at every size, so that the texts' exchange is one and the same.
+    told = lambda answers: answers.withColumnRenamed("id", "doc_id").hint("merge")
+    flagged = told(meet(named, _emit_anchors(width), "shared", n))
     again = named.join(flagged, "doc_id")
-    found = _told(meet(again, _emit_windows(width), "later", n))
+    found = told(meet(again, _emit_windows(width), "later", n))
     out = T.StructType([*docs.schema, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-    rest = docs.where(F.col("doc_id").isNull()).withColumn("payload", F.lit(None).cast("array<binary>"))
+    rest = docs.where(F.col("doc_id").isNull()).withColumn("payload", F.lit(None).cast("binary"))
     return named.join(found, "doc_id", "left").unionByName(rest).mapInArrow(_remove(arrow, width), out)
 
 
