@@ -77,7 +77,7 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _emit(width: int, num: int, den: int):
+def _emit(width: int, num: int, den: int, n_buckets: int):
     low, blocks = _intervals(num, den)
 
     def emit(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -92,7 +92,7 @@ def _emit(width: int, num: int, den: int):
                 d = _digest(key[bounds[k] : bounds[k + 1]]) if size[k] and ok[k] else b""
                 info.append((bytes([int(ok[k])]) + (int(own[k]) if ok[k] else 0).to_bytes(8, "little", signed=True) + int(size[k]).to_bytes(8, "little") + d))
             # dealt out evenly; read again by _unpack_info
-            yield None, ([int(x) for x in (np.arange(n) * 7919 + rows.start) % 1009], [2] * n, [0] * n, info)
+            yield None, (((np.arange(n) * 7919 + rows.start) % n_buckets).tolist(), [2] * n, [0] * n, info)
             at = np.searchsorted(low, np.maximum(size, 1), "right") - 1
             for back in (0, 1):  # as the smaller size of its interval, and as the larger of the one below
                 space = at - back
@@ -212,11 +212,12 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     are classed each by its own text; other columns are ignored; an empty table gives an empty one.
     Shingles are told by 64-bit hashes, sets by 128-bit digests.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = shared.materialise(meet(docs, _emit(width, num, den), "star", shared.buckets(docs), passes=True), "ngram-meet")
+    docs = shared.plain(docs, doc_id="bigint", text="string")
+    n = shared.buckets(docs)
+    found = shared.keep(meet(docs, _emit(width, num, den, n), "star", n))
     info = _info(found)
     classes = info.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = shared.materialise(info.join(classes, "digest", "left"), "ngram-members")
+    member = shared.keep(info.join(classes, "digest", "left"))
     # Equal sets share all blocks, so an edge's ends are replaced by the classes' smallest ids.
     rep = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     edge = found.where("id IS NOT NULL").mapInArrow(_edges, "a long, b long").distinct()
@@ -228,8 +229,8 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     size = size.select("family", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     family = family.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     known = member.where("doc_id = rep").select("doc_id", "digest").distinct()
-    family = shared.materialise(family.join(known, "doc_id"), "ngram-families")
-    text = docs.join(family, "doc_id")
+    family = shared.keep(family.join(known, "doc_id"))
+    text = docs.join(family.hint("merge"), "doc_id")
     lead = F.col("doc_id") == F.col("family")
     # The family's first row goes to each of its blocks.
     spread = text.withColumn("to", F.explode(F.when(lead & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
@@ -237,7 +238,7 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     work = lambda t: _row_blocks(t, width, num, den)
     cols = ["doc_id", "text", "digest", "side", "label"]
     local = spread.select("family", "to", *cols[:3], F.lit(2).alias("side"), F.col("doc_id").alias("label")).groupBy("family", "to").applyInPandas(work, out)
-    local = shared.materialise(local.distinct(), "ngram-local")
+    local = shared.keep(local.distinct())
     big = family.where("blocks > 1")
     link = local.where("doc_id <> root").toDF("a", "b")
     label = components(link).toDF("doc_id", "label")
@@ -247,14 +248,14 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
         # What is outside its family's largest component meets all of the family's blocks.
         part = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         most = part.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-        part = shared.materialise(part.join(most.where("labels > 1"), "family").withColumn("rest", F.col("label") != F.col("main")), "ngram-parts")
+        part = shared.keep(part.join(most.where("labels > 1"), "family").withColumn("rest", F.col("label") != F.col("main")))
         rests = part.where("rest").groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rests"))
         part = part.join(rests, "family").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rests")).cast("int"))
-        here = docs.join(part.drop("n"), "doc_id")
+        here = docs.join(part.drop("n").hint("merge"), "doc_id")
         probe = here.where("rest").select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols[:3], F.lit(0).alias("side"), "label")
         held = here.select("family", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("group"), "block", *cols[:3], F.lit(1).alias("side"), "label")
         cross = probe.unionByName(held).groupBy("family", "group", "block").applyInPandas(lambda t: _cross(t, width, num, den), out)
-        cross = shared.materialise(cross.where("doc_id <> root").distinct().toDF("a", "b").unionByName(link), "ngram-links")
+        cross = shared.keep(cross.where("doc_id <> root").distinct().toDF("a", "b").unionByName(link))
         final = components(cross).toDF("doc_id", "label")
     done = member.join(final.toDF("rep", "label"), "rep", "left")
     return done.select("doc_id", "n_shingles", "digest", F.coalesce("label", "rep", "doc_id").alias("component_id"))
