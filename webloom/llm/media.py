@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm import shared
+
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 RATE, CHUNK = 8000, 65536
@@ -267,7 +269,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """Each text's UTF-8 bytes, with zeros up to a positive multiple of 64, as a container: ``key``, ``media``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shared.plain(docs, doc_id="bigint", text="string")
     return rows.mapInArrow(_store, "key struct<doc_id:bigint,n_bytes:bigint>, media binary")
 
 

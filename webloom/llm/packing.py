@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm import shared
+
 WINDOW, LEAST = 1024, 128
 #: Ids of leftovers that are packed together, and ids of a step group.
 POOL, GROUP = 1 << 19, 32 * WINDOW
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     empty one. A task's sequence ids begin with its partition, so they are unique, and the same
     when the task runs again over the same rows in the same order.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shared.plain(docs, doc_id="bigint", text="string")
     return rows.mapInArrow(_pack(vocabulary, ranks), SCHEMA)
 
 

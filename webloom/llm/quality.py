@@ -104,7 +104,7 @@ def ablations(book: DataFrame, version: str = "v2") -> DataFrame:
 def passing(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with their columns; no exchange."""
     name = "_quality_row"
-    held = docs.withColumn(name, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
     rows = held.select(F.col(f"{name}.doc_id").alias("doc_id"), F.col(f"{name}.text").alias("text"), name)
     book = apply_policy(_beside(rows, name), version)
     return book.where("kept").select(*[F.col(f"{name}.`{c}`").alias(c) for c in docs.columns])

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm import shared
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -180,7 +182,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty one. Spans of decoded layers that lie within a base span of
     their kind are that span. Inflated data are read to their end, in pieces.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shared.plain(docs, doc_id="bigint", text="string")
     return rows.mapInArrow(_scan, SCHEMA)
 
 
