@@ -69,6 +69,14 @@ def fold_path(path: Column) -> Column:
     return let(folded, lambda f: F.when(path.rlike("^//($|[^/])"), F.concat(F.when(f == "", F.lit("//")).otherwise(F.concat(F.lit("/"), f)))).when(f == "", F.lit("/")).otherwise(f))
 
 
+def _without_dots(path: Column) -> Column:
+    """Dot parts taken out as a reference is resolved: empty parts count as parts, and a last part of dots names a folder."""
+    kept = F.aggregate(F.split(path, "/"), F.lit(""), lambda a, s: F.when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).when(s == ".", a).otherwise(F.concat(a, F.lit("/"), s)))
+    kept = F.substring(F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.lit("/"))).otherwise(kept), 2, 1 << 30)
+    rooted = let(kept, lambda k: F.when(F.startswith(k, F.lit("/")), k).otherwise(F.concat(F.lit("/"), k)))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), rooted).otherwise(path)
+
+
 def resolve(raw: Column, base: Column | None) -> Column:
     """struct(scheme, netloc, path, query) of a reference against a base URL."""
     own = split(raw)
@@ -79,10 +87,9 @@ def resolve(raw: Column, base: Column | None) -> Column:
         r, b = x["r"], x["b"]
         relative = b["scheme"].isNotNull() & F.coalesce(r["scheme"], b["scheme"]).eqNullSafe(b["scheme"]) & r["netloc"].isNull()
         bare = r["path"] == ""
-        merged = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(F.concat(F.regexp_replace(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "[^/]*$", ""), r["path"]))
-        # A last part of dots names a directory.
-        merged = F.when(merged.rlike(r"(^|/)\.\.?$"), F.concat(merged, F.lit("/"))).otherwise(merged)
-        path = F.when(bare, b["path"]).otherwise(F.regexp_replace(merged, "/{2,}", "/"))
+        folder = F.regexp_replace(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "[^/]*$", "")
+        merged = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(F.regexp_replace(F.concat(folder, r["path"]), "/{2,}", "/"))
+        path = F.when(bare, b["path"]).otherwise(let(merged, _without_dots))
         query = F.when(bare & F.coalesce(r["query"] == "", F.lit(True)), b["query"]).otherwise(r["query"])
         inside = F.struct(b["scheme"].alias("scheme"), b["netloc"].alias("netloc"), path.alias("path"), query.alias("query"))
         outside = F.struct(F.coalesce(r["scheme"], b["scheme"]).alias("scheme"), r["netloc"].alias("netloc"), r["path"].alias("path"), r["query"].alias("query"))

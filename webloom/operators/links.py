@@ -40,12 +40,13 @@ def page_links(pages: DataFrame, scope: Scope | None = None) -> DataFrame:
     """(page_id, pos, key): the pages that each page links to. A scope without hosts takes every host."""
     scope = scope or Scope()
     keys = page_keys(F.coalesce(F.col("html"), F.lit("")), F.col("url"), scope)
-    return pages.select("page_id", F.posexplode(keys).alias("pos", "key"))
+    # The outer form: for the other one the optimizer adds a filter that works all keys out again.
+    return pages.select("page_id", F.posexplode_outer(keys).alias("pos", "key")).where("key IS NOT NULL")
 
 
 def all_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, raw, fetch_url, key) of every link element, pos being its tag's number from 1."""
-    tags = pages.select("page_id", "url", F.posexplode(H.tags(F.col("html"))).alias("p", "tag"))
+    tags = pages.select("page_id", "url", F.posexplode_outer(H.tags(F.col("html"))).alias("p", "tag")).where("tag IS NOT NULL")
     raw = tags.where(H.tag_name(F.col("tag")) == "a").select("page_id", "url", (F.col("p") + 1).alias("pos"), U.strip(H.attr(F.col("tag"), "href")).alias("raw")).where("raw <> ''")
     return raw.select("*", U.canonical(F.col("raw"), F.col("url")).alias("c")).select("page_id", "url", "pos", "raw", F.col("c.fetch_url").alias("fetch_url"), F.col("c.key").alias("key"))
 
@@ -74,7 +75,7 @@ def page_assets(pages: DataFrame) -> DataFrame:
     """(page_id, pos, fetch_url, key) of the assets that pages and their inline styles name, each once for a page."""
     refs = F.array_distinct(F.concat(asset_refs(F.col("html")), css_refs(F.col("html"))))
     canon = U.let(H.base_url(F.col("html"), F.col("url")), lambda b: F.filter(F.transform(refs, lambda r: U.canonical(r, b)), lambda c: c.isNotNull()))
-    rows = pages.select("page_id", F.posexplode(canon).alias("p", "c")).select("page_id", "p", F.col("c.fetch_url").alias("fetch_url"), F.col("c.key").alias("key"))
+    rows = pages.select("page_id", F.posexplode_outer(canon).alias("p", "c")).where("c IS NOT NULL").select("page_id", "p", F.col("c.fetch_url").alias("fetch_url"), F.col("c.key").alias("key"))
     return rows.groupBy("page_id", "key").agg(F.min("p").alias("pos"), F.min_by("fetch_url", "p").alias("fetch_url"))
 
 

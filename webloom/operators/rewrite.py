@@ -162,7 +162,7 @@ def rewrite_pages(pages: DataFrame, captured: DataFrame, assets: DataFrame | Non
     html, url = F.coalesce("html", F.lit("")), F.col("url")
     fragmentless = F.transform(L.candidates(html, scope), lambda r: F.when(F.startswith(r, F.lit("#")), r).otherwise(F.regexp_extract(r, "^([^#]*)", 1)))
     raws = F.array_distinct(F.concat(fragmentless, L.asset_refs(html), L.css_refs(html), F.filter(F.transform(H.tags(html), lambda t: F.when(H.tag_name(t) == "link", U.strip(F.coalesce(H.attr(t, "href"), F.lit(""))))), lambda v: v.isNotNull())))
-    refs = pages.select("page_id", "path", H.base_url(html, url).alias("base"), raws.alias("raws")).select("page_id", "path", "base", F.explode("raws").alias("raw")).where("raw <> ''")
+    refs = pages.select("page_id", "path", H.base_url(html, url).alias("base"), raws.alias("raws")).select("page_id", "path", "base", F.explode_outer("raws").alias("raw")).where("raw <> ''")
     canon = refs.withColumn("c", U.canonical(F.col("raw"), F.col("base"), scope.keep_query)).where("c IS NOT NULL").select("page_id", "path", "raw", F.col("c.fetch_url").alias("absolute"), F.col("c.key").alias("key"))
     found = canon.join(captured.select("key", F.col("path").alias("to")), "key", "left").withColumn("page", U.relative_link(F.col("path"), F.col("to"))).drop("to")
     if assets is not None:

@@ -67,6 +67,10 @@ def sql_fold(path: str) -> str:
     return f"(CASE WHEN regexp_matches({path}, '^//($|[^/])') THEN CASE WHEN {fold} = '' THEN '//' ELSE '/' || {fold} END WHEN {fold} = '' THEN '/' ELSE {fold} END)"
 
 
+def sql_dots(path: str) -> str:
+    return f"list_reduce(list_prepend('', string_split({path}, '/')), lambda a, s: CASE WHEN s = '.' THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END)"
+
+
 def _restore(x: str, codes: str) -> str:
     for code, c in [x.split("=", 1) for x in codes.split()]:
         x = f"replace({x}, '%{code}', {quoted(c)})"
@@ -112,9 +116,9 @@ def sql_canonical(out: str, source: str, raw: str = "raw", base: str = "base", k
 {out}_b AS (SELECT *, lower(regexp_extract(r_, '{_SCHEME}', 1)) AS rs_, regexp_matches(r_, '{_NET}') AS rh_, regexp_extract(r_, '{_NET}', 1) AS rn_, regexp_extract(r_, '{_PATH}', 1) AS rp_, regexp_extract(r_, '^[^#?]*\?([^#]*)', 1) AS rq_,
   lower(regexp_extract(b_, '{_SCHEME}', 1)) AS bs_, regexp_extract(b_, '{_NET}', 1) AS bn_, coalesce(nullif(regexp_extract(b_, '{_PATH}', 1), ''), '/') AS bp_, regexp_extract(b_, '^[^#?]*\?([^#]*)', 1) AS bq_ FROM {out}_a),
 {out}_c AS (SELECT *, bs_ <> '' AND rs_ IN ('', bs_) AND NOT rh_ AS in_, coalesce(nullif(rs_, ''), bs_) AS s_,
-  CASE WHEN rp_ LIKE '/%' THEN rp_ ELSE regexp_replace(bp_, '[^/]*$', '') || rp_ END AS m_ FROM {out}_b),
+  CASE WHEN rp_ LIKE '/%' THEN rp_ ELSE regexp_replace(regexp_replace(bp_, '[^/]*$', '') || rp_, '/+', '/', 'g') END AS m_ FROM {out}_b),
 {out}_d AS (SELECT *, CASE WHEN in_ THEN bn_ ELSE rn_ END AS n_, CASE WHEN in_ AND rp_ = '' AND rq_ = '' THEN bq_ ELSE rq_ END AS q_,
-  CASE WHEN NOT in_ THEN rp_ WHEN rp_ = '' THEN bp_ ELSE regexp_replace(CASE WHEN regexp_matches(m_, '(^|/)\.\.?$') THEN m_ || '/' ELSE m_ END, '/+', '/', 'g') END AS p0_ FROM {out}_c),
+  CASE WHEN NOT in_ THEN rp_ WHEN rp_ = '' THEN bp_ ELSE CASE WHEN regexp_matches(m_, '(^|/)\.\.?(/|$)') THEN regexp_replace('/' || substr({sql_dots("m_")} || CASE WHEN regexp_matches(m_, '(^|/)\.\.?$') THEN '/' ELSE '' END, 2), '^//', '/') ELSE m_ END END AS p0_ FROM {out}_c),
 {out}_e AS (SELECT *, coalesce(nullif(p0_, ''), '/') AS p_, regexp_replace(lower(regexp_extract(regexp_extract(n_, '([^@]*)$', 1), '^(\[[^\]]*\]|[^:]*)', 1)), '\.+$', '') AS h_,
   regexp_extract(regexp_extract(n_, '([^@]*)$', 1), '^(?:\[[^\]]*\]|[^:]*):(.*)$', 1) AS port_, {pairs} AS kv_ FROM {out}_d),
 {out}_f AS (SELECT *, {sql_fold("p_")} AS f_ FROM {out}_e),

@@ -15,7 +15,7 @@ VECTORS = [
     (5, "http://u:p@h:8080/x", None), (6, "http://h/100%25", None), (7, "http://h/a?b&c=", None), (8, "#top", "http://h/x"), (9, "mailto:a@b", None), (10, "ftp://h/x", None), (11, "//h/x", None),
     (12, "//h/x", "https://k/y"), (13, "../up/./x.html?q=a+b&q=%20c", "http://h/a/b/c"), (14, "?page=2", "http://h/a/b"), (15, "", "http://h/a"), (16, "  http://h/a b/í~* \n", None), (17, "http://h:99999/x", None),
     (18, "http:rel", "http://h/a/b"), (19, "https:rel", "http://h/a/b"), (20, "http://h//a//b", None), (21, "..", "http://h/a/b/c"), (22, "http://[2001:db8::1]:8080/x", None), (23, "http://h/a%2Fb%20c", None),
-    (24, "http://h/x?z=1&a=%C3%AD&fbclid=9&GCLID=3", None), (25, None, "http://h/"), (26, "JavaScript:void(0)", "http://h/"), (27, "x/", "http://h"), (28, "http://h/a/..", None), (29, "http://h?x=1", None),
+    (24, "http://h/x?z=1&a=%C3%AD&fbclid=9&GCLID=3", None), (25, None, "http://h/"), (26, "JavaScript:void(0)", "http://h/"), (27, "x/", "http://h"), (28, "http://h/a/..", None), (29, "http://h?x=1", None), (30, "/.//x", "http://h/a"), (31, "/a//../b", "http://h/a"), (32, "/..//x", "http://h/a"), (33, "x/../..//y/.", "http://h/a//b/c"), (34, "/../..", "http://h/a"),
 ]
 _VECTORS = "WITH " + values("v", "id, raw, base", [(i, r or "", b) for i, r, b in VECTORS]) + ", " + sql_canonical("c", "v")
 
