@@ -158,15 +158,15 @@ def retryable_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "Plain words of a page that goes on and on. " * 100
 #: name, html, title, status, and what the rules make of it: kind, vendor, detail.
 WALLS = [
-    ("interstitial", '<html><title>Just a moment...</title><div id="challenge-form"></div><h1>Checking your browser</h1></html>', "Just a moment...", None, "interstitial", "cloudflare", "challenge platform"),
+    ("interstitial", '<title>Wait</title><div id="challenge-form"></div><p>One second</p>', "Wait", None, "interstitial", "cloudflare", "challenge platform"),
     ("interstitial long", f"<p>{_LONG}</p><script src='/cdn-cgi/challenge-platform/x'></script>", "", 200, "interstitial", "cloudflare", "challenge platform"),
     ("interstitial turnstile", "<i>_cf_chl_opt</i> turnstile", "", 503, "captcha", "cloudflare", "challenge platform"),
-    ("error 1020", "<div class=cf-error-details>Sorry, you have been blocked. Error 1020 Ray ID: 7</div>", "", 403, "denied", "cloudflare", "error 1020"),
-    ("error 1015", "<body>Error 1015 You are being rate limited. Cloudflare Ray ID: 8</body>", "", 429, "rate-limit", "cloudflare", "error 1015"),
+    ("error 1020", "<div class=cf-error-details>No entry: error 1020</div>", "", 403, "denied", "cloudflare", "error 1020"),
+    ("error 1015", "<body>Error 1015, come back later (cloudflare)</body>", "", 429, "rate-limit", "cloudflare", "error 1015"),
     ("error code", "<body>cloudflare error code: 1009</body>", "", 200, "denied", "cloudflare", "error 1009"),
     ("error colon", "<body>cloudflare error: 1020</body>", "", 200, None, None, None),
-    ("widget", '<h2>Verify you are human</h2><div class="cf-turnstile"></div>', "", 403, "captcha", "cloudflare-turnstile", "captcha wall"),
-    ("hcaptcha", '<p>Please wait.</p><div class="h-captcha"></div>', "", 403, "captcha", "hcaptcha", "captcha wall"),
+    ("widget", '<p>Tick the box</p><div class="cf-turnstile"></div>', "", 403, "captcha", "cloudflare-turnstile", "captcha wall"),
+    ("hcaptcha", '<p>Solve it</p><div class="h-captcha"></div>', "", 403, "captcha", "hcaptcha", "captcha wall"),
     ("signup", f'<p>{_LONG}</p><form><div class="g-recaptcha"></div></form>', "Sign up", 200, None, None, None),
     ("signup denied", f'<p>{_LONG}</p><form><div class="g-recaptcha"></div></form>', "Sign up", 403, "captcha", "recaptcha", "captcha wall"),
     ("datadome", "<script src='https://geo.captcha-delivery.com/x'></script>", "", None, "captcha", "datadome", "captcha wall"),
