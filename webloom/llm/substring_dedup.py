@@ -32,12 +32,15 @@ PERIOD = 7
 COVER = np.isin(np.arange(PERIOD), [1, 2, 4])
 #: Words of a passage that must repeat.
 WIDTH = 13
+#: Anchors travel as 48 bits. They only say where to look: one in twenty may agree by chance in a corpus of 100 TB, and
+#: the windows there are then compared by 64 bits.
+ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _anchors(hashes: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, row, at = words.windows(hashes, before, width - PERIOD + 1)
     ok = COVER[at % PERIOD]
-    return key[ok], row[ok], at[ok]
+    return key[ok] & ANCHOR_BITS, row[ok], at[ok]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -128,7 +131,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     removes nothing elsewhere; rows that repeat a ``doc_id`` don't remove one another's words, and
     what one loses to a smaller id the others lose too; within one document repeats stay; other
     columns are ignored, whatever their names; an empty table gives an empty one. Windows are
-    compared by 64-bit hashes, and only where a shorter 64-bit anchor agreed as well.
+    compared by 64-bit hashes, and only where a shorter anchor agreed as well.
     """
     if width < 2 * PERIOD - 1:
         raise ValueError(f"width must be {2 * PERIOD - 1} or more")
