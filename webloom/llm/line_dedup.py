@@ -14,6 +14,8 @@ exactly, and still shorter ones stay. A line goes if a line within the bound com
    in one replaced word; a line that equals another's variant differs by one word taken out. The earliest
    place of each key is an aggregate, so no pairs within a group are made, and it is joined back.
 4. The two texts behind every decision are compared word by word, which verifies the distance.
+   Variants are told by 64 bits: where two unlike ones had the same, the earliest of them would be
+   verified and found apart.
 """
 
 from __future__ import annotations
@@ -32,80 +34,105 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
-
-
 def _place(doc: Column, line: Column) -> Column:
     return F.struct(doc.alias("doc_id"), line.alias("line"))
 
 
-def _ends(w: Column, near_words: int) -> Column:
-    """Hashes of a line's head and tail; of two sizes where a line one word shorter takes another."""
+def _has_odd_space(text: Column) -> Column:
+    """Whether words may be apart by anything but one space or a line end."""
+    out = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        out = out | F.contains(text, F.lit(c))
+    return out
 
-    def both(m: Column) -> Column:
-        return F.array(F.xxhash64(F.lit("head"), m, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit("tail"), m, F.slice(w, -m, m)))
 
-    half = lambda n: F.pow(F.lit(2.0), F.floor(F.log2((n / 2).cast("double")))).cast("int")
-    n = F.size(w)
-    own, less = half(n), half(n - 1)
-    return F.when(n < near_words, F.array().cast("array<bigint>")).when((n == near_words) | (own == less), both(own)).otherwise(F.concat(both(own), both(less)))
+def _plain(line: Column, odd: Column) -> Column:
+    """A line's words, joined by one space."""
+    return F.when(odd, F.trim(F.regexp_replace(line, _SPACE, " "))).otherwise(F.trim(line))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line that has a word."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return split.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+def _end(s: Column, m: Column, tail: bool) -> Column:
+    """Hash of a line's first or last ``m`` words."""
+    return F.xxhash64(F.lit("tail" if tail else "head"), m, F.call_function("substring_index", s, F.lit(" "), -m if tail else m))
 
 
-def _key(w: Column) -> tuple[Column, Column]:
-    return F.xxhash64(w).alias("h"), F.xxhash64(F.lit(7), F.size(w), w).alias("g")
+def _half(n: Column) -> Column:
+    """The largest power of two up to half of ``n``."""
+    return F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.floor(n / 2))) - 1)
 
 
 def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines of each document that go.
 
-    ``docs`` must have ``doc_id`` without nulls and ``text``, both of them only.
+    ``docs`` must have ``doc_id`` and ``text``, both without nulls, and them only. Where an exploded array is never empty the outer
+    form is used: for the other one the optimizer adds a filter that works the array out again.
     """
-    lines = _lines(docs).select("doc_id", "line", _words(F.col("text")).alias("w")).where(F.size("w") >= least_words)
-    lines = lines.select("doc_id", "line", *_key(F.col("w")), _ends(F.col("w"), near_words).alias("ends"))
-    lines = shared.materialise(lines, "lines")
-    first = lines.groupBy("h", "g").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), F.first("ends").alias("ends"))
-    first = shared.materialise(first, "first-lines")
-    ends = first.where(F.size("ends") > 0).select("h", "g", F.explode("ends").alias("end"))
+    s, n = F.col("s"), F.col("n")
+    odd = docs.select("doc_id", "text", _has_odd_space(F.col("text")).alias("odd"))  # once for a text, so below the explode
+    split = odd.select("doc_id", "odd", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text"))
+    lines = split.select("doc_id", "line", _plain(F.col("text"), F.col("odd")).alias("s"))
+    lines = lines.select("doc_id", "line", "s", F.when(s == "", 0).otherwise(F.size(F.split(s, " "))).alias("n")).where(n >= least_words)
+    name = [F.xxhash64(s).alias("h"), F.xxhash64(F.lit(7), s).alias("g")]
+    # Heads and tails of two sizes, where a line one word shorter takes another. Small projections keep the generated methods
+    # small enough to be compiled.
+    marked = lines.select("doc_id", "line", "s", F.when(n >= near_words, _half(n)).alias("m"), F.when((n > near_words) & (_half(n) != _half(n - 1)), _half(n - 1)).alias("k"))
+    m, k = F.col("m"), F.col("k")
+    e = [F.when(x.isNotNull(), _end(s, x, tail)) for x in (m, k) for tail in (False, True)]
+    marked = marked.select("doc_id", "line", *name, *[c.alias(f"e{i}") for i, c in enumerate(e)])
+    first = marked.groupBy("h", "g").agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("first"), *[F.first(f"e{i}").alias(f"e{i}") for i in range(4)], F.count("*").alias("n"))
+    first = shared.keep(first)
+    ends = first.where("e0 IS NOT NULL").select("first", F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end IS NOT NULL")
     common = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    near = first.select("h", "g", "first").join(ends.join(common, "end").select("h", "g").distinct(), ["h", "g"])
-    # The words of those lines, from the documents where they come first.
-    asked = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "g")).alias("asked"))
-    texts = docs.join(asked, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("split"), F.explode("asked").alias("a"))
-    texts = texts.select(F.col("a.h").alias("h"), F.col("a.g").alias("g"), _place(F.col("doc_id"), F.col("a.line")).alias("first"), F.get("split", F.col("a.line")).alias("text"))
-    texts = shared.materialise(texts, "near-lines")
-
+    near = ends.join(common, "end").select("first").distinct()
+    # The words of those lines, from the documents where they come first; picked within the row, as an explode would copy the text.
+    asked = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line").alias("asked"))
+    picked = _let(F.split("text", "\n", -1), lambda x: F.transform("asked", lambda i: F.struct(i.alias("line"), F.get(x, i).alias("text"))))
+    texts = docs.join(asked.hint("merge"), "doc_id").select("doc_id", F.explode_outer(picked).alias("p"))
+    texts = texts.select(_place(F.col("doc_id"), F.col("p.line")).alias("first"), _plain(F.col("p.text"), F.lit(True)).alias("s"))
+    texts = shared.materialise(texts.hint("rebalance"), "near-lines")  # written, so that the texts' exchange can go
     def variants(w: Column) -> Column:
+        """Of each gap the hash of the line without that word, and of the line itself.
+
+        A line's hash is made of two sums over its pairs of neighbouring words, ends included. Without word i two pairs
+        go and one comes, so each variant costs the same, however long the line is.
+        """
         n = F.size(w)
-        return F.transform(
-            F.sequence(F.lit(0), n),
-            lambda i: F.when(i == n, F.struct(F.xxhash64(w).alias("v"), F.xxhash64(F.lit(7), n, w).alias("u"), F.lit(-1).alias("gap"))).otherwise(
-                _let(F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)), lambda x: F.struct(F.xxhash64(x).alias("v"), F.xxhash64(F.lit(7), n - 1, x).alias("u"), i.alias("gap")))
-            ),
-        )
-
-    keys = texts.select("h", "g", "first", F.explode(_let(_words(F.col("text")), variants)).alias("k")).select("h", "g", "first", "k.v", "k.u", "k.gap")
-    keys = shared.materialise(keys, "variants")
+        word = lambda k: F.coalesce(F.get(w, k), F.lit(""))
+        pair = lambda x, y: F.struct(*[F.shiftright(F.xxhash64(F.lit(seed), x, y), 20).alias(f"s{seed}") for seed in (1, 2)])
+        plus = lambda x, y, sign=1: F.struct(*[(x[c] + sign * y[c]).alias(c) for c in ("s1", "s2")])
+        none = F.struct(F.lit(0).cast("bigint").alias("s1"), F.lit(0).cast("bigint").alias("s2"))
+        pairs = F.transform(F.sequence(F.lit(0), n), lambda k: pair(word(k - 1), word(k)))
+
+        def of(p: Column) -> Column:
+            def each(t: Column) -> Column:
+                gap = lambda i: plus(plus(plus(t, F.get(p, i), -1), F.get(p, i + 1), -1), pair(word(i - 1), word(i + 1)))
+                cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_let(gap(i), lambda g: F.xxhash64(g["s1"], g["s2"])).alias("v"), i.alias("gap")))
+                return F.concat(F.array(F.struct(F.xxhash64(t["s1"], t["s2"]).alias("v"), F.lit(-1).alias("gap"))), cut)
+
+            return _let(F.aggregate(p, none, lambda t, x: plus(t, x)), each)
+
+        return _let(pairs, of)
+
+    # Worked out twice, for the count and for the join: that is cheaper than to keep them.
+    keys = texts.select("first", F.explode_outer(_let(F.split("s", " "), variants)).alias("k")).select("first", "k.v", "k.gap")
+    # Of two lines or more: a line's own gaps share a variant where it repeats a word.
+    d, l = F.col("first.doc_id"), F.col("first.line")  # noqa: E741
+    shared_keys = keys.groupBy("v").agg(F.min(d).alias("a"), F.max(d).alias("b"), F.min(l).alias("c"), F.max(l).alias("d")).where("a <> b OR c <> d").select("v")
+    keys = shared.materialise(keys.join(shared_keys, "v").hint("rebalance"), "shared-variants")
     # Of each variant: the earliest line with it at each gap, and the line that equals it.
-    best = keys.groupBy("v", "u", "gap").agg(F.min("first").alias("best"), F.count("*").alias("n"))
-    whole = best.where("gap = -1").select("v", "u", F.col("best").alias("whole"))
+    best = keys.groupBy("v", "gap").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    whole = best.where("gap = -1").select("v", F.col("best").alias("whole"))
     gaps = best.where("gap >= 0")
-    shorter = gaps.groupBy("v", "u").agg(F.min("best").alias("best"))
-    told = keys.where("gap >= 0").join(gaps.where("n > 1").select("v", "u", "gap", "best"), ["v", "u", "gap"]).select("h", "g", "first", "best")
-    told = told.unionByName(keys.where("gap >= 0").join(whole, ["v", "u"]).select("h", "g", "first", F.col("whole").alias("best")))
-    told = told.unionByName(keys.where("gap = -1").join(shorter, ["v", "u"]).select("h", "g", "first", "best"))
-    told = told.where("best < first").groupBy("h", "g", "first").agg(F.min("best").alias("best"))
-    told = told.join(texts.select("h", "g", "text"), ["h", "g"]).join(texts.select(F.col("first").alias("best"), F.col("text").alias("other")), "best")
-    told = told.where(_within_one(_words(F.col("text")), _words(F.col("other")))).select("h", "g", "best")
+    shorter = gaps.groupBy("v").agg(F.min("best").alias("best"))
+    told = keys.where("gap >= 0").join(gaps.where("n > 1").select("v", "gap", "best"), ["v", "gap"]).select("first", "best")
+    told = told.unionByName(keys.where("gap >= 0").join(whole, "v").select("first", F.col("whole").alias("best")))
+    told = told.unionByName(keys.where("gap = -1").join(shorter, "v").select("first", "best"))
+    told = told.where("best < first").groupBy("first").agg(F.min("best").alias("best"))
+    told = told.join(texts, "first").join(texts.select(F.col("first").alias("best"), F.col("s").alias("other")), "best")
+    told = told.where(_within_one(F.split("s", " "), F.split("other", " "))).select("first", "best")
     # Every occurrence of a line but the earliest goes, and the earliest where a neighbour comes before it.
-    least = first.join(told, ["h", "g"], "left").select("h", "g", F.coalesce("best", "first").alias("keep"))
-    gone = lines.select("doc_id", "line", "h", "g").join(least, ["h", "g"]).where(F.col("keep") < _place(F.col("doc_id"), F.col("line")))
+    least = first.select("h", "g", "first", "n").join(told, "first", "left").where("n > 1 OR best IS NOT NULL").select("h", "g", F.coalesce("best", "first").alias("keep"))
+    gone = lines.select("doc_id", "line", *name).join(least, ["h", "g"]).where(F.col("keep") < _place(F.col("doc_id"), F.col("line")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
@@ -137,16 +164,18 @@ def line_dedup(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int =
     place count as one; ties cannot occur otherwise; other columns stay, but ``n_lines`` and
     ``n_removed`` of the input are replaced; an empty table gives an empty one.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    gone = removed_lines(plain, near_words, least_words).toDF("_id", "_gone")
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    split = F.split("text", "\n", -1)
-    stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(_let(split, stay), "\n"))
-    counts = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(counts)
-    return out.select(*[(kept if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    plain = shared.plain(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    gone = removed_lines(plain, near_words, least_words).toDF("id", "gone").hint("merge")
+    # In a struct the columns' names clash with none of these.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    out = rows.join(gone, "id", "left")
+    text = F.col("row.text").cast("string")
+    split = F.split(text, "\n", -1)
+    stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(_let(split, stay), "\n"))
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    return out.select(*[(kept if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in columns], n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
