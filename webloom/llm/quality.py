@@ -12,26 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SPACE = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
-_UPPER = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+_SYMBOLS = "[#*$%&|<>]"
 
 #: Rules by bit, over the measurements; the first two are the base.
-RULES: dict[str, Callable[[], Column]] = {
-    "few_words": lambda: F.col("n_words") < 50,
-    "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
-    "symbols": lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words"),
-    "repeated_lines": lambda: 2 * F.col("n_dup_lines") > F.col("n_lines"),
-    "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
-    "shouting": lambda: 100 * F.col("n_upper") > 60 * F.col("word_chars"),
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbols": lambda m: 100 * m["n_symbols"] > 30 * m["n_words"],
+    "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]),
+    "shouting": lambda m: 100 * m["n_upper"] > 60 * m["word_chars"],
 }
-BASE = ("few_words", "repeated_windows")
 #: Versions of the policy: the rules that reject.
+BASE = ("few_words", "repeated_windows")
 POLICIES = {"base": BASE, "v1": (*BASE, "symbols"), "v2": tuple(RULES)}
 
 
 def mask(rules: tuple[str, ...]) -> int:
-    return sum(1 << list(RULES).index(r) for r in rules)
+    return sum(1 << list(RULES).index(r) for r in set(rules))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,35 +56,46 @@ def _repeated(w: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(_let(bits, of))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The measurements of each document beside its ``doc_id``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
-    both = F.struct(F.col("doc_id"), F.length(text).alias("chars"), F.length(F.translate(text, _SPACE, "")).alias("word_chars"), F.length(F.translate(text, _SYMBOLS, "")).alias("rest"), F.length(F.translate(text, _UPPER, "")).alias("low"), _let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r"))).alias("w"), _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("l"))
-    m = docs.select(both.alias("m"))
+def measurements(text: Column) -> Column:
+    """struct of a text's measurements."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     long = lambda x, name: x.cast("long").alias(name)
-    return m.select(
-        "m.doc_id", long(F.col("m.w.n"), "n_words"), long(F.col("m.word_chars"), "word_chars"), long(F.col("m.chars") - F.col("m.rest"), "n_symbols"),
-        long(F.col("m.l.n") - F.col("m.l.d"), "n_dup_lines"), long(F.col("m.w.r"), "n_repeat_words"), long(F.col("m.l.n"), "n_lines"), long(F.col("m.chars") - F.col("m.low"), "n_upper"),
-    )
+
+    def of(t: Column) -> Column:
+        words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        parts = F.struct(_let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("r"))).alias("w"), _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("l"))
+        return _let(parts, lambda p: F.struct(
+            long(p["w"]["n"], "n_words"), long(p["w"]["chars"], "word_chars"), long(F.regexp_count(t, F.lit(_SYMBOLS)), "n_symbols"), long(p["l"]["n"] - p["l"]["d"], "n_dup_lines"),
+            long(p["w"]["r"], "n_repeat_words"), long(p["l"]["n"], "n_lines"), long(F.regexp_count(t, F.lit("[A-Z]")), "n_upper"),
+        ))
+
+    return _let(text, of)
+
+
+def failures(m: Column) -> Column:
+    """The bits of the rules that measurements fail."""
+    return sum((F.when(rule(m), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())), F.lit(0)).cast("long")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """Measurements and ``failed``, the bits of the rules that each document fails.
+    """``doc_id``, the measurements and ``failed``, the bits of the rules that each document fails.
 
     Defined cases: a null text has no words and fails ``few_words``; a null ``doc_id`` and repeated
     rows each get their row; columns other than ``doc_id`` and ``text`` are ignored, whatever their
     names; an empty table gives an empty ledger.
     """
-    bits = sum((F.when(rule(), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())), F.lit(0))
-    return measure(docs).withColumn("failed", bits.cast("long"))
+    return docs.select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*", failures(F.col("m")).alias("failed"))
+
+
+def _hits(failed: Column, rules: tuple[str, ...]) -> Column:
+    return failed.bitwiseAND(F.lit(mask(rules)).cast("long")) != 0
 
 
 def apply_policy(book: DataFrame, version: str = "v2") -> DataFrame:
     """``base_failed`` and ``kept`` of a ledger under a policy."""
-    hit = lambda rules: F.col("failed").bitwiseAND(F.lit(mask(rules)).cast("long")) != 0
-    return book.withColumn("base_failed", hit(BASE)).withColumn("kept", ~(hit(POLICIES[version]) | F.col("base_failed")))
+    base = _hits(F.col("failed"), BASE)
+    return book.withColumn("base_failed", base).withColumn("kept", ~(_hits(F.col("failed"), POLICIES[version]) | F.col("base_failed")))
 
 
 def ablations(book: DataFrame, version: str = "v2") -> DataFrame:
@@ -102,18 +111,15 @@ def ablations(book: DataFrame, version: str = "v2") -> DataFrame:
 
 
 def passing(docs: DataFrame, version: str = "v2") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with their columns; no exchange."""
-    name = "_quality_row"
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
-    rows = held.select(F.col(f"{name}.doc_id").alias("doc_id"), F.col(f"{name}.text").alias("text"), name)
-    book = apply_policy(_beside(rows, name), version)
-    return book.where("kept").select(*[F.col(f"{name}.`{c}`").alias(c) for c in docs.columns])
-
-
-def _beside(rows: DataFrame, name: str) -> DataFrame:
-    """A ledger that keeps ``name`` of its input."""
-    book = ledger(rows.select(F.struct("doc_id", name).alias("doc_id"), "text"))
-    return book.withColumn(name, F.col(f"doc_id.{name}")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    """The rows of ``docs`` that a policy keeps, with their columns; no exchange.
+
+    The verdict decides what a generator gives: a filter would be pushed down and work the measurements out once for each of
+    its mentions of them.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _let(measurements(F.col("text")), lambda m: ~_hits(failures(m), (*POLICIES[version], *BASE)))
+    found = docs.select(F.explode_outer(F.when(kept, F.array(row))).alias("row")).where("row IS NOT NULL")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
