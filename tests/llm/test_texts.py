@@ -165,7 +165,7 @@ def test_media_fragments_and_foreign_bytes():
 
 def test_media_query_columns(spark):
     texts = ["abc", None, "é" * 40000, "abc"]
-    rows = {r.doc_id: r for r in media.media_columns(media.store_texts(docs(spark, texts))).mapInArrow(media._digest, media._DIGEST).collect()}
+    rows = {r.doc_id: r for r in media.digest(media.media_columns(media.store_texts(docs(spark, texts)))).collect()}
     for k, text in enumerate(texts):
         raw = (text or "").encode()
         padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))

@@ -8,9 +8,7 @@ container with one track of 8-bit samples, which stores any bytes losslessly.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,7 +161,7 @@ def _run(data: memoryview, at: int, end: int, base: int, default: int, track: _T
     return base
 
 
-def parse(payload: bytes | None) -> tuple[str | None, list[dict]]:
+def parse(payload: bytes | memoryview | None) -> tuple[str | None, list[dict]]:
     """Brand and tracks of a container; null or foreign bytes give no track."""
     data, tracks, brand, now, moof = memoryview(payload or b""), [], None, None, 0
     by_id: dict[int, _Track] = {}
@@ -232,7 +230,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))
     track = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("media_bytes", pa.int64()), ("keyframes", pa.int64()), ("key_ranges", kinds), ("ranges", kinds)])
     for batch in batches:
-        found = [parse(x) for x in batch.column("media").to_pylist()]
+        found = [parse(memoryview(x.as_buffer()) if x.is_valid else None) for x in batch.column("media")]  # no copies
         more = [pa.array([b for b, _ in found], pa.string()), pa.array([t for _, t in found], pa.list_(track))]
         yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "brand", "tracks"])
 
@@ -273,24 +271,22 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_store, "key struct<doc_id:bigint,n_bytes:bigint>, media binary")
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _DIGEST.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            key, media, tracks = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py()
-            t = tracks[0]
-            payload = b"".join(media[r["at"] : r["at"] + r["length"]] for r in t["ranges"])
-            first = t["key_ranges"][0]
-            feature = f"codec={t['codec'].strip()};handler={t['handler']};timescale={t['timescale']};duration={t['duration']};samples={t['samples']};keyframes={t['keyframes']};ranges={len(t['key_ranges'])};first={first['at']}+{first['length']}"
-            rows.append((key["doc_id"], key["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def digest(found: DataFrame) -> DataFrame:
+    """What the query returns of each stored text: its payload is cut from the media by the first track's ranges."""
+    t = F.col("tracks")[0]
+    payload = F.aggregate(t["ranges"], F.lit(b""), lambda a, r: F.concat(a, F.substring(F.col("media"), (r["at"] + 1).cast("int"), r["length"].cast("int"))))
+    text = lambda c: c.cast("string")
+    first = t["key_ranges"][0]
+    feature = F.concat(
+        F.lit("codec="), F.trim(t["codec"]), F.lit(";handler="), t["handler"], F.lit(";timescale="), text(t["timescale"]), F.lit(";duration="), text(t["duration"]), F.lit(";samples="), text(t["samples"]),
+        F.lit(";keyframes="), text(t["keyframes"]), F.lit(";ranges="), text(F.size(t["key_ranges"])), F.lit(";first="), text(first["at"]), F.lit("+"), text(first["length"]),
+    )
+    rows = found.select("key", "media", payload.alias("payload"), feature.alias("feature"))
+    return rows.select(
+        "key.doc_id", "key.n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))).mapInArrow(_digest, _DIGEST)
+    return digest(media_columns(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))

@@ -209,7 +209,7 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
 
     Defined cases: a null or wordless text has an empty set and links with nothing; equal sets are
     one class; a null ``doc_id`` gets its size and a null component; rows that repeat a ``doc_id``
-    are classed each by its own text; other columns are ignored; an empty table gives an empty one.
+    with one text are alike, and where they carry several texts each row has its own size and one of them stands for the id in links; other columns are ignored; an empty table gives an empty one.
     Shingles are told by 64-bit hashes, sets by 128-bit digests.
     """
     docs = shared.plain(docs, doc_id="bigint", text="string")
