@@ -70,12 +70,13 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     s, n = F.col("s"), F.col("n")
     odd = docs.select("doc_id", "text", _has_odd_space(F.col("text")).alias("odd"))  # once for a text, so below the explode
     split = odd.select("doc_id", "odd", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text"))
-    lines = split.select("doc_id", "line", _plain(F.col("text"), F.col("odd")).alias("s"))
-    lines = lines.select("doc_id", "line", "s", F.when(s == "", 0).otherwise(F.size(F.split(s, " "))).alias("n")).where(n >= least_words)
+    long_enough = F.call_function("substring_index", s, F.lit(" "), F.lit(least_words - 1)) != s  # so looks no further
+    lines = split.select("doc_id", "line", _plain(F.col("text"), F.col("odd")).alias("s")).where(long_enough if least_words > 1 else s != "")
     name = [F.xxhash64(s).alias("h"), F.xxhash64(F.lit(7), s).alias("g")]
     # Heads and tails of two sizes, where a line one word shorter takes another. Small projections keep the generated methods
     # small enough to be compiled.
-    marked = lines.select("doc_id", "line", "s", F.when(n >= near_words, _half(n)).alias("m"), F.when((n > near_words) & (_half(n) != _half(n - 1)), _half(n - 1)).alias("k"))
+    marked = lines.select("doc_id", "line", "s", F.size(F.split(s, " ")).alias("n"))
+    marked = marked.select("doc_id", "line", "s", F.when(n >= near_words, _half(n)).alias("m"), F.when((n > near_words) & (_half(n) != _half(n - 1)), _half(n - 1)).alias("k"))
     m, k = F.col("m"), F.col("k")
     e = [F.when(x.isNotNull(), _end(s, x, tail)) for x in (m, k) for tail in (False, True)]
     marked = marked.select("doc_id", "line", *name, *[c.alias(f"e{i}") for i, c in enumerate(e)])
@@ -116,8 +117,8 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     # Worked out twice, for the count and for the join: that is cheaper than to keep them.
     keys = texts.select("first", F.explode_outer(_let(F.split("s", " "), variants)).alias("k")).select("first", "k.v", "k.gap")
     # Of two lines or more: a line's own gaps share a variant where it repeats a word.
-    d, l = F.col("first.doc_id"), F.col("first.line")  # noqa: E741
-    shared_keys = keys.groupBy("v").agg(F.min(d).alias("a"), F.max(d).alias("b"), F.min(l).alias("c"), F.max(l).alias("d")).where("a <> b OR c <> d").select("v")
+    one = F.xxhash64("first")
+    shared_keys = keys.groupBy("v").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("v")
     keys = shared.materialise(keys.join(shared_keys, "v").hint("rebalance"), "shared-variants")
     # Of each variant: the earliest line with it at each gap, and the line that equals it.
     best = keys.groupBy("v", "gap").agg(F.min("first").alias("best"), F.count("*").alias("n"))
@@ -174,7 +175,7 @@ def line_dedup(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int =
     split = F.split(text, "\n", -1)
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(_let(split, stay), "\n"))
-    n = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
     return out.select(*[(kept if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in columns], n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
