@@ -15,27 +15,33 @@ from webloom.operators.state import LEAST, MOST, PENALTY, RELAX
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Multiplier(StatefulProcessor):
-    """A host's spacing: doubled by complaints, relaxed by clean responses."""
+def _multiplier() -> StatefulProcessor:
+    """A host's spacing: doubled by complaints, relaxed by clean responses.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("multiplier", "m double")
+    A local class travels by value: the runner of stateful processors imports none of the application's modules.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        m = self.value.get()[0] if self.value.exists() else LEAST
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        for bad in batch["bad"]:
-            m = min(MOST, m * PENALTY) if bad else max(LEAST, m / RELAX)
-        self.value.update((m,))
-        yield pd.DataFrame({"host": [key[0]], "multiplier": [m], "n": [len(batch)]})
+    class Multiplier(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.value = handle.getValueState("multiplier", "m double")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+            m = self.value.get()[0] if self.value.exists() else LEAST
+            batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+            for bad in batch["bad"]:
+                m = min(MOST, m * PENALTY) if bad else max(LEAST, m / RELAX)
+            self.value.update((m,))
+            yield pd.DataFrame({"host": [key[0]], "multiplier": [m], "n": [len(batch)]})
+
+        def close(self) -> None:
+            pass
+
+    return Multiplier()
 
 
 def throttle(log: DataFrame) -> DataFrame:
     """A stream of (host, multiplier, n) after each batch from a stream (host, ts, event_id, bad). Rows of a batch are taken by time."""
-    return log.groupBy("host").transformWithStateInPandas(_Multiplier(), outputStructType="host string, multiplier double, n long", outputMode="Update", timeMode="None")
+    return log.groupBy("host").transformWithStateInPandas(_multiplier(), outputStructType="host string, multiplier double, n long", outputMode="Update", timeMode="None")
 
 
 def outcome_counts(log: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
