@@ -163,6 +163,16 @@ def test_lines(spark, seed):
     assert {x.doc_id: x.text for x in got.collect()} == brute_lines(rows)
 
 
+def test_lines_of_the_same_word_pairs(spark):
+    """Variants that hold the same neighbouring words in another order are told apart."""
+    texts = [
+        "we saw the cat and the dog and the cow today", "we saw the dog and the cat and the cow again today", "we saw the dog and the cat and the cow today",
+        "| x | y | z | w |", "| z | x | w | y |", "| z | x | w | y | q", "a b " * 300 + "c", "a b " * 299 + "b a c", "a b " * 299 + "b c",
+    ]
+    rows = list(enumerate(texts))
+    assert {x.doc_id: x.text for x in line_dedup.line_dedup(documents(spark, texts)).collect()} == brute_lines(rows)
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six seven eight nine"
     df = spark.createDataFrame([(None, line), (1, line), (2, line), (2, f"{line}\nx"), (3, line.replace("four", "4"))], "doc_id bigint, text string").withColumn("_gone", F.lit("kept")).withColumn("first", F.lit(1)).withColumn("n_lines", F.lit(9))

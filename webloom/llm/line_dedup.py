@@ -13,9 +13,9 @@ exactly, and still shorter ones stay. A line goes if a line within the bound com
    with one word left out, a variant with the place of the gap. Lines with equal variants and gaps differ
    in one replaced word; a line that equals another's variant differs by one word taken out. The earliest
    place of each key is an aggregate, so no pairs within a group are made, and it is joined back.
-4. The two texts behind every decision are compared word by word, which verifies the distance.
-   Variants are told by 64 bits: where two unlike ones had the same, the earliest of them would be
-   verified and found apart.
+4. The two texts behind every candidate are compared word by word, which verifies the distance; the
+   earliest that holds decides. Variants are told by 64 bits of their words in order: only where two
+   unlike ones had the same by chance could the earliest of them stand before another one's true neighbour.
 """
 
 from __future__ import annotations
@@ -94,25 +94,19 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     def variants(w: Column) -> Column:
         """Of each gap the hash of the line without that word, and of the line itself.
 
-        A line's hash is made of two sums over its pairs of neighbouring words, ends included. Without word i two pairs
-        go and one comes, so each variant costs the same, however long the line is.
+        A sequence's hash is the xor of its words' hashes, each taken with the word's place. In a variant the words behind
+        the gap move up one place, so it is made of xors up to the gap. Those come from rounds that double how far
+        back each one reaches: a line of n words takes n log n steps.
         """
         n = F.size(w)
-        word = lambda k: F.coalesce(F.get(w, k), F.lit(""))
-        pair = lambda x, y: F.struct(*[F.shiftright(F.xxhash64(F.lit(seed), x, y), 20).alias(f"s{seed}") for seed in (1, 2)])
-        plus = lambda x, y, sign=1: F.struct(*[(x[c] + sign * y[c]).alias(c) for c in ("s1", "s2")])
-        none = F.struct(F.lit(0).cast("bigint").alias("s1"), F.lit(0).cast("bigint").alias("s2"))
-        pairs = F.transform(F.sequence(F.lit(0), n), lambda k: pair(word(k - 1), word(k)))
-
-        def of(p: Column) -> Column:
-            def each(t: Column) -> Column:
-                gap = lambda i: plus(plus(plus(t, F.get(p, i), -1), F.get(p, i + 1), -1), pair(word(i - 1), word(i + 1)))
-                cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_let(gap(i), lambda g: F.xxhash64(g["s1"], g["s2"])).alias("v"), i.alias("gap")))
-                return F.concat(F.array(F.struct(F.xxhash64(t["s1"], t["s2"]).alias("v"), F.lit(-1).alias("gap"))), cut)
-
-            return _let(F.aggregate(p, none, lambda t, x: plus(t, x)), each)
-
-        return _let(pairs, of)
+        at = lambda k, place: F.xxhash64(F.get(w, k), place)
+        # The first variant, then what turns each into the next one, the line itself being the last.
+        behind = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("bigint"), lambda t, k: F.when(k == 0, t).otherwise(t.bitwiseXOR(at(k, k - 1))))
+        turn = lambda k: at(k - 1, k - 1).bitwiseXOR(F.when(k == n, F.lit(0).cast("bigint")).otherwise(at(k, k - 1)))
+        steps = F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k == 0, behind).otherwise(turn(k)))
+        reach = F.transform(F.sequence(F.lit(0), F.length(F.bin(n)) - 1), lambda j: F.call_function("shiftleft", F.lit(1), j))
+        xors = F.aggregate(reach, steps, lambda x, far: F.transform(x, lambda v, i: F.when(i < far, v).otherwise(v.bitwiseXOR(F.get(x, i - far)))))
+        return F.transform(xors, lambda v, i: F.struct(v.alias("v"), F.when(i == n, F.lit(-1)).otherwise(i).alias("gap")))
 
     # Worked out twice, for the count and for the join: that is cheaper than to keep them.
     keys = texts.select("first", F.explode_outer(_let(F.split("s", " "), variants)).alias("k")).select("first", "k.v", "k.gap")
@@ -128,9 +122,9 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     told = keys.where("gap >= 0").join(gaps.where("n > 1").select("v", "gap", "best"), ["v", "gap"]).select("first", "best")
     told = told.unionByName(keys.where("gap >= 0").join(whole, "v").select("first", F.col("whole").alias("best")))
     told = told.unionByName(keys.where("gap = -1").join(shorter, "v").select("first", "best"))
-    told = told.where("best < first").groupBy("first").agg(F.min("best").alias("best"))
+    told = told.where("best < first").distinct()  # each is verified, so that one that fails hides no other
     told = told.join(texts, "first").join(texts.select(F.col("first").alias("best"), F.col("s").alias("other")), "best")
-    told = told.where(_within_one(F.split("s", " "), F.split("other", " "))).select("first", "best")
+    told = told.where(_within_one(F.split("s", " "), F.split("other", " "))).groupBy("first").agg(F.min("best").alias("best"))
     # Every occurrence of a line but the earliest goes, and the earliest where a neighbour comes before it.
     least = first.select("h", "g", "first", "n").join(told, "first", "left").where("n > 1 OR best IS NOT NULL").select("h", "g", F.coalesce("best", "first").alias("keep"))
     gone = lines.select("doc_id", "line", *name).join(least, ["h", "g"]).where(F.col("keep") < _place(F.col("doc_id"), F.col("line")))
