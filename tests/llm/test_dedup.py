@@ -113,6 +113,31 @@ def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_pipeline_drops_near_copies_by_five_words(spark):
+    """The pipeline's stage takes 5-word shingles and 80 of 100; 3 words and 90 of 100 would keep other documents."""
+    import corpus_pipeline
+
+    base = [f"b{k}" for k in range(60)]
+    spread = [*base[:20], "x", *base[21:40], "y", *base[41:]]  # 46 of 66 five-word shingles, so it stays
+    once = [*base[:30], "z", *base[31:]]  # 51 of 61 with five words, 55 of 61 with three
+    ends = ["p", "q", *base[2:58], "r", "s"]  # 52 of 60 with five words, 54 of 62 with three
+    rows = list(enumerate(" ".join(w) for w in (base, spread, once, ends)))
+    out = corpus_pipeline.one_of_near_copies(spark, documents(spark, [t for _, t in rows]), "")
+    assert sorted(x.doc_id for x in out.collect()) == [0, 1]
+    rows = list(enumerate(near_copies(4)))
+    sets = {}
+    for k, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    out = corpus_pipeline.one_of_near_copies(spark, documents(spark, [t for _, t in rows]).repartition(5), "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted(k for k in root if root[k] == k)
+
+
 def test_ngram_odd_rows(spark):
     text = " ".join(f"a{k}" for k in range(30))
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text), (9, None)], "doc_id bigint, text string").withColumn("label", F.lit(1)).withColumn("side", F.lit(2))
