@@ -228,6 +228,19 @@ def test_layers_end_and_are_whole():
     assert secrets.scan_layers(nested) == []
 
 
+def test_compression_in_compression():
+    """Packed data in packed data, later members and what follows them, and packed data under percent escapes."""
+    secret = b"password=correcthorsebattery"
+    pack, noise = gzip.compress, random.Random(3).randbytes(9 << 20)
+    cases = [pack(pack(secret)), pack(zlib.compress(secret)), zlib.compress(pack(pack(secret))), pack(b"x") + pack(secret), pack(b"x") + bytes(9) + pack(pack(secret)), pack(b"") + pack(secret), pack(b"x") + b" " + secret, pack(pack(secret)[:20]) + pack(pack(secret)[20:]), pack(pack(noise + b" " + secret)), pack(b"x " * (9 << 20)) + pack(secret)]
+    for k, raw in enumerate(cases):
+        text = f"say {base64.b64encode(raw).decode()} end"
+        assert (4, len(text) - 4, "assign") in secrets.scan_layers(text), k
+    for raw in (pack(secret), zlib.compress(secret), pack(pack(secret))):
+        text = f"say data={quote(raw, safe='')} end"
+        assert (9, len(text) - 4, "assign") in secrets.scan_layers(text)
+
+
 def test_secret_rows(spark):
     rows = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, [None, "", "secret: 12345678"])).collect()}
     assert rows[0].spans == [] and rows[1].base == [] and [(s.kind, s.start, s.end) for s in rows[2].base] == [("assign", 0, 16)]

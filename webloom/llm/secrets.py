@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is layer 0. A layer is scanned by the base patterns; then the encoded runs in it (percent escapes,
-Unicode and hex escapes, base64, compressed data inside base64) are decoded into new layers, which go on
+Unicode and hex escapes, base64, compressed data inside base64, percent escapes or compressed data) are decoded into new layers, which go on
 the worklist, until nothing new comes: a layer that was seen before (cycle) is not put on it again.
 Each layer keeps where its characters come from, so what is found in it is mapped back to the text: through escapes
 character by character, through base64 and compression to the encoded run.
@@ -11,9 +11,14 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
+import io
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +35,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Percent escapes with the characters that need none.
+_QUOTED = re.compile(r"[A-Za-z0-9_.~/-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*)+")
 #: Inflated bytes of one run; beyond it the rest of that run is inflated in further layers of this size.
-INFLATE = 8 << 20
+INFLATE, READ = 8 << 20, 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -94,24 +101,76 @@ def _escape(m: re.Match) -> str | None:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """What gzip or zlib bytes hold, in pieces that overlap by what a pattern may span."""
-    machine, carry = zlib.decompressobj(47), b""
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin as gzip or zlib data do."""
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(source: BinaryIO) -> Iterator[tuple[bytes, bool]]:
+    """What gzip or zlib data hold, member after member, in pieces, and whether a piece begins a member; what follows them is the last."""
+    rest, machine, begins = source.read(READ), zlib.decompressobj(47), True
     try:
-        while raw and not machine.eof:
-            piece = machine.decompress(raw, INFLATE)
-            raw = machine.unconsumed_tail
-            if not piece:
-                return
-            yield carry + piece
-            carry = piece[-4096:]
+        while rest or (rest := source.read(READ)):
+            piece = machine.decompress(rest, INFLATE)
+            rest = machine.unconsumed_tail
+            while piece:
+                yield piece, begins
+                # What is still inside comes without more input.
+                begins, piece = False, b"" if machine.eof else machine.decompress(rest, INFLATE)
+                rest = machine.unconsumed_tail
+            if machine.eof:
+                rest = (machine.unused_data or source.read(READ)).lstrip(b"\0")
+                while not rest and (rest := source.read(READ)):
+                    rest = rest.lstrip(b"\0")
+                machine, begins = zlib.decompressobj(47), True
+                if len(rest) < 3:
+                    rest += source.read(READ)
+                if not _packed(rest):
+                    break
     except zlib.error:
-        return
+        pass
+    while begins and rest:  # no further member, so plain
+        yield rest, begins
+        rest = source.read(READ)
+
+
+def _plain(raw: bytes) -> Iterator[bytes]:
+    """The bytes and, as long as data begin as gzip or zlib, what those hold, in pieces that overlap by what a pattern may span.
+
+    Packed data in packed data wait in files beyond some size; data that were seen before (cycle) are not read again.
+    """
+    yield raw
+    work: list[BinaryIO] = [io.BytesIO(raw)] if _packed(raw) else []
+    seen = {hashlib.sha256(raw).digest()}
+    while work:
+        carry, whole, member, first = b"", None, None, True
+        nested = []
+        with work.pop() as source:
+            for piece, begins in _inflated(source):
+                if begins:
+                    member = None
+                    if _packed(piece):  # a member by itself, and what all members hold together
+                        nested.append(member := [tempfile.SpooledTemporaryFile(INFLATE), hashlib.sha256()])  # noqa: SIM115
+                        if first:
+                            whole, member = member, None
+                for one in (whole, member):
+                    if one:
+                        one[0].write(piece)
+                        one[1].update(piece)
+                yield carry + piece
+                carry, first = (carry + piece)[-4096:], False
+        for file, digest in nested:
+            if digest.digest() in seen:
+                file.close()
+                continue
+            seen.add(digest.digest())
+            file.seek(0)
+            work.append(file)
 
 
 def _texts(raw: bytes) -> Iterator[str]:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        for piece in _inflated(raw):
+    if _packed(raw):
+        for piece in _plain(raw):
             yield piece.decode("utf-8", "replace")
         return
     try:
@@ -126,6 +185,14 @@ def _decoded(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
     if "%" in text and (out := _unescaped(layer, _PERCENT, _percent)):
         yield out
+    if "%" in text:
+        for m in _QUOTED.finditer(text):
+            raw = unquote_to_bytes(m[0])
+            gzip = raw.find(b"\x1f\x8b\x08")
+            for start in {0, max(0, gzip)}:
+                if _packed(raw[start : start + 3]):
+                    for inner in _texts(raw[start:]):
+                        yield _Layer(inner, None, None, layer.span(m.start(), m.end()))
     if ("\\" in text or "&#" in text) and (out := _unescaped(layer, _UNICODE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
