@@ -241,6 +241,19 @@ def test_compression_in_compression():
         assert (9, len(text) - 4, "assign") in secrets.scan_layers(text)
 
 
+def test_layers_of_any_bytes():
+    """Control characters, stray bytes, Latin-1, UTF-16 and emoji with line ends in a layer lose no secret."""
+    secret = "password=correcthorsebattery"
+    nested = base64.b64encode(secret.encode() + b"\xff").decode()
+    raws = [f"{secret}\n\U0001f600".encode(), b"\0\x1b" + secret.encode(), secret.encode() + b"\xff\xfe", f"\xe9 {secret}".encode("latin-1"), secret.encode("utf-16-le"), secret.encode("utf-16-be"), secret.encode("utf-16"), b"x" + secret.encode("utf-16-le"), gzip.compress(secret.encode("utf-16")), b"\x80 " + nested.encode()]
+    raws += [b"hC plain " + secret.encode(), f"日本日本日本日本日本日本日本 {secret}".encode("utf-16")]
+    for k, raw in enumerate(raws):
+        text = f"say {base64.b64encode(raw).decode()} end"
+        assert (4, len(text) - 4, "assign") in secrets.scan_layers(text), k
+    for raw in (secret.replace("=", "%FF%20:%20").replace("%FF", ""), secret.replace("=", "%3D") + "%FF", quote(secret.encode("utf-16-le"), safe=""), "%FF%3A" + base64.b64encode(secret.encode()).decode()):
+        assert any(kind == "assign" for _, _, kind in secrets.scan_layers(f"say {raw} end")), raw
+
+
 def test_secret_rows(spark):
     rows = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, [None, "", "secret: 12345678"])).collect()}
     assert rows[0].spans == [] and rows[1].base == [] and [(s.kind, s.start, s.end) for s in rows[2].base] == [("assign", 0, 16)]

@@ -88,11 +88,8 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(parts), starts, ends, layer.whole)
 
 
-def _percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
 def _escape(m: re.Match) -> str | None:
@@ -169,16 +166,15 @@ def _plain(raw: bytes) -> Iterator[bytes]:
 
 
 def _texts(raw: bytes) -> Iterator[str]:
-    if _packed(raw):
-        for piece in _plain(raw):
-            yield piece.decode("utf-8", "replace")
-        return
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return
-    if text.isprintable() or not re.search(r"[^\x20-\x7e\s\u00a0-\uffff]", text):
-        yield text
+    """Bytes, and what they hold packed, as texts; whether one is a secret is left to the patterns."""
+    for piece in _plain(raw):
+        yield piece.decode("utf-8", "replace")
+        if b"\0" not in piece:
+            continue
+        for start in (0, 1):
+            for kind, high in (("utf-16-le", 1), ("utf-16-be", 0)):
+                if b"\0\0\0" in piece[start + high :: 2]:  # zeros alternate somewhere
+                    yield piece[start:].decode(kind, "replace")
 
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
@@ -190,7 +186,7 @@ def _decoded(layer: _Layer) -> Iterator[_Layer]:
             raw = unquote_to_bytes(m[0])
             gzip = raw.find(b"\x1f\x8b\x08")
             for start in {0, max(0, gzip)}:
-                if _packed(raw[start : start + 3]):
+                if _packed(raw[start : start + 3]) or not start and b"\0" in raw:
                     for inner in _texts(raw[start:]):
                         yield _Layer(inner, None, None, layer.span(m.start(), m.end()))
     if ("\\" in text or "&#" in text) and (out := _unescaped(layer, _UNICODE, _escape)):
