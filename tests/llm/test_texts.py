@@ -189,6 +189,17 @@ def test_html():
     assert html_text.main_text("<article><p>a<b>c<p>d") == "ac\nd"
 
 
+def test_html_drops_no_part_of_the_article():
+    """Parts of an article in containers of their own, small articles and what stands in main beside one stay."""
+    long, rest = ("Long text. " * 60).strip(), ("The rest. " * 20).strip()
+    menu, foot = "<div class=menu><a>a</a> <a>b</a></div>", "<div class=footer>f</div>"
+    for tag in ("div", "section", "blockquote", "table"):
+        page = f"{menu}<div id=content><{tag}>{rest}</{tag}><div class=text><p>{long}</p></div><{tag}>{rest}</{tag}></div>{foot}"
+        assert html_text.main_text(page) == f"{rest}\n{long}\n{rest}"
+    assert html_text.main_text(f"{menu}<article><p>{long}</article><article><p>Short one.</article>{foot}") == f"{long}\nShort one."
+    assert html_text.main_text(f"{menu}<main><h1>Title</h1><article><p>{long}</article><p>End.</main>{foot}") == f"Title\n{long}\nEnd."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", "<p>x"), (2, "v", "<p>x")], "page_id bigint, url string, html string").withColumn("text", F.lit("mine"))
     rows = html_text.extract_text(df).collect()

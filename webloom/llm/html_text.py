@@ -2,10 +2,9 @@
 
 The standard library's parser gives events; block elements cut the page into lines, each with its text, its number
 of tags and the containers around it. The ratio of text to tags of each line is smoothed by a Gaussian; lines above
-the spread of the smoothed ratios are content. They vote, by their length, for the containers around them, and the
-container that wins (an article or main part before others, else the innermost that holds most
-votes) is the content region. All of its lines are given but those in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, which tags, roles and class words tell.
+the spread of the smoothed ratios are content. Where an article or main part holds any of them, all articles and main
+parts are the content region, else the innermost container that holds all of them is. All of its lines are given but those in menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments, which tags, roles and class words tell.
 """
 
 from __future__ import annotations
@@ -77,8 +76,10 @@ class _Events(HTMLParser):
             value = (value or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "mute"
+            if tag == "article" and name == "class" and not WORDS.isdisjoint(value.split()):
+                return "part"
             if tag in ("html", "body", "article", "main"):
-                continue  # their class words tell of the page's style
+                continue  # parts of their class words tell of the page's style
             if name == "role" and value in ROLES:
                 return "part"
             if name in ("class", "id"):
@@ -180,32 +181,17 @@ def main_text(html: str) -> str:
     if not any(shown for *_, shown in lines):
         return ""
     marks = content_lines([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    votes: dict[int, int] = {}
-    for fallback in (False, True):
-        for (text, _, around, shown), mark in zip(lines, marks, strict=True):
-            if shown and (mark or fallback):
-                for one in around:
-                    votes[one] = votes.get(one, 0) + len(text)
-        if votes:
-            break
-    regions: set[int] = set()
-    named = {k: v for k, v in votes.items() if page.kinds[k] in ("article", "main")}
-    if named:
-        most = max(named.values())
-        regions = {k for k, v in named.items() if 3 * v >= most}
-        # A main part that holds articles is told by them.
-        regions = {k for k in regions if page.kinds[k] == "article" or not _inner(lines, k, regions)}
-    elif votes:
-        total = max(votes.values())
-        regions = {max(k for k, v in votes.items() if 10 * v >= 7 * total)}
+    content = [around for (*_, around, shown), mark in zip(lines, marks, strict=True) if shown and mark]
+    content = content or [around for *_, around, shown in lines if shown]
+    named = {k for k, kind in enumerate(page.kinds) if kind in ("article", "main")}
+    if any(not named.isdisjoint(around) for around in content):
+        regions = named
+    else:
+        common = [x[0] for x in zip(*content, strict=False) if len(set(x)) == 1]
+        regions = set(common[-1:])
     return "\n".join(text for text, _, around, shown in lines if shown and (not regions or not regions.isdisjoint(around)))
 
 
-def _inner(lines: list[tuple], outer: int, regions: set[int]) -> bool:
-    """Whether another region lies within ``outer``."""
-    return any(outer in around and any(k in regions and k > outer for k in around) for _, _, around, _ in lines)
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x) if x else "" for x in batch.column(2).to_pylist()]
