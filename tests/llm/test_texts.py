@@ -163,6 +163,28 @@ def test_media_fragments_and_foreign_bytes():
         assert media.parse(raw)[1] == [] or raw == head[:-3] + b"\xff"
 
 
+def test_media_fragment_defaults():
+    """Defaults of trex and tfhd, durations, several runs and trafs of a moof, samples in tables before them."""
+    head = lambda k, *more: box(b"trak", box(b"tkhd", n32(0, 0, 0, k, 0)), box(b"mdia", box(b"mdhd", n32(0, 0, 0, 10, 0, 0)), *more))
+    moov = box(b"moov", head(1), head(2), head(3), box(b"mvex", box(b"trex", n32(0, 1, 1, 20, 5, 0x10000)), box(b"trex", n32(0, 2, 1, 30, 6, 0))))
+    # first flags and two data offsets; then a run that follows on the one before it
+    one = box(b"traf", box(b"tfhd", n32(0x20000, 1)), box(b"trun", n32(5, 3, 500, 0)), box(b"trun", n32(1, 2, 600)), box(b"trun", n32(0x100, 1, 7)))
+    # all defaults of tfhd, after a sample description index
+    two = box(b"traf", box(b"tfhd", n32(0x2003A, 2, 1, 40, 8, 0x10000)), box(b"trun", n32(1, 2, 700)), box(b"trun", n32(0x201, 1, 800, 9)))
+    # neither base nor moof named: goes on where the traf before it ends; trex is missing
+    three = box(b"traf", box(b"tfhd", n32(0x10, 3, 4)), box(b"trun", n32(0x100, 2, 1, 2)))
+    tracks = media.parse(moov + box(b"moof", one, two, three) + box(b"moof", box(b"traf", box(b"tfhd", n32(0, 2)), box(b"trun", n32(1, 1, 50)))))[1]
+    m = len(moov)
+    n = m + len(box(b"moof", one, two, three))
+    assert [(t["samples"], t["media_bytes"], t["keyframes"], t["duration"]) for t in tracks] == [(6, 30, 1, 107), (4, 31, 1, 150), (2, 8, 2, 3)]
+    span = lambda *xs: [{"at": a, "length": k} for a, k in xs]
+    assert [t["ranges"] for t in tracks] == [span((m + 500, 15), (m + 600, 15)), span((m + 700, 16), (m + 800, 9), (n + 50, 6)), span((m + 809, 8))]
+    assert [t["key_ranges"] for t in tracks] == [span((m + 500, 5)), span((n + 50, 6)), span((m + 809, 8))]
+    table = box(b"stbl", box(b"stts", n32(0, 1, 4, 3)), box(b"stsc", n32(0, 1, 1, 4, 1)), box(b"stsz", n32(0, 2, 4)), box(b"stco", n32(0, 1, 90)))
+    (t,) = media.parse(box(b"moov", head(1, box(b"minf", table))) + box(b"moof", box(b"traf", box(b"tfhd", n32(0x18, 1, 5, 7)), box(b"trun", n32(1, 2, 0)))))[1]
+    assert (t["samples"], t["media_bytes"], t["keyframes"], t["duration"]) == (6, 22, 6, 22)
+
+
 def test_media_query_columns(spark):
     texts = ["abc", None, "é" * 40000, "abc"]
     rows = {r.doc_id: r for r in media.digest(media.media_columns(media.store_texts(docs(spark, texts)))).collect()}

@@ -2,7 +2,7 @@
 
 ``parse`` walks the nested boxes of a container, decodes each track's sample tables (stsz/stz2, stsc,
 stco/co64, stts, stss) and gives the codec, the duration and the byte ranges of its samples and keyframes;
-fragmented files (moof/traf/trun) too. Payload bytes are never read for that, only addressed. ``mux`` writes a
+fragmented files (moof/traf/trun, with the defaults of trex and tfhd) too. Payload bytes are never read for that, only addressed. ``mux`` writes a
 container with one track of 8-bit samples, which stores any bytes losslessly.
 """
 
@@ -66,7 +66,7 @@ class _Track:
         self.handler = self.codec = ""
         self.size, self.fixed, self.n = None, 0, 0
         self.to_chunk = self.chunk = self.times = self.sync = None
-        self.runs: list[tuple[int, int, bool]] = []
+        self.runs: list[tuple[int, int, bool, int]] = []
 
     def read(self, data: memoryview, kind: bytes, at: int, end: int) -> None:
         if kind == b"tkhd":
@@ -121,13 +121,17 @@ class _Track:
 
     def as_row(self) -> dict:
         at, size, key = self.samples()
+        keys, duration = self.n if self.sync is None else int(key.sum()), self.duration
         if self.runs:
             more = [np.array(x) for x in zip(*self.runs, strict=True)]
+            keys += int(more[2].sum())
+            # The header's duration tells of samples in tables only, of all, or is unknown (all bits set).
+            told = 0 if self.times is None else int((self.times[:, 0] * self.times[:, 1]).sum())
+            duration = max(0 if duration in (0xFFFFFFFF, (1 << 64) - 1) else duration, told + int(more[3].sum()))
             at, size, key = np.concatenate([at, more[0]]), np.concatenate([size, more[1]]), np.concatenate([key, more[2].astype(bool)])
         n = self.n + len(self.runs)
-        keys = n if self.sync is None and not self.runs else int(key.sum())
         return {
-            "track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": self.duration,
+            "track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": duration,
             "samples": n, "media_bytes": int(size.sum()), "keyframes": keys, "key_ranges": _merged(at[key], size[key]), "ranges": _merged(at, size),
         }
 
@@ -142,30 +146,35 @@ def _merged(at: np.ndarray, size: np.ndarray) -> list[dict]:
     return [{"at": int(a), "length": int(n)} for a, n in zip(at[head], total, strict=True)]
 
 
-def _run(data: memoryview, at: int, end: int, base: int, default: int, track: _Track) -> int:
-    """Samples of a trun box; gives where the next run's samples begin."""
+def _run(data: memoryview, at: int, end: int, base: int, next_at: int, default: tuple[int, int, int], track: _Track) -> int:
+    """Samples of a trun box, with the traf's default duration, size and flags; gives where the next run's samples begin."""
     _, flags = _full(data, at)
     n, at = struct.unpack_from(">I", data, at + 4)[0], at + 8
     if flags & 1:
-        base, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        next_at, at = base + struct.unpack_from(">i", data, at)[0], at + 4
     first = None
     if flags & 4:
         first, at = struct.unpack_from(">I", data, at)[0], at + 4
-    width = 4 * sum(bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800))
+    place, width = {}, 0
+    for field in (0x100, 0x200, 0x400, 0x800):
+        if flags & field:
+            place[field], width = width, width + 4
     n = min(n, (end - at) // width if width else n)
     for k in range(n):
-        size = struct.unpack_from(">I", data, at + 4 * bool(flags & 0x100))[0] if flags & 0x200 else default
-        mark = struct.unpack_from(">I", data, at + 4 * bool(flags & 0x100) + 4 * bool(flags & 0x200))[0] if flags & 0x400 else first if not k and first is not None else 0
-        track.runs.append((base, size, not mark & 0x10000))
-        base, at = base + size, at + width
-    return base
+        own = [struct.unpack_from(">I", data, at + place[field])[0] if field in place else d for field, d in zip((0x100, 0x200, 0x400), default, strict=True)]
+        if not k and first is not None and 0x400 not in place:
+            own[2] = first
+        track.runs.append((next_at, own[1], not own[2] & 0x10000, own[0]))
+        next_at, at = next_at + own[1], at + width
+    return next_at
 
 
 def parse(payload: bytes | memoryview | None) -> tuple[str | None, list[dict]]:
     """Brand and tracks of a container; null or foreign bytes give no track."""
     data, tracks, brand, now, moof = memoryview(payload or b""), [], None, None, 0
     by_id: dict[int, _Track] = {}
-    base, default = 0, 0
+    trex: dict[int, tuple[int, int, int]] = {}  # default duration, size and flags of a track's fragments
+    base, next_at, default = 0, 0, (0, 0, 0)
     try:
         for path, at, end in walk(data, 0, len(data)):
             kind = path[-1]
@@ -178,18 +187,27 @@ def parse(payload: bytes | memoryview | None) -> tuple[str | None, list[dict]]:
                     now.read(data, kind, at, end)
                     if kind == b"tkhd":
                         by_id[now.id] = now
+            elif kind == b"trex":
+                number, _, *more = struct.unpack_from(">5I", data, at + 4)
+                trex[number] = tuple(more)
             elif kind == b"moof":
-                moof = at - 8
+                moof = next_at = at - (16 if bytes(data[max(0, at - 16) : at - 8]) == b"\0\0\0\1moof" else 8)
             elif kind == b"tfhd":
                 _, flags = _full(data, at)
-                now, base, default, more = by_id.get(struct.unpack_from(">I", data, at + 4)[0], _Track()), moof, 0, at + 8
+                number, at = struct.unpack_from(">I", data, at + 4)[0], at + 8
+                now = by_id.get(number, _Track())
+                # Unless the moof is named, data begin where those of the traf before it end.
+                base = moof if flags & 0x20000 else next_at
                 if flags & 1:
-                    base, more = struct.unpack_from(">Q", data, more)[0], more + 8
-                more += 4 * bool(flags & 2) + 4 * bool(flags & 8)
-                if flags & 0x10:
-                    default = struct.unpack_from(">I", data, more)[0]
+                    base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+                next_at, at = base, at + 4 * bool(flags & 2)
+                own = list(trex.get(number, (0, 0, 0)))
+                for k, field in enumerate((8, 0x10, 0x20)):
+                    if flags & field:
+                        own[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+                default = tuple(own)
             elif kind == b"trun" and now is not None:
-                base = _run(data, at, end, base, default, now)
+                next_at = _run(data, at, end, base, next_at, default, now)
         return brand, [t.as_row() for t in tracks]
     except (struct.error, ValueError, IndexError):  # a broken table: what is not a container has no tracks
         return brand, []
