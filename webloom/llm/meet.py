@@ -9,7 +9,6 @@ Answers are (id, values), the values being 64-bit numbers:
 
 ``shared``: to every id of a key that has two or more ids: the key
 ``later``:  to every id of a key but the smallest: the key
-``star``:   to every id of a key but the smallest: the smallest id
 """
 
 from __future__ import annotations
@@ -63,8 +62,7 @@ def combine(key: np.ndarray, ident: np.ndarray, mode: str) -> tuple[np.ndarray,
         told = np.repeat(np.logical_or.reduceat(later, at), np.diff(np.append(at, len(key)))) if len(at) else later
     else:
         told = later
-    value = least.view(np.uint64) if mode == "star" else key
-    return key[at], ident[at], ident[told], value[told]
+    return key[at], ident[at], ident[told], key[told]
 
 
 def answers(ident: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, bytes]]:

@@ -1,18 +1,19 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-1. Each text becomes a row of the incidence matrix: its sorted distinct n-gram hashes. Rows with
-   the same set are one class, found by a 128-bit digest; only its smallest id goes on.
-2. Column blocks. For sizes that can qualify together, a pair at the threshold differs in at most
-   H = floor((|x| + |y|) * (1 - t) / (1 + t)) columns. The columns are split by hash into H + 3
-   blocks, so at least three blocks of both rows are equal. Equal blocks meet by key
-   (``meet``), which links every row to the smallest id that shares a block with it. Empty
-   blocks are skipped unless a row has more than two of them, which keeps the guarantee.
-3. Rows that are connected by shared blocks form a family: no pair outside a family can qualify.
-   Families are cut into row blocks of bounded size. In a row block, overlap counts of one row
-   with all others that are not yet in its component accumulate over its columns, rarest first;
-   rows whose sizes cannot reach the threshold are left out, and so are those whose count so far
-   plus the columns left stays below the bound.
-4. Each row block also holds the family's first row, which ties the blocks of one large group of near
+1. Each text becomes a row of the incidence matrix: its sorted distinct n-gram hashes. Tiles of row blocks by column blocks
+   (``tiles``) count the entries of every column. A column with one entry adds to no product, so a row
+   goes on with its other columns only. Of rows with the same set within a row block only the first sends its columns.
+2. With its columns in order of their counts (then of their hashes) two rows that qualify share a column among the first
+   n - ceil(t * n) + 1 of either one. A row whose one-entry columns fill that prefix has no partner and is done. Rows
+   with the same set are one class, found by a 128-bit digest, and one row goes on for each.
+3. Of two rows that qualify, one at least has (1 - t) / (1 + t) of its columns or less to itself: it is a core row. Prefix
+   columns meet in tiles again, by interval of sizes, and link every row to the smallest core row of each, so rows
+   that differ from all others in too many columns make no links among themselves.
+4. Rows that are connected by such links form a family: no pair outside a family can qualify. Families are cut into row
+   blocks of bounded rows and columns. In a row block, overlap counts of one row with all others that are not yet in its
+   component accumulate over its columns, rarest first; rows whose sizes cannot reach the threshold are left
+   out, and so are those whose count so far plus the columns left stays below the bound.
+5. Each row block also holds the family's first row, which ties the blocks of one large group of near
    copies together. What then is outside the largest component of its family is held against all
    blocks of the family, so no link is lost and copies are never paired with each other.
 """
@@ -26,30 +27,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import shared, words
 from webloom.llm.components import components
-from webloom.llm.meet import meet
+from webloom.llm.tiles import NONE, ask
 
-#: Rows of a row block, besides the family's first row.
-BLOCK = 1024
-_SKIP = 2
+#: Rows of a row block, besides the family's first row, and their columns.
+BLOCK, BLOCK_COLUMNS = 1024, 1 << 20
 
 
-def _intervals(num: int, den: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size intervals and the number of column blocks of each, threshold num/den.
-
-    Two sizes that can qualify lie in one interval or in neighbouring ones.
-    """
-    low, blocks = [1], []
+def _intervals(num: int, den: int, most: int = 1 << 31) -> np.ndarray:
+    """Lower ends of size intervals: two sizes that can qualify at num/den lie in one interval or in neighbouring ones."""
+    low = [1]
     while low[-1] < most:
-        top = low[-1] * den // num  # the largest size that can qualify with low[-1]
-        low.append(top + 1)
-        differ = (top + top * den // num) * (den - num) // (den + num)
-        blocks.append(differ + 1 + _SKIP if differ else 0)
-    return np.array(low[:-1]), np.array(blocks)
+        low.append(low[-1] * den // num + 1)
+    return np.array(low)
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -77,98 +71,88 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _emit(width: int, num: int, den: int, n_buckets: int):
-    low, blocks = _intervals(num, den)
-
-    def emit(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _emit_rows(width: int):
+    def emit(batch: pa.RecordBatch, seen: dict) -> Iterator[tuple]:
         known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
         for rows, key, row in _shingles(batch, width):
-            n = rows.stop - rows.start
-            bounds = np.searchsorted(row, np.arange(n + 1))
-            size, own, ok = np.diff(bounds), ids[rows], known[rows]
-            info = []
-            for k in range(n):
-                d = _digest(key[bounds[k] : bounds[k + 1]]) if size[k] and ok[k] else b""
-                info.append((bytes([int(ok[k])]) + (int(own[k]) if ok[k] else 0).to_bytes(8, "little", signed=True) + int(size[k]).to_bytes(8, "little") + d))
-            # dealt out evenly; read again by _unpack_info
-            yield None, (((np.arange(n) * 7919 + rows.start) % n_buckets).tolist(), [2] * n, [0] * n, info)
-            at = np.searchsorted(low, np.maximum(size, 1), "right") - 1
-            for back in (0, 1):  # as the smaller size of its interval, and as the larger of the one below
-                space = at - back
-                many = np.where((space >= 0) & ok, blocks[space], 0)
-                use = many[row] > 0
-                if not use.any():
-                    continue
-                r, h = row[use], key[use]
-                base = np.concatenate([[0], np.cumsum(many)])
-                part = base[r] + ((words.mix(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % many[r])
-                order = np.argsort(part)
-                part, h = part[order], words.mix(h[order])
-                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                total = np.add.reduceat(h, first)
-                part = part[first]
-                r = np.searchsorted(base, part, "right") - 1
-                empty = many - np.bincount(r, minlength=n)
-                bare = np.flatnonzero(empty > _SKIP)
-                if len(bare):
-                    all_parts = np.concatenate([np.arange(base[k], base[k + 1]) for k in bare])
-                    none = np.setdiff1d(all_parts, part)
-                    part = np.concatenate([part, none])
-                    total = np.concatenate([total, np.zeros(len(none), np.uint64)])
-                    r = np.searchsorted(base, part, "right") - 1
-                name = (space[r] * 4_000_037 + part - base[r]).astype(np.uint64)
-                yield words.mix(total ^ words.mix(name)), own[r].astype(np.int64)
+            bounds = np.searchsorted(row, np.arange(rows.stop - rows.start + 1))
+            size, ok = np.diff(bounds), known[rows]
+            metas, sends = [], np.zeros(len(size), bool)
+            for k, one in enumerate(ids[rows].tolist()):
+                own = _digest(key[bounds[k] : bounds[k + 1]]) if size[k] and ok[k] else b""
+                sends[k] = bool(own) and own not in seen
+                if own:
+                    seen[own] = None
+                metas.append(bytes([int(ok[k]) | 2 * int(sends[k])]) + one.to_bytes(8, "little", signed=True) + int(size[k]).to_bytes(8, "little") + own)
+            yield metas, np.where(sends, size, 0), key[sends[row]], None
 
     return emit
 
 
-def _info(found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and digest of each row, from the rows that ``meet`` passed on."""
-    return found.where("id IS NULL").mapInArrow(_unpack_info, "doc_id long, n_shingles long, digest binary")
+def _finish_rows(num: int, den: int):
+    def finish(block: int, metas: list[bytes], row: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((key, count, row))
+        key, bounds = key[order], np.searchsorted(row[order], np.arange(len(metas) + 1))
+        copies: dict[bytes, int] = {}
+        for m in metas:
+            if len(m) > 17:
+                copies[m[17:]] = copies.get(m[17:], 0) + 1
+        for lo in range(0, len(metas), 2048):
+            out = []
+            for k, m in enumerate(metas[lo : lo + 2048], lo):
+                n, more = int.from_bytes(m[9:17], "little"), int(bounds[k + 1] - bounds[k])
+                goes_on = bool(m[0] & 2) and more > 0 and n - -(-n * num // den) + 1 > n - more
+                meets = goes_on or copies.get(m[17:], 0) > 1
+                out.append((int.from_bytes(m[1:9], "little", signed=True) if m[0] & 1 else None, n, m[17:] or None, block, meets, key[bounds[k] : bounds[k + 1]].tobytes() if goes_on else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "digest", "tile", "meets", "columns"])
+
+    return finish
+
+
+def _emit_prefixes(num: int, den: int):
+    low = _intervals(num, den)
+
+    def emit(batch: pa.RecordBatch, seen: dict) -> Iterator[tuple]:
+        metas, counts, keys, values = [], [], [], []
+        for one, n, cell in zip(batch.column("doc_id").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("columns").to_pylist(), strict=True):
+            own = np.frombuffer(cell, np.uint64)
+            alone = n - len(own)
+            own = own[: n - -(-n * num // den) + 1 - alone]
+            at = int(np.searchsorted(low, n, "right"))
+            own = np.unique(np.concatenate([words.mix(own ^ words.mix(np.array([space], np.uint64))) for space in (at - 1, at)]))
+            metas.append(one.to_bytes(8, "little", signed=True))
+            counts.append(len(own))
+            keys.append(own)
+            # Ids in order as unsigned numbers; NONE, the largest, is kept for rows that are no core.
+            values.append(NONE if alone * (den + num) > n * (den - num) else np.uint64(min((one + (1 << 63)), (1 << 64) - 2)))
+        yield metas, np.array(counts, np.int64), np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.array(values, np.uint64)
 
-
-def _unpack_info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.column("payload").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(x[1:9], "little", signed=True) if x[0] else None for x in rows], pa.int64()), pa.array([int.from_bytes(x[9:17], "little") for x in rows], pa.int64()), pa.array([x[17:] or None for x in rows], pa.binary())],
-            names=["doc_id", "n_shingles", "digest"],
-        )
+    return emit
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for one, cell in zip(batch.column("id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            own = np.frombuffer(cell, np.int64)
-            a.append(np.full(len(own), one))
-            b.append(own)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _finish_prefixes(block: int, metas: list[bytes], row: np.ndarray, key: np.ndarray, core: np.ndarray) -> Iterator[pa.RecordBatch]:
+    own = np.frombuffer(b"".join(metas), np.int64)[row]
+    other = (core ^ np.uint64(1 << 63)).view(np.int64)
+    pair = np.unique(np.stack([own, other], 1)[own != other], axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _row_blocks(table: pd.DataFrame, width: int, num: int, den: int) -> pd.DataFrame:
+def _row_blocks(table: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Components of one row block: (doc_id, root). ``side``: 0 is held against 1 and 2, and 2 against all."""
-    batch = pa.RecordBatch.from_pandas(table[["doc_id", "text"]], preserve_index=False)
-    sets: list[np.ndarray] = []
-    for rows, key, row in _shingles(batch, width):
-        bounds = np.searchsorted(row, np.arange(rows.stop - rows.start + 1))
-        sets += [key[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-    digest, ids = table["digest"].tolist(), table["doc_id"].to_numpy()
-    keep = [k for k, own in enumerate(sets) if _digest(own) == bytes(digest[k])]
-    keep = [k for i, k in enumerate(keep) if not i or ids[k] != ids[keep[i - 1]]]
-    ids, side, label = ids[keep], table["side"].to_numpy()[keep], table["label"].to_numpy()[keep]
-    sets = [sets[k] for k in keep]
+    table = table.drop_duplicates("doc_id")
+    ids, side, label = (table[c].to_numpy() for c in ("doc_id", "side", "label"))
+    sets = [np.frombuffer(x, np.uint64) for x in table["columns"]]
     n = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
     if n < 2:
         return pd.DataFrame({"doc_id": ids, "root": ids})
+    size = table["n_shingles"].to_numpy()  # with the columns that no other row has
+    held = np.array([len(x) for x in sets], np.int64)
     column, code, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n), held)
     order = np.argsort(code, kind="stable")
     by_column, start = row[order], np.concatenate([[0], np.cumsum(freq)])
-    first = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(held)])
     _, comp = np.unique(label, return_inverse=True)
     comp = comp.astype(np.int64)
     place = np.arange(n)
@@ -200,6 +184,43 @@ def _row_blocks(table: pd.DataFrame, width: int, num: int, den: int) -> pd.DataF
     return pd.DataFrame({"doc_id": ids, "root": root})
 
 
+def _blocks(rows: str, columns: str) -> Column:
+    """Row blocks for so many rows with so many columns."""
+    return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(columns) / BLOCK_COLUMNS)).cast("int")
+
+
+def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, label) of the ``rows`` (doc_id, n_shingles, columns) that link with another; label is the smallest id that links reach."""
+    n = shared.parts(rows.sparkSession)
+    edge = shared.keep(ask(rows, _emit_prefixes(num, den), "min", _finish_prefixes, "a long, b long", n))
+    family = components(edge).toDF("doc_id", "family")
+    here = rows.join(family, "doc_id").withColumn("held", F.length("columns") / 8)
+    # Blocks of a family: rows are dealt by hash, into so many blocks as its size asks for.
+    size = here.groupBy("family").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).select("family", _blocks("rows", "held").alias("blocks"))
+    here = shared.keep(here.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    lead = F.col("doc_id") == F.col("family")
+    # The family's first row goes to each of its blocks.
+    spread = here.withColumn("to", F.explode(F.when(lead & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    out, cols = "doc_id long, root long", ["doc_id", "n_shingles", "columns"]
+    block = spread.select("family", "to", *cols, F.lit(2).alias("side"), F.col("doc_id").alias("label")).groupBy("family", "to")
+    local = shared.keep(block.applyInPandas(lambda t: _row_blocks(t, num, den), out).distinct())
+    big = here.where("blocks > 1")
+    if big.isEmpty():
+        return local.toDF("node", "label")
+    link = local.where("doc_id <> root").toDF("a", "b")
+    label = components(link).toDF("doc_id", "label")
+    # What is outside its family's largest component meets all of the family's blocks.
+    part = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    most = part.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    part = shared.keep(part.join(most.where("labels > 1"), "family").withColumn("rest", F.col("label") != F.col("main")))
+    rests = part.where("rest").groupBy("family").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).select("family", _blocks("rows", "held").alias("rests"))
+    part = part.join(rests, "family").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rests")).cast("int"))
+    probe = part.where("rest").select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols, F.lit(0).alias("side"), "label")
+    held = part.select("family", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("group"), "block", *cols, F.lit(1).alias("side"), "label")
+    cross = probe.unionByName(held).groupBy("family", "group", "block").applyInPandas(lambda t: _cross(t, num, den), out)
+    return components(cross.where("doc_id <> root").distinct().toDF("a", "b").unionByName(link))
+
+
 def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest``, ``component_id`` for every row of ``docs``.
 
@@ -209,64 +230,33 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
 
     Defined cases: a null or wordless text has an empty set and links with nothing; equal sets are
     one class; a null ``doc_id`` gets its size and a null component; rows that repeat a ``doc_id``
-    with one text are alike, and where they carry several texts each row has its own size and one of them stands for the id in links; other columns are ignored; an empty table gives an empty one.
-    Shingles are told by 64-bit hashes, sets by 128-bit digests.
+    with one text are alike, and where they carry several texts each row has the size and the component of its own text; other columns are
+    ignored; an empty table gives an empty one. Shingles are told by 64-bit hashes, sets by 128-bit digests. The rows of a
+    partition must come in the same order when a lost task runs again, as those of files do.
     """
     docs = shared.plain(docs, doc_id="bigint", text="string")
-    n = shared.buckets(docs)
-    found = shared.keep(meet(docs, _emit(width, num, den, n), "star", n))
-    info = _info(found)
-    classes = info.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = shared.keep(info.join(classes, "digest", "left"))
-    # Equal sets share all blocks, so an edge's ends are replaced by the classes' smallest ids.
-    rep = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    edge = found.where("id IS NOT NULL").mapInArrow(_edges, "a long, b long").distinct()
-    edge = edge.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
-    edge = edge.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    family = components(edge).toDF("doc_id", "family")
-    # Blocks of a family: rows are dealt by hash, so many blocks as its size asks for.
-    size = family.groupBy("family").agg(F.count("*").alias("n"))
-    size = size.select("family", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    family = family.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    known = member.where("doc_id = rep").select("doc_id", "digest").distinct()
-    family = shared.keep(family.join(known, "doc_id"))
-    text = docs.join(family.hint("merge"), "doc_id")
-    lead = F.col("doc_id") == F.col("family")
-    # The family's first row goes to each of its blocks.
-    spread = text.withColumn("to", F.explode(F.when(lead & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    out = "doc_id long, root long"
-    work = lambda t: _row_blocks(t, width, num, den)
-    cols = ["doc_id", "text", "digest", "side", "label"]
-    local = spread.select("family", "to", *cols[:3], F.lit(2).alias("side"), F.col("doc_id").alias("label")).groupBy("family", "to").applyInPandas(work, out)
-    local = shared.keep(local.distinct())
-    big = family.where("blocks > 1")
-    link = local.where("doc_id <> root").toDF("a", "b")
-    label = components(link).toDF("doc_id", "label")
-    if big.isEmpty():
-        final = label
-    else:
-        # What is outside its family's largest component meets all of the family's blocks.
-        part = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        most = part.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-        part = shared.keep(part.join(most.where("labels > 1"), "family").withColumn("rest", F.col("label") != F.col("main")))
-        rests = part.where("rest").groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rests"))
-        part = part.join(rests, "family").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rests")).cast("int"))
-        here = docs.join(part.drop("n").hint("merge"), "doc_id")
-        probe = here.where("rest").select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols[:3], F.lit(0).alias("side"), "label")
-        held = here.select("family", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("group"), "block", *cols[:3], F.lit(1).alias("side"), "label")
-        cross = probe.unionByName(held).groupBy("family", "group", "block").applyInPandas(lambda t: _cross(t, width, num, den), out)
-        cross = shared.keep(cross.where("doc_id <> root").distinct().toDF("a", "b").unionByName(link))
-        final = components(cross).toDF("doc_id", "label")
-    done = member.join(final.toDF("rep", "label"), "rep", "left")
-    return done.select("doc_id", "n_shingles", "digest", F.coalesce("label", "rep", "doc_id").alias("component_id"))
-
-
-def _cross(table: pd.DataFrame, width: int, num: int, den: int) -> pd.DataFrame:
+    schema = "doc_id long, n_shingles long, digest binary, tile long, meets boolean, columns binary"
+    rows = shared.keep(ask(docs, _emit_rows(width), "sum", _finish_rows(num, den), schema, shared.buckets(docs)))
+    some = rows.where("meets")
+    # A class has as many rows with columns as there are row blocks with it; one of them goes on, by the class's smallest id.
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.expr("CASE WHEN columns IS NOT NULL THEN tile END")).alias("carrier"))
+    classes = shared.keep(classes)
+    carried = some.where("columns IS NOT NULL").join(classes, (some["digest"] == classes["digest"]) & (F.col("tile") == F.col("carrier")))
+    linked = _joined(shared.keep(carried.select(F.col("rep").alias("doc_id"), "n_shingles", "columns")), num, den)
+    label = classes.join(linked.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
+    # Members of a class meet it by row block: a popular set has no more rows for a key than a block has.
+    label = some.select("digest", "tile").distinct().join(label, "digest")
+    met = some.join(label, ["digest", "tile"])
+    out = ["doc_id", "n_shingles", "digest", "component_id"]
+    return met.select(*out).unionByName(rows.where("NOT meets").withColumn("component_id", F.col("doc_id")).select(*out))
+
+
+def _cross(table: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Rows outside the main component against a block; a row that is on both sides counts as both."""
     table = table.sort_values(["doc_id", "side"], kind="stable")
     twice = table["doc_id"].duplicated(keep=False)
     table = table.assign(side=table["side"].where(~twice, 2)).drop_duplicates("doc_id")
-    return _row_blocks(table.sort_values("side", kind="stable"), width, num, den)
+    return _row_blocks(table.sort_values("side", kind="stable"), num, den)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
