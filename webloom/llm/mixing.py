@@ -2,9 +2,11 @@
 
 Tokens are summed by cell, a cell being (source, language, topic) with every source and language that the
 targets don't name under ``other``. So the cells are as many as the targets ask for, however large the corpus
-is. Their weights are raked to the three marginals in turn, all within one row of SQL; a document's probability
-is its cell's fitted weight over its natural one, times a factor that keeps the wanted share of all tokens,
-at most 1. Sampling compares it with a hash of ``doc_id``, so it is repeatable and needs no exchange.
+is. The tokens to keep of each cell start at the wanted share of what it has and are raked to the three marginals in turn,
+never above what the cell has: what a full cell cannot give, the others of its category give in the next rounds.
+All of that is within one row of SQL. A document's probability is its cell's fitted tokens over those it has.
+Sampling compares it with a hash of ``doc_id``, so it is repeatable and needs no exchange. ``residuals`` tells how
+far each category is from its target, which can only be where all tokens of a category are too few.
 """
 
 from __future__ import annotations
@@ -15,19 +17,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OTHER = "other"
+DIMENSIONS = ("source", "lang", "topic")
 
 
 @dataclass(frozen=True)
 class Targets:
-    """Wanted token shares; a marginal's shares are scaled to 1 over the categories that occur."""
+    """Wanted token shares; a marginal's shares are scaled to 1 over the categories that occur.
 
-    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.25, OTHER: 0.75})
+    The default ones even out twenty sources. ``keep`` is the share of all tokens that stays, ``rounds`` how often each marginal is
+    raked to.
+    """
+
+    source: dict[str, float] = field(default_factory=lambda: {f"src{k}": 0.05 for k in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.1, OTHER: 0.01})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.9, "notice": 0.05, "table": 0.05})
-    keep: float = 0.8
+    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.95, "notice": 0.02, "table": 0.03})
+    keep: float = 0.6
     rounds: int = 25
     seed: str = "mix"
 
+    def marginals(self) -> list[tuple[str, dict[str, float]]]:
+        return [(name, getattr(self, name)) for name in DIMENSIONS]
+
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -48,48 +58,57 @@ def cells(docs: DataFrame, targets: Targets, topic=topic_of) -> DataFrame:
     )
 
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda total, x: total + x)
+
+
+def _rake(at: Column, want: Column, whole: Column, has: Column, w: Column) -> Column:
+    """Tokens ``w`` of the cells scaled to one marginal, but no more than each cell ``has``.
+
+    ``at``: the cells' categories by number, -1 for a cell outside the marginal, which stays as it is; ``want``: their shares.
+    """
+
+    def of_category(k: Column) -> Column:
+        return _sum(F.zip_with(at, w, lambda a, x: F.when(a == k, x).otherwise(0.0)))
+
+    def scaled(parts: Column) -> Column:
+        inside = whole - (_sum(w) - _sum(parts))  # what cells outside the marginal leave for it
+        there = _sum(F.zip_with(parts, want, lambda x, v: F.when(x > 0, v).otherwise(0.0)))
+        steps = F.zip_with(parts, want, lambda x, v: F.when((x > 0) & (there > 0), v / there * inside / x).otherwise(1.0))
+        factor = lambda step, i: F.when(F.get(at, i) >= 0, F.get(step, F.get(at, i))).otherwise(1.0)
+        return _let(steps, lambda step: F.transform(w, lambda x, i: F.least(F.get(has, i), x * factor(step, i))))
+
+    return _let(F.transform(F.sequence(F.lit(0), F.size(want) - 1), of_category), scaled)
+
+
 def factors(rows: DataFrame, targets: Targets) -> DataFrame:
     """(source, lang, topic, p) of each cell; one small row is worked on."""
-    sums = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("w")).where("w > 0")
-    one = sums.agg(F.array_sort(F.collect_list(F.struct("source", "lang", "topic", "w"))).alias("c"))
-    wants = [("source", targets.source), ("lang", targets.lang), ("topic", targets.topic)]
-    index = lambda c, name, want: F.transform(c, lambda x: F.array_position(F.array(*[F.lit(k) for k in want]), x[name]).cast("int") - 1)
-    # Each marginal's categories by number, and its shares; a category outside a marginal keeps its weight.
-    setup = F.struct(
-        F.col("c"), F.transform("c", lambda x: x["w"]).alias("w"), F.array(*[index(F.col("c"), n, want) for n, want in wants]).alias("at"),
-        F.array(*[F.array(*[F.lit(float(v)) for v in want.values()]) for _, want in wants]).alias("want"),
-    )
-
-    def by_category(at: Column, w: Column, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.zip_with(at, w, lambda a, x: F.when(a == k, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x))
+    sums = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("w")).where("w > 0")
+    one = sums.agg(F.array_sort(F.collect_list(F.struct(*DIMENSIONS, "w"))).alias("c"))
 
-    def rake(at: Column, want: Column, w: Column) -> Column:
-        def scale(t: Column) -> Column:
-            whole = F.aggregate(t, F.lit(0.0), lambda s, x: s + x)
-            there = F.aggregate(F.zip_with(t, want, lambda x, v: F.when(x > 0, v).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-            step = F.zip_with(t, want, lambda x, v: F.when((x > 0) & (there > 0), v / there * whole / x).otherwise(1.0))
-            return _let(step, lambda f: F.transform(w, lambda x, i: F.when(F.get(at, i) >= 0, x * F.get(f, F.get(at, i))).otherwise(x)))
+    def number(name: str, want: dict[str, float]) -> Column:
+        names = F.array(*[F.lit(k) for k in want])
+        return F.transform("c", lambda x: F.array_position(names, x[name]).cast("int") - 1)
 
-        return _let(by_category(at, w, F.size(want)), scale)
+    has = F.transform("c", lambda x: x["w"])
+    setup = F.struct(
+        F.col("c"), has.alias("has"), (_sum(has) * targets.keep).alias("whole"),
+        F.array(*[number(name, want) for name, want in targets.marginals()]).alias("at"),
+        F.array(*[F.array(*[F.lit(float(v)) for v in want.values()]) for _, want in targets.marginals()]).alias("want"),
+    )
 
-    start = lambda s: s["w"].cast("array<double>")
-    fitted = _let(setup, lambda s: F.struct(s["c"].alias("c"), F.aggregate(F.sequence(F.lit(0), F.lit(3 * targets.rounds - 1)), start(s), lambda w, k: rake(F.get(s["at"], F.pmod(k, F.lit(3))), F.get(s["want"], F.pmod(k, F.lit(3))), w).cast("array<double>")).alias("f")))
-    ratio = _let(fitted, lambda s: F.struct(s["c"].alias("c"), F.zip_with(s["c"], s["f"], lambda c, f: f / c["w"]).alias("r")))
+    def fit(s: Column) -> Column:
+        start = F.transform(s["has"], lambda x: x * targets.keep).cast("array<double>")
 
-    def kept_tokens(s: Column, factor: Column) -> Column:
-        return F.aggregate(F.zip_with(s["c"], s["r"], lambda c, r: c["w"] * F.least(F.lit(1.0), factor * r)), F.lit(0.0), lambda t, x: t + x)
+        def turn(w: Column, k: Column) -> Column:
+            k = F.pmod(k, F.lit(len(DIMENSIONS)))
+            return _rake(F.get(s["at"], k), F.get(s["want"], k), s["whole"], s["has"], w).cast("array<double>")
 
-    def calibrate(s: Column) -> Column:
-        """The factor for which the wanted share of tokens stays, by bisection."""
-        want = F.aggregate(s["c"], F.lit(0.0), lambda t, c: t + c["w"]) * targets.keep
-        top = F.lit(1.0) / F.array_min(s["r"])
-        ends = F.aggregate(
-            F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")),
-            lambda e, _: _let((e["lo"] + e["hi"]) / 2, lambda mid: F.when(kept_tokens(s, mid) < want, F.struct(mid.alias("lo"), e["hi"].alias("hi"))).otherwise(F.struct(e["lo"].alias("lo"), mid.alias("hi")))),
-        )
-        return _let(ends["hi"], lambda f: F.zip_with(s["c"], s["r"], lambda c, r: F.struct(c["source"].alias("source"), c["lang"].alias("lang"), c["topic"].alias("topic"), F.least(F.lit(1.0), f * r).alias("p"))))
+        fitted = F.aggregate(F.sequence(F.lit(0), F.lit(len(DIMENSIONS) * targets.rounds - 1)), start, turn)
+        share = lambda c, f: F.struct(*[c[d].alias(d) for d in DIMENSIONS], (f / c["w"]).alias("p"))
+        return F.zip_with(s["c"], fitted, share)
 
-    return one.where(F.size("c") > 0).select(F.explode(_let(ratio, calibrate)).alias("x")).select("x.*")
+    return one.where(F.size("c") > 0).select(F.explode(_let(setup, fit)).alias("x")).select("x.*")
 
 
 def chance(doc_id: Column, seed: str) -> Column:
@@ -105,8 +124,8 @@ def mix(docs: DataFrame, targets: Targets | None = None, topic=topic_of) -> Data
     ``doc_id`` is sampled as one id; rows that repeat a ``doc_id`` are kept or left together within a
     cell; a category of the targets that doesn't occur is left out and the shares of the others grow; a category that
     no target names (a topic, or ``other`` where it isn't listed) keeps its weight within the others' fitting;
-    where targets ask for more of a cell than there is, its documents all stay and the rest follows ``keep``;
-    an empty table gives an empty one.
+    where targets ask for more of a category than there is, its documents all stay, ``residuals`` tells what is missing, and
+    the other categories make up for it as far as their own targets let them; an empty table gives an empty one.
     """
     targets = targets or Targets()
     rows = cells(docs, targets, topic)
@@ -121,6 +140,22 @@ def sampled(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     return mix(docs, targets).where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
+def residuals(mixed: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """For each category of each marginal: its share of the tokens before, wanted, expected and kept.
+
+    ``mixed`` is what ``mix`` gave. ``wanted`` is scaled to 1 over the categories that occur, null for one that no target names.
+    """
+    targets = targets or Targets()
+    tokens = {"before": F.col("tokens"), "expected": F.col("p") * F.col("tokens"), "kept": F.when(F.col("kept"), F.col("tokens")).otherwise(0)}
+    dims = F.array(*[F.struct(F.lit(d).alias("marginal"), F.col(d).alias("category")) for d in DIMENSIONS])
+    sums = mixed.groupBy(*DIMENSIONS).agg(*[F.sum(x).cast("double").alias(k) for k, x in tokens.items()])
+    by = sums.select(F.explode(dims).alias("d"), *tokens).groupBy("d.marginal", "d.category").agg(*[F.sum(k).alias(k) for k in tokens])
+    want = [(d, k, float(v)) for d, shares in targets.marginals() for k, v in shares.items()]
+    by = by.join(mixed.sparkSession.createDataFrame(want, "marginal string, category string, wanted double"), ["marginal", "category"], "left")
+    whole = by.groupBy("marginal").agg(*[F.sum(k).alias(f"all_{k}") for k in tokens], F.sum(F.when(F.col("before") > 0, F.col("wanted"))).alias("all_wanted"))
+    return by.join(whole, "marginal").select("marginal", "category", *[(F.col(k) / F.col(f"all_{k}")).alias(k) for k in ("before", "wanted", "expected", "kept")])
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 6).alias("p"), "kept")
@@ -128,22 +163,22 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(targets: Targets, documents: str) -> str:
     listed = lambda want: ", ".join(f"'{k}'" for k in want if k != OTHER)
-    values = ", ".join(f"('{d}', '{k}', {float(v)!r}::DOUBLE)" for d, want in (("source", targets.source), ("lang", targets.lang), ("topic", targets.topic)) for k, v in want.items())
-    rake = lambda d, inner: f"""SELECT s.source, s.lang, s.topic, s.w, s.k, s.f * coalesce(v / there * whole / part, 1.0) AS f FROM (
-      SELECT x.*, v, sum(x.f) OVER (PARTITION BY x.{d}) AS part, sum(CASE WHEN v IS NULL THEN 0.0 ELSE x.f END) OVER () AS whole,
-        sum(v / cnt) OVER () AS there FROM (SELECT y.*, t.v, count(*) OVER (PARTITION BY y.{d}) AS cnt FROM ({inner}) y LEFT JOIN want t ON t.d = '{d}' AND t.c = y.{d}) x) s"""
+    values = ", ".join(f"('{d}', '{k}', {float(v)!r}::DOUBLE)" for d, want in targets.marginals() for k, v in want.items())
+
+    def rake(d: str, inner: str) -> str:
+        return f"""SELECT s.source, s.lang, s.topic, s.w, s.k, least(s.w, s.f * coalesce(v / there * whole / part, 1.0)) AS f FROM (
+      SELECT x.*, v, sum(x.f) OVER (PARTITION BY x.{d}) AS part, {targets.keep!r} * sum(x.w) OVER () - sum(CASE WHEN v IS NULL THEN x.f ELSE 0.0 END) OVER () AS whole,
+        sum(v / cnt) OVER () AS there FROM (SELECT y.*, t.v, count(*) OVER (PARTITION BY y.{d}) AS cnt FROM ({inner}) y LEFT JOIN want t ON t.d = '{d}' AND t.c = y.{d}) x) s"""
+
+    turn = rake("topic", rake("lang", rake("source", f"SELECT * FROM fit WHERE k < {targets.rounds}")))
     return f"""want(d, c, v) AS (VALUES {values}),
 rows_ AS (SELECT doc_id, CASE WHEN source IN ({listed(targets.source)}) THEN source ELSE 'other' END AS source, CASE WHEN lang IN ({listed(targets.lang)}) THEN lang ELSE 'other' END AS lang,
   CASE WHEN contains(coalesce(text, ''), '|') THEN 'table' WHEN contains(coalesce(text, ''), '!!') THEN 'notice' ELSE 'prose' END AS topic,
   CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS tokens FROM {documents}),
 cell AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS w FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
-fit(source, lang, topic, w, k, f) AS (SELECT source, lang, topic, w, 0, w FROM cell UNION ALL SELECT source, lang, topic, w, k + 1, f FROM ({rake("topic", rake("lang", rake("source", "SELECT * FROM fit WHERE k < " + str(targets.rounds))))})),
-ratio AS (SELECT source, lang, topic, w, f / w AS r FROM fit WHERE k = {targets.rounds}),
-level(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, (SELECT 1 / min(r) FROM ratio) UNION ALL
-  SELECT k + 1, CASE WHEN got < want THEN (lo + hi) / 2 ELSE lo END, CASE WHEN got < want THEN hi ELSE (lo + hi) / 2 END
-  FROM (SELECT k, lo, hi, (SELECT sum(w * least(1.0, (lo + hi) / 2 * r)) FROM ratio) AS got, (SELECT sum(w) FROM ratio) * {targets.keep!r} AS want FROM level WHERE k < 50)),
-mixed AS (SELECT x.*, coalesce(least(1.0, (SELECT hi FROM level WHERE k = 50) * r), 1.0) AS p,
-  CAST('0x' || substr(md5('{targets.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u FROM rows_ x LEFT JOIN ratio USING (source, lang, topic))"""
+fit(source, lang, topic, w, k, f) AS (SELECT source, lang, topic, w, 0, {targets.keep!r} * w FROM cell UNION ALL SELECT source, lang, topic, w, k + 1, f FROM ({turn})),
+mixed AS (SELECT x.*, coalesce((SELECT f / w FROM fit c WHERE k = {targets.rounds} AND c.source = x.source AND c.lang = x.lang AND c.topic = x.topic), 1.0) AS p,
+  CAST('0x' || substr(md5('{targets.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u FROM rows_ x)"""
 
 
 OP4_SQL = "WITH RECURSIVE " + _sql(Targets(), "documents") + "\nSELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, u < p AS kept FROM mixed"
