@@ -1,6 +1,5 @@
 """Substring dedup, line dedup and the n-gram join against brute force."""
 
-import hashlib
 import random
 import re
 
@@ -151,7 +150,7 @@ def brute_lines(rows):
     lines = [(k, i, WORD.findall(x)) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     first = {}
     for k, i, w in sorted(lines, key=lambda x: x[:2]):
-        if len(w) >= 3:
+        if w:
             first.setdefault(tuple(w), (k, i))
 
     def near(a, b):
@@ -163,7 +162,7 @@ def brute_lines(rows):
         return head + tail >= max(len(a), len(b)) - 1
 
     best = {a: min([p, *(q for b, q in first.items() if near(a, b))]) for a, p in first.items()}
-    gone = {(k, i) for k, i, w in lines if len(w) >= 3 and best[tuple(w)] < (k, i)}
+    gone = {(k, i) for k, i, w in lines if w and best[tuple(w)] < (k, i)}
     return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in rows}
 
 
@@ -219,5 +218,3 @@ def test_components(spark):
     assert got == {k: root[k] for k in ends}
 
 
-def test_digest_of_queries(spark):
-    assert hashlib.sha256(b"a b").hexdigest() == spark.range(1).select(F.sha2(F.lit("a b"), 256)).first()[0]

@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-The edit unit is the word, the bound is one edit (a word put in, taken out or replaced) for lines of
-at least ``near_words`` words; shorter lines of at least ``least_words`` words are compared
-exactly, and still shorter ones stay. A line goes if a line within the bound comes earlier, by
-``doc_id`` and then line number; lines are judged on the input.
+The edit unit is the word. Every line with a word is compared; the bound is one edit (a word put in, taken out or
+replaced) for lines of at least ``near_words`` words, of which one edit changes an eighth or less, and none for
+shorter ones. A line goes if a line within the bound comes earlier, by ``doc_id`` and then line number; lines are
+judged on the input.
 
 1. Equal lines are brought together by a 128-bit hash; each keeps its earliest place.
 2. Two lines within one edit agree in their first m or in their last m words, for every m up to
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm import shared
 
-NEAR_WORDS, LEAST_WORDS = 8, 3
+#: Words of a line from which on one edit is allowed: a parameter.
+NEAR_WORDS = 8
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -61,7 +62,7 @@ def _half(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.floor(n / 2))) - 1)
 
 
-def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines of each document that go.
 
     ``docs`` must have ``doc_id`` and ``text``, both without nulls, and them only. Where an exploded array is never empty the outer
@@ -70,8 +71,7 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     s, n = F.col("s"), F.col("n")
     odd = docs.select("doc_id", "text", _has_odd_space(F.col("text")).alias("odd"))  # once for a text, so below the explode
     split = odd.select("doc_id", "odd", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "text"))
-    long_enough = F.call_function("substring_index", s, F.lit(" "), F.lit(least_words - 1)) != s  # so looks no further
-    lines = split.select("doc_id", "line", _plain(F.col("text"), F.col("odd")).alias("s")).where(long_enough if least_words > 1 else s != "")
+    lines = split.select("doc_id", "line", _plain(F.col("text"), F.col("odd")).alias("s")).where(s != "")
     name = [F.xxhash64(s).alias("h"), F.xxhash64(F.lit(7), s).alias("g")]
     # Heads and tails of two sizes, where a line one word shorter takes another. Small projections keep the generated methods
     # small enough to be compiled.
@@ -149,10 +149,10 @@ def _within_one(a: Column, b: Column) -> Column:
     return _let(F.struct(a.alias("a"), b.alias("b")), decide)
 
 
-def line_dedup(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """The rows of ``docs`` with ``text`` without the lines that go, ``n_lines`` and ``n_removed``.
 
-    Lines are split at \\n and joined again by it; lines of fewer than ``least_words`` words stay.
+    Lines are split at \\n and joined again by it; lines without a word stay.
 
     Defined cases: a null text stays null and has no lines; a row with a null ``doc_id`` stays as
     it is; of rows that repeat a ``doc_id`` each loses the lines that the id loses, and lines of equal
@@ -161,7 +161,7 @@ def line_dedup(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int =
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     plain = shared.plain(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    gone = removed_lines(plain, near_words, least_words).toDF("id", "gone").hint("merge")
+    gone = removed_lines(plain, near_words).toDF("id", "gone").hint("merge")
     # In a struct the columns' names clash with none of these.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     out = rows.join(gone, "id", "left")
@@ -182,7 +182,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEPT_SQL = r"""
 l AS (SELECT doc_id, i - 1 AS i, x[i] AS line, list_filter(string_split_regex(x[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(x) + 1)) AS i FROM {documents} WHERE text IS NOT NULL)),
-u AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min(doc_id * 100000000 + i) AS first FROM l WHERE len(w) >= 3 GROUP BY 1),
+u AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min(doc_id * 100000000 + i) AS first FROM l WHERE len(w) >= 1 GROUP BY 1),
 v AS (SELECT s, first, k, array_to_string(list_concat(w[:k - 1], w[k + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM u WHERE len(w) >= 8)),
 t AS (SELECT s, min(first) OVER (PARTITION BY v, k) AS best FROM v
   UNION ALL SELECT v.s, u.first FROM v JOIN u ON u.s = v.v AND len(u.w) >= 8
@@ -191,7 +191,7 @@ t AS (SELECT s, min(first) OVER (PARTITION BY v, k) AS best FROM v
 m AS (SELECT s, min(best) AS best FROM t GROUP BY s),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (best < l.doc_id * 100000000 + i) AS n_removed,
   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (best IS NULL OR best >= l.doc_id * 100000000 + i), '') AS text
-  FROM l LEFT JOIN m ON len(l.w) >= 3 AND m.s = array_to_string(l.w, ' ') GROUP BY l.doc_id)
+  FROM l LEFT JOIN m ON len(l.w) >= 1 AND m.s = array_to_string(l.w, ' ') GROUP BY l.doc_id)
 """
 OP2_SQL = "WITH " + KEPT_SQL.replace("{documents}", "documents") + """
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept.text) AS kept_sha256
