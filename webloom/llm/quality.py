@@ -40,18 +40,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _repeated(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
-    A window is a long: its hash above, its place below, so one sort of longs brings equal ones together.
+    A window is first a long, its hash above and its place below, so that one sort of longs brings equal ones together. Those that
+    share their hash's bits with another are then told apart by their words, in a second sort.
     """
     n = F.size(w)
     bits = F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(1)).cast("int")
     up, down = (lambda x, b, f=f: F.call_function(f, x, b) for f in ("shiftleft", "shiftrightunsigned"))
 
+    def repeats(found: Column, name: Callable[[Column], Column]) -> Column:
+        """Of a sorted array what has the same name as what stands before or behind it."""
+        same = lambda s, i, x: F.coalesce(name(F.get(s, i)) == name(x), F.lit(False))
+        return _let(found, lambda s: F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)))
+
     def of(b: Column) -> Column:
         keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: up(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b).bitwiseOR(i.cast("long")))
-        same = lambda s, i, x: F.coalesce(down(F.get(s, i), b) == down(x, b), F.lit(False))
-        found = _let(F.sort_array(keys), lambda s: F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)))
-        place = lambda x: x.bitwiseAND(up(F.lit(1).cast("long"), b) - 1)
-        return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: place(x) + k)))))
+        place = lambda x: x.bitwiseAND(up(F.lit(1).cast("long"), b) - 1).cast("int")
+        likely = repeats(F.sort_array(keys), lambda x: down(x, b))
+        window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("s"), i.alias("i"))
+        found = repeats(F.array_sort(F.transform(likely, lambda x: _let(place(x), window))), lambda x: x["s"])
+        return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: x["i"] + k)))))
 
     return F.when(n < 4, F.lit(0)).otherwise(_let(bits, of))
 
@@ -64,7 +71,9 @@ def measurements(text: Column) -> Column:
     def of(t: Column) -> Column:
         words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
         lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        parts = F.struct(_let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("r"))).alias("w"), _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("l"))
+        of_words = lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("r"))
+        of_lines = lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))
+        parts = F.struct(_let(words, of_words).alias("w"), _let(lines, of_lines).alias("l"))
         return _let(parts, lambda p: F.struct(
             long(p["w"]["n"], "n_words"), long(p["w"]["chars"], "word_chars"), long(F.regexp_count(t, F.lit(_SYMBOLS)), "n_symbols"), long(p["l"]["n"] - p["l"]["d"], "n_dup_lines"),
             long(p["w"]["r"], "n_repeat_words"), long(p["l"]["n"], "n_lines"), long(F.regexp_count(t, F.lit("[A-Z]")), "n_upper"),
