@@ -5,7 +5,8 @@ the smallest tier that holds it. A pool of leftovers is packed from the longest
 largest piece opens a window of its tier, the gap takes the largest piece of a shorter tier that fits, again and
 again, and where none fits a longer one is cut to fill the gap exactly. Pieces that cannot fill a window
 wait for the next pool; a task's last ones are cut into windows of smaller powers of two. So no window is
-padded. Windows of one length form step groups of equal token counts.
+padded. Windows of one length form step groups of equal token counts; the last two groups of a task and length share
+what is left evenly.
 
 Packing is a map over the input's partitions: no exchange, and memory follows the pool.
 """
@@ -33,6 +34,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 _OTHER = re.compile("[^\t\n\r -~¡-ɏ]")
 _SPECIAL = "<|endoftext|>"
+#: White space and other runs of so many characters are left to the tokenizers library.
+_LONG_RUN = 256
+_SPACES = re.compile(r"\s{%d}" % _LONG_RUN)
+
+
+def _simple(text: str) -> bool:
+    """Whether both libraries give the same ids: ASCII and Latin letters, no special token, no long run."""
+    return not (_OTHER.search(text) or _SPECIAL in text or _SPACES.search(text) or max(map(len, text.split()), default=0) >= _LONG_RUN)
 
 
 @functools.cache
@@ -40,7 +49,8 @@ def encoder(vocabulary: str, ranks: str | None) -> Callable[[str], list[int]]:
     """Ids of a text by the tokenizers library's file ``vocabulary``.
 
     ``ranks`` is the same vocabulary for tiktoken, which is several times as fast; it takes the texts in
-    ASCII and Latin letters without the special token, where both split alike.
+    ASCII and Latin letters without the special token, where both split alike. Its splitter gives up on runs of a
+    hundred thousand characters, so texts with long runs are left to the other too.
     """
     import tokenizers
 
@@ -56,7 +66,43 @@ def encoder(vocabulary: str, ranks: str | None) -> Callable[[str], list[int]]:
     with open(ranks, "rb") as file:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-    return lambda text: exact(text) if _SPECIAL in text or _OTHER.search(text) else fast(text)
+    return lambda text: fast(text) if _simple(text) else exact(text)
+
+
+class _Groups:
+    """Step groups of windows of one length: full ones as they come, and the last two of even sizes.
+
+    Windows below the shortest tier count as that tier's.
+    """
+
+    def __init__(self, task: int) -> None:
+        self.task, self.held, self.ids, self.made = task, {}, {}, {}
+
+    def add(self, size: int, window: list[tuple]) -> list[tuple]:
+        """Rows of the groups that are settled now."""
+        tier = max(size, LEAST)
+        self.held.setdefault(tier, []).append((size, window))
+        self.ids[tier] = self.ids.get(tier, 0) + size
+        return self._cut(tier, GROUP) if self.ids[tier] >= 2 * GROUP else []
+
+    def _cut(self, tier: int, ids: int) -> list[tuple]:
+        n = self.made.get(tier, 0)
+        self.made[tier] = n + 1
+        group, rows, k, taken = self.task | (tier.bit_length() << 34) | n, [], 0, 0
+        while k < len(self.held[tier]) and taken < ids:
+            size, window = self.held[tier][k]
+            rows += [(*row, group) for row in window]
+            taken, k = taken + size, k + 1
+        del self.held[tier][:k]
+        self.ids[tier] -= taken
+        return rows
+
+    def rest(self) -> Iterator[list[tuple]]:
+        for tier in self.held:
+            if self.ids[tier] > GROUP:
+                yield self._cut(tier, self.ids[tier] // 2)
+            if self.held[tier]:
+                yield self._cut(tier, GROUP)
 
 
 class _Pool:
@@ -113,19 +159,18 @@ def _pack(vocabulary: str | None, ranks: str | None):
             ids_of = encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
         else:
             ids_of = encoder(vocabulary, ranks)
-        task, pool, rows, made, groups, held = TaskContext.get().partitionId() << 40, _Pool(), [], 0, {}, 0
+        task, pool, rows, made, held = TaskContext.get().partitionId() << 40, _Pool(), [], 0, 0
+        groups = _Groups(task)
 
         def add(size: int, pieces: list[tuple]) -> None:
             nonlocal made, held
-            n = groups.get(size, 0)
-            groups[size] = n + 1
-            group = task | (size.bit_length() << 34) | (n * size // GROUP)
-            at = 0
+            at, window = 0, []
             for (doc_id, ids), start, length in pieces:
-                rows.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), task | made, at, size, group))
+                window.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), task | made, at, size))
                 at += length
             made += 1
             held += size
+            rows.extend(groups.add(size, window))
 
         def out() -> pa.RecordBatch:
             nonlocal held
@@ -140,7 +185,7 @@ def _pack(vocabulary: str | None, ranks: str | None):
                 doc, full = (doc_id, ids), len(ids) // WINDOW * WINDOW
                 for start in range(0, full, WINDOW):
                     add(WINDOW, [(doc, start, WINDOW)])
-                    if held >= POOL:
+                    if held >= POOL and rows:
                         yield out()
                 if full < len(ids):
                     if full:  # a leftover needs no hold on the rest
@@ -149,10 +194,12 @@ def _pack(vocabulary: str | None, ranks: str | None):
                 if pool.total >= POOL:
                     for window in pool.windows(False):
                         add(*window)
-                if held >= POOL:
+                if held >= POOL and rows:
                     yield out()
         for window in pool.windows(True):
             add(*window)
+        for settled in groups.rest():
+            rows.extend(settled)
         if rows:
             yield out()
 
