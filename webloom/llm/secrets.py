@@ -10,7 +10,7 @@ character by character, through base64 and compression to the encoded run.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import hashlib
 import io
 import re
@@ -36,9 +36,17 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Percent escapes with the characters that need none.
-_QUOTED = re.compile(r"[A-Za-z0-9_.~/-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*)+")
-#: Inflated bytes of one run; beyond it the rest of that run is inflated in further layers of this size.
+_QUOTED = re.compile(r"(?<![A-Za-z0-9_.~/-])[A-Za-z0-9_.~/-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*+)++")
+#: Bytes that are inflated and read at a time.
 INFLATE, READ = 8 << 20, 1 << 20
+#: What matches and encoded runs are made of. Data are cut behind another byte, and are no text that matters without 14 such bytes in a
+#: row, the least that a match has. RUN: bytes of a run that is cut anywhere, with an overlap.
+_IN = rb"A-Za-z0-9+/_.=\-\"' :%\\{}&#;~"
+_BREAK, _LONG = re.compile(rb"[^%s]" % _IN), re.compile(rb"[%s]{14}" % _IN)
+_WIDE = re.compile(rb"(?P<le>(?:[%s]\0){14})|(?P<be>(?:\0[%s]){14})" % (_IN, _IN))
+RUN, OVERLAP = 64 << 20, 4096
+#: Where gzip or zlib data may begin within other bytes.
+_HEADS = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -54,38 +62,59 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class _Layer:
-    """A text with the place in layer 0 of each of its characters, or of all of it."""
+    """A text with the place in layer 0 of each of its characters, or of all of it.
 
-    def __init__(self, text: str, starts: list[int] | range | None, ends: list[int] | range | None, whole: tuple[int, int] | None) -> None:
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    Places are kept by segment: (first character here, first place there, end there), the end being -1 where the characters
+    go along one by one, else that of the escape which all of the segment's characters come from.
+    """
+
+    def __init__(self, text: str, segments: list[tuple[int, int, int]], whole: tuple[int, int] | None) -> None:
+        self.text, self.segments, self.whole = text, segments, whole
+        self.first = [x[0] for x in segments]
+
+    def _segment(self, at: int) -> int:
+        return bisect.bisect_right(self.first, at) - 1
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.whole or (self.starts[start], self.ends[max(start, end - 1)])
+        if self.whole:
+            return self.whole
+        first, place, stop = self.segments[self._segment(start)]
+        start_there = place if stop >= 0 else place + start - first
+        last = max(start, end - 1)
+        first, place, stop = self.segments[self._segment(last)]
+        return start_there, stop if stop >= 0 else place + last - first + 1
+
+    def part(self, start: int, end: int, to: int) -> Iterator[tuple[int, int, int]]:
+        """The segments of some of the characters, as they lie from ``to`` on."""
+        k = self._segment(start)
+        while k < len(self.segments) and self.segments[k][0] < end:
+            first, place, stop = self.segments[k]
+            ahead = max(0, start - first)
+            yield to + first + ahead - start, place + (ahead if stop < 0 else 0), stop
+            k += 1
 
 
 def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """``layer`` with the matches of a pattern replaced by what they stand for."""
-    text, parts, starts, ends, at, changed = layer.text, [], [], [], 0, False
+    text, parts, segments, at, to = layer.text, [], [], 0, 0
     for m in pattern.finditer(text):
         out = decode(m)
         if out is None:
             continue
-        changed = True
         parts += [text[at : m.start()], out]
         if not layer.whole:
-            starts += layer.starts[at : m.start()]
-            ends += layer.ends[at : m.start()]
-            one = layer.span(m.start(), m.end())
-            starts += [one[0]] * len(out)
-            ends += [one[1]] * len(out)
+            if at < m.start():
+                segments += layer.part(at, m.start(), to)
+            if out:
+                segments.append((to + m.start() - at, *layer.span(m.start(), m.end())))
+        to += m.start() - at + len(out)
         at = m.end()
-    if not changed:
+    if not parts:
         return None
     parts.append(text[at:])
-    if not layer.whole:
-        starts += layer.starts[at:]
-        ends += layer.ends[at:]
-    return _Layer("".join(parts), starts, ends, layer.whole)
+    if not layer.whole and at < len(text):
+        segments += layer.part(at, len(text), to)
+    return _Layer("".join(parts), segments, layer.whole)
 
 
 def _percent(m: re.Match) -> str:
@@ -132,7 +161,7 @@ def _inflated(source: BinaryIO) -> Iterator[tuple[bytes, bool]]:
 
 
 def _plain(raw: bytes) -> Iterator[bytes]:
-    """The bytes and, as long as data begin as gzip or zlib, what those hold, in pieces that overlap by what a pattern may span.
+    """The bytes and, as long as data begin as gzip or zlib, what those hold, in pieces that are cut between runs.
 
     Packed data in packed data wait in files beyond some size; data that were seen before (cycle) are not read again.
     """
@@ -154,8 +183,22 @@ def _plain(raw: bytes) -> Iterator[bytes]:
                     if one:
                         one[0].write(piece)
                         one[1].update(piece)
-                yield carry + piece
-                carry, first = (carry + piece)[-4096:], False
+                first = False
+                piece = carry + piece
+                cut, at = 0, len(piece)
+                while at and not cut:
+                    at = max(0, at - OVERLAP)
+                    cut = max((m.end() for m in _BREAK.finditer(piece, at, at + OVERLAP)), default=0)
+                if cut:
+                    yield piece[:cut]
+                    carry = piece[cut:]
+                elif len(piece) >= RUN:
+                    yield piece
+                    carry = piece[-OVERLAP:]
+                else:
+                    carry = piece
+            if carry:
+                yield carry
         for file, digest in nested:
             if digest.digest() in seen:
                 file.close()
@@ -168,13 +211,33 @@ def _plain(raw: bytes) -> Iterator[bytes]:
 def _texts(raw: bytes) -> Iterator[str]:
     """Bytes, and what they hold packed, as texts; whether one is a secret is left to the patterns."""
     for piece in _plain(raw):
-        yield piece.decode("utf-8", "replace")
-        if b"\0" not in piece:
+        if _LONG.search(piece):
+            yield piece.decode("utf-8", "replace")
+        for start, kind in {(m.start() % 2, m.lastgroup) for m in _WIDE.finditer(piece)} if b"\0" in piece else ():
+            yield piece[start:].decode(f"utf-16-{kind}", "replace")
+
+
+def _whole(raw: bytes) -> bool:
+    """Whether bytes are all text, or packed data from their beginning."""
+    try:
+        if _packed(raw[:3]):
+            zlib.decompressobj(47).decompress(raw[:512], READ)
+        else:
+            raw.decode()
+    except (zlib.error, UnicodeDecodeError):
+        return False
+    return True
+
+
+def _inner(raw: bytes) -> Iterator[str]:
+    """Texts of decoded bytes, and of packed data that begin somewhere in them."""
+    yield from _texts(raw)
+    for m in _HEADS.finditer(raw, 1):
+        try:
+            zlib.decompressobj(47).decompress(raw[m.start() : m.start() + 512], READ)
+        except zlib.error:
             continue
-        for start in (0, 1):
-            for kind, high in (("utf-16-le", 1), ("utf-16-be", 0)):
-                if b"\0\0\0" in piece[start + high :: 2]:  # zeros alternate somewhere
-                    yield piece[start:].decode(kind, "replace")
+        yield from _texts(raw[m.start() :])
 
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
@@ -184,34 +247,33 @@ def _decoded(layer: _Layer) -> Iterator[_Layer]:
     if "%" in text:
         for m in _QUOTED.finditer(text):
             raw = unquote_to_bytes(m[0])
-            gzip = raw.find(b"\x1f\x8b\x08")
-            for start in {0, max(0, gzip)}:
-                if _packed(raw[start : start + 3]) or not start and b"\0" in raw:
-                    for inner in _texts(raw[start:]):
-                        yield _Layer(inner, None, None, layer.span(m.start(), m.end()))
+            if b"\0" in raw or _packed(raw[:3]) or _HEADS.search(raw):
+                for inner in _inner(raw):
+                    yield _Layer(inner, [], layer.span(m.start(), m.end()))
     if ("\\" in text or "&#" in text) and (out := _unescaped(layer, _UNICODE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue  # no whole bytes
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        for inner in _texts(raw):
-            yield _Layer(inner, None, None, layer.span(m.start(), m.end()))
+        # What is glued on in front (a path, a name) shifts the groups of four characters.
+        for ahead in range(4):
+            own = body[ahead:]
+            own = own[:-1] if len(own) % 4 == 1 else own
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
+            for inner in _inner(raw):
+                yield _Layer(inner, [], layer.span(m.start(), m.end()))
+            if _whole(raw):
+                break
 
 
 def scan_layers(text: str) -> list[tuple[int, int, str]]:
     """Base spans of the text and those of its decoded layers, mapped to the text, by start and kind."""
     base = scan(text)
-    found, kept = set(base), {k: [(s, e) for s, e, kind in base if kind == k] for k in KINDS}
-    work, seen = [_Layer(text, range(len(text)), range(1, len(text) + 1), None)], {(text, None)}
+    found, kept = set(base), {k: [(s, e) for s, e, kind in base if kind == k] for k in KINDS}  # of a kind they don't overlap
+    work, seen = [_Layer(text, [(0, 0, -1)], None)], {(text, None)}
     while work:
         layer = work.pop()
         for inner in _decoded(layer):
-            name = (inner.text, inner.whole)
+            name = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), inner.whole)
             if name in seen:
                 continue
             seen.add(name)
@@ -219,7 +281,8 @@ def scan_layers(text: str) -> list[tuple[int, int, str]]:
             for start, end, kind in scan(inner.text):
                 one = inner.span(start, end)
                 # Escapes leave the rest of a text as it was: what the base has there is not told twice.
-                if not any(s <= one[0] and one[1] <= e for s, e in kept[kind]):
+                k = bisect.bisect_right(kept[kind], (one[0], len(text))) - 1
+                if k < 0 or kept[kind][k][1] < one[1]:
                     found.add((*one, kind))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
