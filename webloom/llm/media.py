@@ -21,6 +21,8 @@ from webloom.llm import shared
 #: Boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 RATE, CHUNK = 8000, 65536
+#: The largest number of a column; files may claim more.
+MOST = (1 << 63) - 1
 TRACK = "struct<track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,media_bytes:bigint,keyframes:bigint,key_ranges:array<struct<at:bigint,length:bigint>>,ranges:array<struct<at:bigint,length:bigint>>>"
 
 
@@ -66,7 +68,7 @@ class _Track:
         self.handler = self.codec = ""
         self.size, self.fixed, self.n = None, 0, 0
         self.to_chunk = self.chunk = self.times = self.sync = None
-        self.runs: list[tuple[int, int, bool, int]] = []
+        self.runs: list[tuple[int, int, int, bool, int]] = []  # place, size and number of alike samples, keyframes or not, duration of each
 
     def read(self, data: memoryview, kind: bytes, at: int, end: int) -> None:
         if kind == b"tkhd":
@@ -95,59 +97,76 @@ class _Track:
         elif kind == b"stsc":
             self.to_chunk = _table(data, at + 4, end, ">u4", 3)
         elif kind in (b"stco", b"co64"):
-            self.chunk = _table(data, at + 4, end, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
+            self.chunk = _table(data, at + 4, end, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]  # places beyond MOST come out negative
         elif kind == b"stts":
             self.times = _table(data, at + 4, end, ">u4", 2)
         elif kind == b"stss":
             self.sync = _table(data, at + 4, end, ">u4", 1)[:, 0]
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where samples lie, their sizes, and which are keyframes; runs of fixed one-unit samples of a chunk count as one."""
-        if self.chunk is None or self.to_chunk is None or not len(self.to_chunk) or not len(self.chunk):
-            none = np.zeros(0, np.int64)
-            return none, none, none.astype(bool)
-        first = self.to_chunk[:, 0] - 1
-        per = np.repeat(self.to_chunk[:, 1], np.diff(np.append(first, len(self.chunk))).clip(0))[: len(self.chunk)]
-        chunk = self.chunk[: len(per)]
-        before = np.concatenate([[0], np.cumsum(per)]).clip(max=self.n)
-        per = np.diff(before)
-        if self.size is None and self.sync is None:  # equal sizes, all of them keyframes
-            return chunk, per * self.fixed, np.ones(len(chunk), bool)
-        size = self.size[: before[-1]] if self.size is not None else np.full(before[-1], self.fixed, np.int64)
-        ahead = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(chunk - ahead[before[:-1]], per) + ahead[:-1]
-        key = np.ones(len(size), bool) if self.sync is None else np.isin(np.arange(1, len(size) + 1), self.sync)
-        return at, size, key
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks lie and the samples before each of them; memory follows the tables, whatever counts they claim."""
+        if self.chunk is None or self.to_chunk is None or not len(self.to_chunk):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        first = np.minimum.accumulate((self.to_chunk[:, 0] - 1).clip(0, len(self.chunk))[::-1])[::-1]
+        per = np.repeat(self.to_chunk[:, 1], np.diff(np.append(first, len(self.chunk))))
+        chunk = self.chunk[len(self.chunk) - len(per) :]
+        return chunk, np.concatenate([[0], np.cumsum(np.minimum(per, self.n))]).clip(max=self.n)
+
+    def ranges(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+        """(place, length) of all samples and of the keyframes, in order, and how many keyframes there are."""
+        chunk, before = self.chunks()
+        n = int(before[-1])
+        if self.size is not None:
+            ahead = np.concatenate([[0], np.cumsum(self.size[:n])])
+        else:
+            ahead = None  # equal sizes are worked out, not kept
+        upto = lambda k: ahead[k] if ahead is not None else k * self.fixed
+        whole = list(zip(chunk.tolist(), (upto(before[1:]) - upto(before[:-1])).tolist(), strict=True))
+        if self.sync is None:
+            return whole, whole, self.n
+        key = np.unique(self.sync) - 1
+        key = key[(key >= 0) & (key < n)]
+        home = np.searchsorted(before, key, "right") - 1
+        at = chunk[home] + upto(key) - upto(before[home])
+        return whole, list(zip(at.tolist(), (upto(key + 1) - upto(key)).tolist(), strict=True)), len(key)
 
     def as_row(self) -> dict:
-        at, size, key = self.samples()
-        keys, duration = self.n if self.sync is None else int(key.sum()), self.duration
+        whole, keys, n_keys = self.ranges()
+        duration, n = self.duration, self.n
+        unknown = duration in (0xFFFFFFFF, (1 << 64) - 1)
         if self.runs:
-            more = [np.array(x) for x in zip(*self.runs, strict=True)]
-            keys += int(more[2].sum())
+            n += sum(r[2] for r in self.runs)
+            n_keys += sum(r[2] for r in self.runs if r[3])
             # The header's duration tells of samples in tables only, of all, or is unknown (all bits set).
-            told = 0 if self.times is None else int((self.times[:, 0] * self.times[:, 1]).sum())
-            duration = max(0 if duration in (0xFFFFFFFF, (1 << 64) - 1) else duration, told + int(more[3].sum()))
-            at, size, key = np.concatenate([at, more[0]]), np.concatenate([size, more[1]]), np.concatenate([key, more[2].astype(bool)])
-        n = self.n + len(self.runs)
+            told = 0 if self.times is None else sum(a * b for a, b in self.times.tolist())
+            duration = max(0 if unknown else duration, told + sum(r[2] * r[4] for r in self.runs))
+            whole = whole + [(r[0], r[1] * r[2]) for r in self.runs]
+            keys = keys + [(r[0], r[1] * r[2]) for r in self.runs if r[3]]
+        most = lambda x: min(x, MOST)
         return {
-            "track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": duration,
-            "samples": n, "media_bytes": int(size.sum()), "keyframes": keys, "key_ranges": _merged(at[key], size[key]), "ranges": _merged(at, size),
+            "track_id": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": most(duration),
+            "samples": most(n), "media_bytes": most(sum(length for _, length in whole)), "keyframes": most(n_keys), "key_ranges": _merged(keys), "ranges": _merged(whole),
         }
 
 
-def _merged(at: np.ndarray, size: np.ndarray) -> list[dict]:
-    """Ranges in sample order, those that touch as one."""
-    at, size = at[size > 0], size[size > 0]
-    if not len(at):
-        return []
-    head = np.flatnonzero(np.append(True, at[1:] != at[:-1] + size[:-1]))
-    total = np.add.reduceat(size, head)
-    return [{"at": int(a), "length": int(n)} for a, n in zip(at[head], total, strict=True)]
+def _merged(parts: list[tuple[int, int]]) -> list[dict]:
+    """Ranges in sample order, those that touch as one, empty ones left out."""
+    out: list[dict] = []
+    for at, length in parts:
+        if length <= 0 or at < 0 or at > MOST:
+            continue
+        if out and out[-1]["at"] + out[-1]["length"] == at:
+            out[-1]["length"] = min(out[-1]["length"] + length, MOST)
+        else:
+            out.append({"at": at, "length": min(length, MOST)})
+    return out
 
 
 def _run(data: memoryview, at: int, end: int, base: int, next_at: int, default: tuple[int, int, int], track: _Track) -> int:
-    """Samples of a trun box, with the traf's default duration, size and flags; gives where the next run's samples begin."""
+    """Samples of a trun box, with the traf's default duration, size and flags; gives where the next run's samples begin.
+
+    Samples without fields of their own are alike, so they are kept as one entry, whatever number the box claims.
+    """
     _, flags = _full(data, at)
     n, at = struct.unpack_from(">I", data, at + 4)[0], at + 8
     if flags & 1:
@@ -159,13 +178,17 @@ def _run(data: memoryview, at: int, end: int, base: int, next_at: int, default:
     for field in (0x100, 0x200, 0x400, 0x800):
         if flags & field:
             place[field], width = width, width + 4
-    n = min(n, (end - at) // width if width else n)
-    for k in range(n):
+    alike = not set(place) & {0x100, 0x200, 0x400}
+    if width:
+        n = min(n, max(0, end - at) // width)
+    done = 0
+    while done < n:
         own = [struct.unpack_from(">I", data, at + place[field])[0] if field in place else d for field, d in zip((0x100, 0x200, 0x400), default, strict=True)]
-        if not k and first is not None and 0x400 not in place:
+        if not done and first is not None and 0x400 not in place:
             own[2] = first
-        track.runs.append((next_at, own[1], not own[2] & 0x10000, own[0]))
-        next_at, at = next_at + own[1], at + width
+        count = n - done if alike and (done or first is None) else 1
+        track.runs.append((next_at, own[1], count, not own[2] & 0x10000, own[0]))
+        next_at, at, done = next_at + own[1] * count, at + width, done + count
     return next_at
 
 
