@@ -87,13 +87,15 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """Examples: ``conv_id``, ``example``, ``is_last``, ``text``, and the loss span in code points.
 
     Defined cases: a null text or role is empty; turns that share a number are ordered by role and text; repeated
-    rows are repeated turns; a null ``conv_id`` is one conversation; a null turn number comes first; a conversation
+    rows are repeated turns; each row with a null ``conv_id`` is a conversation of its own; a null turn number comes first; a conversation
     without assistant turns gives one example without a span; other columns are ignored; an empty
     table gives an empty one. Only the turns of one conversation, which an example must hold anyway, come together.
     """
     row = F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    return whole.mapInArrow(_format, EXAMPLE)
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("row"))
+    whole = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    alone = turns.where("conv_id IS NULL").select("conv_id", F.array("row").alias("turns"))
+    return whole.unionByName(alone).mapInArrow(_format, EXAMPLE)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +110,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Of each conversation, from its examples alone: turns, loss text and lengths with digests."""
+    """Of each conversation, from its examples alone: turns, loss text and lengths with digests.
+
+    An example without a ``conv_id`` is all that there is of its conversation.
+    """
     read = examples.select("conv_id", "example", "is_last", "text", "loss_start", "loss_length").mapInArrow(_read, _READ)
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
-    whole = read.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("formatted_chars").alias("formatted_chars"), F.count("*").alias("n_examples"))
-    return whole.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
+    sums = [F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("formatted_chars").alias("formatted_chars"), F.count("*").alias("n_examples")]
+    whole = read.where("conv_id IS NOT NULL").groupBy("conv_id").agg(*sums)
+    alone = read.where("conv_id IS NULL").select("conv_id", "n_turns", "turns_sha256", "loss", "formatted_chars", F.lit(1).cast("long").alias("n_examples"))
+    out = ["conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples"]
+    return whole.unionByName(alone).select(*out)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
