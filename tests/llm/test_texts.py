@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -500,3 +501,58 @@ def test_mixing_query_meets_its_targets(spark):
     few = {(r.marginal, r.category): r for r in mixing.residuals(mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), short), short).collect()}
     one = few["source", "src0"]
     assert one.expected < one.wanted and mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), short).where("source = 'src0' AND p < 0.999999").count() == 0
+
+
+def generated_page(seed):
+    """A page made of known blocks, with and without an article, and what stands around its text: (html, main text)."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a>' + r.choice(["", "</li>"]) for _ in range(n))
+    blocks, out = [], []
+    for _ in range(r.randrange(4, 14)):
+        text = prose(r.randrange(30, 90))
+        kind = r.choice(["p", "p", "p", "div", "section", "blockquote", "h2", "ul"])
+        if kind == "ul":
+            items = [prose(r.randrange(12, 30)) for _ in range(3)]
+            blocks.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            out += items
+            continue
+        shown = text.replace(" ", r.choice([" ", "  ", "\n"]), 1).replace(".", r.choice([".", "&#46;", "<b>.</b>"]))
+        blocks.append(f"<{kind}>{shown}" + ("" if kind == "p" and r.random() < 0.5 else f"</{kind}>"))
+        out.append(text)
+        if r.random() < 0.3:
+            blocks.append(r.choice([f'<div class="ad">{prose(9)}</div>', f"<aside><p>{prose(40)}</aside>", f'<div class="social-share">{links(4)}</div>', f"<form>{prose(5)}<input></form>", f"<script>{prose(9)}</script>", f"<!-- {prose(5)} -->", f'<div id="cookieNotice">{prose(20)}</div>']))
+    body = "".join(blocks)
+    around = r.choice(["article", "main", "div", "section"])
+    region = f'<{around} class="{r.choice(["content has-sidebar", "social-policy", "post", "x"])}">{body}</{around}>'
+    if around in ("article", "main"):
+        region += r.choice(["", f'<div class="comments"><p>{prose(30)}</div>'])
+    top = f"<nav><ul>{links(6)}</ul></nav>" if r.random() < 0.5 else f"<div><ul>{links(9)}</ul></div>"  # the second has no name at all
+    end = f"<footer>{prose(10)}</footer>" if r.random() < 0.5 else f"<div><ul>{links(9)}</ul></div>"
+    head = f"<title>{prose(4)}</title><style>p{{x:1}}</style>" + r.choice(["", "</head>"])
+    return f"<!DOCTYPE html><html><head>{head}<body>{top}{region}{end}", "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_of_known_pages(seed):
+    page, text = generated_page(seed)
+    assert html_text.main_text(page) == text
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Whether lines stand out by their text-to-tag ratio decides what is given: all or none of them marked gives something else."""
+    pages = [generated_page(seed)[0] for seed in range(40)]
+    right = [html_text.main_text(p) for p in pages]
+    for mark in (True, False):
+        monkeypatch.setattr(html_text, "content_lines", lambda ratios, mark=mark: [mark] * len(ratios))
+        assert sum(html_text.main_text(p) != t for p, t in zip(pages, right, strict=True)) >= 10
+
+
+def test_html_head_names_and_depth():
+    """An open head ends at what is no part of it; names with other words in them name no menu; time follows the length."""
+    assert html_text.main_text("<html><head><title>t</title><meta charset=x><p>Hello there") == "Hello there"
+    assert html_text.main_text("<head><title>t</title> <link href=x> Hello") == "Hello"
+    assert html_text.main_text('<article><div class="content has-sidebar"><p>One.</p></div><section id="social-policy">Two.</section><div class="left-sidebar">no</div><div class="siteFooter">no</div></article>') == "One.\nTwo."
+    began = time.time()
+    assert html_text.main_text("<div>a" * 20000) and html_text.main_text("<p>a<b>" * 20000) and time.time() - began < 20

@@ -1,10 +1,11 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
 The standard library's parser gives events; block elements cut the page into lines, each with its text, its number
-of tags and the containers around it. The ratio of text to tags of each line is smoothed by a Gaussian; lines above
+of tags and the container it stands in. The ratio of text to tags of each line is smoothed by a Gaussian; lines above
 the spread of the smoothed ratios are content. Where an article or main part holds any of them, all articles and main
-parts are the content region, else the innermost container that holds all of them is. All of its lines are given but those in menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, which tags, roles and class words tell.
+parts are the content region, else the innermost container that holds all of them is. So link lists, menus and the like
+outside it go whatever their mark-up calls them. All of the region's lines are given but those in menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments, which tags, roles and class words tell.
 """
 
 from __future__ import annotations
@@ -30,23 +31,44 @@ WORDS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion "
     "share sharing social related recommended toolbar widget search pagination pager skip".split()
 )
+#: Words that say where or what kind of box; a name made of these and at least one of the others is such a part, any
+#: other word beside them (``has-sidebar``, ``social-policy``) makes it something else.
+PLAIN = frozenset(
+    "site page post entry article main global primary secondary left right top bottom upper lower side inner outer float sticky fixed box block bar list links link item items area wrap wrapper container section "
+    "holder row col column panel pane group unit slot zone icon icons button buttons btn header head title form field module card wide small large desktop mobile text content body user reader readers js the and of for us".split()
+)
+#: Elements that a page's head may hold; any other start tag, or text, ends it.
+HEAD_TAGS = frozenset("head title meta link base style script noscript template".split())
+_NOT_P = BLOCK - {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start of one of these ends an open element of the same kind, up to the list, table or page part around it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = [math.exp(-((k / SIGMA) ** 2) / 2) for k in range(-RADIUS, RADIUS + 1)]
 
 
+def _names(value: str, words: frozenset | set) -> bool:
+    """Whether a class or id has a name that is made of ``words`` and plain ones."""
+    for name in value.split():
+        parts = [p for p in _SPLIT.split(_CAMEL.sub("-", name).lower()) if p]
+        if not words.isdisjoint(parts) and all(p in words or p in PLAIN or p in WORDS for p in parts):
+            return True
+    return False
+
+
 class _Events(HTMLParser):
-    """Lines of a page: (text, tags, containers, is shown)."""
+    """Lines of a page: (text, tags, container, is shown). Containers are numbered, each with the one around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple, bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.kinds: list[str] = []  # of the containers, by number
-        self.open: list[tuple[str, int, bool]] = []  # tag, what it is, whether it is a container
-        self.around: tuple = ()
+        self.parents: list[int] = []
+        self.open: list[tuple[str, str, bool]] = []  # tag, what it is, whether it is a container
+        self.count: dict[str, int] = {}  # open elements of each tag
+        self.around = -1
         self.mute = self.part = self.header = self.article = self.heading = 0
         self.text: list[str] = []
         self.tags = 0
@@ -61,6 +83,8 @@ class _Events(HTMLParser):
                 self.tags = 0
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)
         if not self.mute:
             self.text.append(data)
 
@@ -69,11 +93,11 @@ class _Events(HTMLParser):
             return "mute"
         if tag in PARTS:
             return "part"
-        if tag == "article" and any(one == "article" for one, _, _ in self.open):
+        if tag == "article" and self.count.get("article"):
             return "part"  # articles within one are what readers say of it
         kind = "header" if tag == "header" else ""
-        for name, value in attrs:
-            value = (value or "").lower()
+        for name, given in attrs:
+            value = (given or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "mute"
             if tag == "article" and name == "class" and not WORDS.isdisjoint(value.split()):
@@ -83,17 +107,18 @@ class _Events(HTMLParser):
             if name == "role" and value in ROLES:
                 return "part"
             if name in ("class", "id"):
-                words = _SPLIT.split(value)
-                if not WORDS.isdisjoint(words):
+                if _names(given or "", WORDS):
                     return "part"
-                if "header" in words:
+                if _names(given or "", {"header"}):
                     kind = "header"
         return kind
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.count.get("head") and tag not in HEAD_TAGS:
+            self.handle_endtag("head")
         self.tags += 1
         if tag in BLOCK:
-            self._close("p", BLOCK - {"p"})
+            self._close("p", _NOT_P)
             self.cut()
         elif tag in ("br", "td", "th"):
             self.text.append(" ")
@@ -105,6 +130,7 @@ class _Events(HTMLParser):
         kind = self._kind(tag, attrs)
         holds = tag in BLOCK and tag not in ("p", "li", "html", *HEADINGS)
         self.open.append((tag, kind, holds))
+        self.count[tag] = self.count.get(tag, 0) + 1
         if kind:
             setattr(self, kind, getattr(self, kind) + 1)
         if tag in ("article", "main"):
@@ -112,7 +138,8 @@ class _Events(HTMLParser):
         if tag in HEADINGS:
             self.heading += 1
         if holds:
-            self.around = (*self.around, len(self.kinds))
+            self.parents.append(self.around)
+            self.around = len(self.kinds)
             self.kinds.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -121,6 +148,8 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str, until: set | frozenset) -> None:
+        if not self.count.get(tag):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._pop(k)
@@ -131,6 +160,7 @@ class _Events(HTMLParser):
     def _pop(self, k: int) -> None:
         self.cut_if_block(k)
         for tag, kind, holds in self.open[k:]:
+            self.count[tag] -= 1
             if kind:
                 setattr(self, kind, getattr(self, kind) - 1)
             if tag in ("article", "main"):
@@ -138,7 +168,7 @@ class _Events(HTMLParser):
             if tag in HEADINGS:
                 self.heading -= 1
             if holds:
-                self.around = self.around[:-1]
+                self.around = self.parents[self.around]
         del self.open[k:]
 
     def cut_if_block(self, k: int) -> None:
@@ -147,6 +177,8 @@ class _Events(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.count.get(tag):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._pop(k)
@@ -154,7 +186,11 @@ class _Events(HTMLParser):
 
 
 def content_lines(ratios: list[float]) -> list[bool]:
-    """Which lines stand out: smoothed ratios above their standard deviation."""
+    """Which lines stand out: smoothed ratios above their standard deviation.
+
+    A line whose own ratio is below a sixteenth of that was only lifted by its neighbours, as the first link of a list behind
+    a paragraph is.
+    """
     n = len(ratios)
     if not n:
         return []
@@ -168,7 +204,7 @@ def content_lines(ratios: list[float]) -> list[bool]:
         smooth.append(total / weight)
     mean = sum(smooth) / n
     spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / n)
-    return [x >= spread for x in smooth]
+    return [x >= spread and 16 * own >= spread for x, own in zip(smooth, ratios, strict=True)]
 
 
 def main_text(html: str) -> str:
@@ -181,15 +217,36 @@ def main_text(html: str) -> str:
     if not any(shown for *_, shown in lines):
         return ""
     marks = content_lines([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    content = [around for (*_, around, shown), mark in zip(lines, marks, strict=True) if shown and mark]
-    content = content or [around for *_, around, shown in lines if shown]
-    named = {k for k, kind in enumerate(page.kinds) if kind in ("article", "main")}
-    if any(not named.isdisjoint(around) for around in content):
-        regions = named
+    content = {around for (*_, around, shown), mark in zip(lines, marks, strict=True) if shown and mark}
+    content = content or {around for *_, around, shown in lines if shown}
+    # Of every container whether it lies in an article or main part; parents have smaller numbers.
+    named: list[bool] = []
+    for kind, parent in zip(page.kinds, page.parents, strict=True):
+        named.append(kind in ("article", "main") or (parent >= 0 and named[parent]))
+    if any(around >= 0 and named[around] for around in content):
+        inside = named
     else:
-        common = [x[0] for x in zip(*content, strict=False) if len(set(x)) == 1]
-        regions = set(common[-1:])
-    return "\n".join(text for text, _, around, shown in lines if shown and (not regions or not regions.isdisjoint(around)))
+        home = _innermost(page.parents, content)
+        if home < 0:
+            return "\n".join(text for text, _, _, shown in lines if shown)
+        inside = []
+        for k, parent in enumerate(page.parents):
+            inside.append(k == home or (parent >= 0 and inside[parent]))
+    return "\n".join(text for text, _, around, shown in lines if shown and around >= 0 and inside[around])
+
+
+def _innermost(parents: list[int], content: set[int]) -> int:
+    """The innermost container that holds all of ``content``, or -1; parents have smaller numbers."""
+    held = [0] * len(parents)
+    for k in content:
+        if k >= 0:
+            held[k] = 1
+    for k in range(len(parents) - 1, -1, -1):
+        if held[k] == len(content):
+            return k
+        if parents[k] >= 0:
+            held[parents[k]] += held[k]
+    return -1
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
