@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last give the
 columns of ``documents``. ``run`` writes what each stage gives to the shared folder, so a
-lost executor never costs an earlier stage.
+lost executor never costs an earlier stage, and deletes it when the next stage is written.
 """
 
 from __future__ import annotations
@@ -64,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared.materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        before, docs = docs, shared.materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        shared.drop(before)
+        session.unkeep()
     return STAGES[-1][1](spark, docs, sf_dir)

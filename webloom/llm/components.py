@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = shared.materialise(small.where("a <> b").distinct(), "edges")
+        before, now = now, shared.materialise(small.where("a <> b").distinct(), "edges")
+        shared.drop(before)
         if (here := _sum(now)) == seen:
             break
         seen = here

@@ -1,52 +1,18 @@
-"""Where intermediate tables live, and how many buckets a keyed exchange gets."""
+"""What the operators share: intermediate tables, plain columns, and how many buckets a keyed exchange gets."""
 
 from __future__ import annotations
 
-import gc
-import uuid
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Input bytes for which one more bucket of a keyed exchange is made.
-BYTES_PER_BUCKET = 64 << 20
+from webloom.session import drop, keep, materialise  # noqa: F401
+
+#: Input bytes (of files, so compressed) for which one more bucket of a keyed exchange is made: a bucket's keys are sorted in memory.
+BYTES_PER_BUCKET = 16 << 20
 #: A scan that tells of more than this doesn't know its size.
 UNKNOWN = 1 << 60
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests, a laptop) a folder under /tmp is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "/tmp/checkpoints").rstrip("/") + "/webloom"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive any executor, so a lost executor costs no recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing needs any more
-    return spark.read.schema(schema).parquet(path)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks for the steps that use it; what a lost executor held is worked out again.
-
-    For tables of a fixed number of steps. Rounds, whose lineage would grow, use ``materialise``.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def plain(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns with the wanted types; without a cast where they have them, so equal scans stay equal."""
     have = dict(df.dtypes)
