@@ -36,6 +36,8 @@ from webloom.llm.tiles import NONE, ask
 
 #: Rows of a row block, besides the family's first row, and their columns.
 BLOCK, BLOCK_COLUMNS = 1024, 1 << 20
+#: Parts that a family's rows are dealt to when they meet what is known of the family, so that a large one is no hot key.
+SALTS = 32
 
 
 def _intervals(num: int, den: int, most: int = 1 << 31) -> np.ndarray:
@@ -189,15 +191,22 @@ def _blocks(rows: str, columns: str) -> Column:
     return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(columns) / BLOCK_COLUMNS)).cast("int")
 
 
-def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _with_family(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the row of their family in ``facts``, which holds large families only (at most one for ``BLOCK`` rows)."""
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SALTS))
+    spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", salt).join(spread, ["family", "salt"], how).drop("salt")
+
+
+def _joined(rows: DataFrame, num: int, den: int, n_buckets: int) -> DataFrame:
     """(node, label) of the ``rows`` (doc_id, n_shingles, columns) that link with another; label is the smallest id that links reach."""
-    n = shared.parts(rows.sparkSession)
-    edge = shared.keep(ask(rows, _emit_prefixes(num, den), "min", _finish_prefixes, "a long, b long", n))
+    edge = shared.keep(ask(rows, _emit_prefixes(num, den), "min", _finish_prefixes, "a long, b long", n_buckets))
     family = components(edge).toDF("doc_id", "family")
     here = rows.join(family, "doc_id").withColumn("held", F.length("columns") / 8)
     # Blocks of a family: rows are dealt by hash, into so many blocks as its size asks for.
     size = here.groupBy("family").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).select("family", _blocks("rows", "held").alias("blocks"))
-    here = shared.keep(here.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    here = _with_family(here, size.where("blocks > 1"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    here = shared.keep(here.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     lead = F.col("doc_id") == F.col("family")
     # The family's first row goes to each of its blocks.
     spread = here.withColumn("to", F.explode(F.when(lead & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
@@ -212,9 +221,9 @@ def _joined(rows: DataFrame, num: int, den: int) -> DataFrame:
     # What is outside its family's largest component meets all of the family's blocks.
     part = big.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     most = part.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    part = shared.keep(part.join(most.where("labels > 1"), "family").withColumn("rest", F.col("label") != F.col("main")))
+    part = shared.keep(_with_family(part, most.where("labels > 1"), "inner").withColumn("rest", F.col("label") != F.col("main")))
     rests = part.where("rest").groupBy("family").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).select("family", _blocks("rows", "held").alias("rests"))
-    part = part.join(rests, "family").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rests")).cast("int"))
+    part = _with_family(part, rests, "inner").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rests")).cast("int"))
     probe = part.where("rest").select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols, F.lit(0).alias("side"), "label")
     held = part.select("family", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("group"), "block", *cols, F.lit(1).alias("side"), "label")
     cross = probe.unionByName(held).groupBy("family", "group", "block").applyInPandas(lambda t: _cross(t, num, den), out)
@@ -236,13 +245,14 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     """
     docs = shared.plain(docs, doc_id="bigint", text="string")
     schema = "doc_id long, n_shingles long, digest binary, tile long, meets boolean, columns binary"
-    rows = shared.keep(ask(docs, _emit_rows(width), "sum", _finish_rows(num, den), schema, shared.buckets(docs)))
+    n = shared.buckets(docs)
+    rows = shared.keep(ask(docs, _emit_rows(width), "sum", _finish_rows(num, den), schema, n))
     some = rows.where("meets")
     # A class has as many rows with columns as there are row blocks with it; one of them goes on, by the class's smallest id.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.expr("CASE WHEN columns IS NOT NULL THEN tile END")).alias("carrier"))
     classes = shared.keep(classes)
     carried = some.where("columns IS NOT NULL").join(classes, (some["digest"] == classes["digest"]) & (F.col("tile") == F.col("carrier")))
-    linked = _joined(shared.keep(carried.select(F.col("rep").alias("doc_id"), "n_shingles", "columns")), num, den)
+    linked = _joined(shared.keep(carried.select(F.col("rep").alias("doc_id"), "n_shingles", "columns")), num, den, n)
     label = classes.join(linked.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     # Members of a class meet it by row block: a popular set has no more rows for a key than a block has.
     label = some.select("digest", "tile").distinct().join(label, "digest")
