@@ -93,3 +93,8 @@ WALL_TITLES = ["just a moment...", "just a moment", "attention required! | cloud
 # Kinds of walls that a person can clear; characters of a short page, and of a page's scanned part.
 CLEARABLE = ["interstitial", "captcha", "login-wall"]
 SHORT_TEXT, SCANNED = 2500, 200_000
+
+# Where style sheets and refreshing pages name another file; matched without case.
+CSS_URL = r"url\(\s*(['\"]?)([^'\")]+?)\1\s*\)"
+CSS_IMPORT = r"@import\s+(?:url\(\s*)?(['\"]?)([^'\")\s;]+)\1\s*\)?"
+META_REFRESH = r"^\s*(\d+)\s*;\s*url\s*=\s*(.+?)\s*$"

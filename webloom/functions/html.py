@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +14,20 @@ from webloom.functions.url import let, strip
 #: Comments, and bodies of elements whose content is no markup, before tags are told.
 _RAW = r"(?is)<!--.*?-->|(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>).*?</\2\s*>"
 _TAG = r"<[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
-CSS_URL = r"(?i)url\(\s*(['\"]?)([^'\")]+?)\1\s*\)"
-CSS_IMPORT = r"(?i)@import\s+(?:url\(\s*)?(['\"]?)([^'\")\s;]+)\1\s*\)?"
-META_REFRESH = r"(?i)^\s*(\d+)\s*;\s*url\s*=\s*(.+?)\s*$"
+CSS_URL, CSS_IMPORT, META_REFRESH = (f"(?i){p}" for p in (fixed.CSS_URL, fixed.CSS_IMPORT, fixed.META_REFRESH))
+#: An attribute and its value, as a tag's text goes on; names and values of one never run into the next one's.
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
+_ATTR = rf"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+"
+#: A character reference, or what stands between two; a name without its semicolon is one only where the text doesn't go on with it.
+_PIECE = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|&[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;=])|[^&]+|&"
+#: The named references of HTML as one text, to be looked up in.
+_NAMED = "".join(f"\x01{name}\x02{char}" for name, char in entities.html5.items()) + "\x01"
 
 
-def tags(html: Column) -> Column:
-    """All start tags in document order; comments and the bodies of scripts and styles are skipped."""
-    return F.regexp_extract_all(F.regexp_replace(html, _RAW, "$1"), F.lit(_TAG), F.lit(0))
+def tags(html: Column, names: list[str] | None = None) -> Column:
+    """All start tags, or those of some elements, in document order; comments and the bodies of scripts and styles are skipped."""
+    tag = _TAG if names is None else "(?i)<(?:" + "|".join(names) + ")(?=[\\s/>])" + _TAG.removeprefix("<[A-Za-z]")
+    return F.regexp_extract_all(F.regexp_replace(html, _RAW, "$1"), F.lit(tag), F.lit(0))
 
 
 def tag_name(tag: Column) -> Column:
@@ -26,10 +35,17 @@ def tag_name(tag: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The five markup references, the no-break space and decimal or hexadecimal ones of ASCII characters."""
-    for name, c in (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#34;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#x27;", "'"), ("&#38;", "&"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(c))
-    return text
+    """Character references, numeric ones and the named ones of HTML, decoded; what is none stays."""
+    named = lambda x: F.split_part(F.split_part(F.lit(_NAMED), F.concat(F.lit("\x01"), F.substring(x, 2, 64), F.lit("\x02")), F.lit(2)), F.lit("\x01"), F.lit(1))
+
+    def decoded(x: Column) -> Column:
+        digits = F.rtrim(F.substring(x, 3, 9), F.lit(";"))
+        code = F.when(x.rlike("^&#[0-9]"), digits.cast("int")).when(x.rlike("^&#[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10).cast("int"))
+        none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.when(none, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(code.isNotNull(), char).when(F.startswith(x, F.lit("&")), F.coalesce(F.nullif(named(x), F.lit("")), x)).otherwise(x)
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), decoded), "")).otherwise(t))
 
 
 def escape(text: Column) -> Column:
@@ -38,15 +54,33 @@ def escape(text: Column) -> Column:
     return text
 
 
+def _upto(name: str) -> str:
+    """A tag up to its first attribute of a name: other attributes are passed whole."""
+    here = rf"{re.escape(name)}(?=[\s=/>])"
+    return rf"(?is)^<[^\s/>]++(?:[\s/]*+(?!{here}){_ATTR})*+[\s/]*+{here}"
+
+
+def attr_raw(tag: Column, name: str) -> Column:
+    """An attribute's value as it is written, with its quotes; empty if the tag has none."""
+    return F.regexp_extract(tag, rf"{_upto(name)}\s*+=\s*+({_VALUE})", 1)
+
+
+def attr_value(raw: Column) -> Column:
+    """What a written value stands for; null for none."""
+
+    def value(x: Column) -> Column:
+        return F.when(x != "", unescape(F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)))
+
+    return let(raw, value)
+
+
 def attr(tag: Column, name: str) -> Column:
-    """An attribute's value, references decoded; null if the tag has none."""
-    pattern = rf"(?is)^<[^\s/>]+(?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    parts = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), unescape(parts))
+    """An attribute's value, references decoded; null if the tag has none, or one without a value."""
+    return attr_value(attr_raw(tag, name))
 
 
 def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)^<[^\s/>]+(?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s\"'/]{name}(?=[\s=/>])")
+    return tag.rlike(_upto(name))
 
 
 def title(html: Column) -> Column:

@@ -10,12 +10,20 @@ from webloom.functions.scope import Scope
 
 
 def _values(tags: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Trimmed attribute values, by pair and then document order, without blank ones."""
+    """Trimmed attribute values, by pair and then document order, without blank ones; every tag is looked at once."""
+    attrs = {attr: [name for name, a in pairs if a == attr] for _, attr in pairs}
 
-    def of(name: str, attr: str) -> Column:
-        return F.transform(F.filter(tags, lambda t: H.tag_name(t) == name), lambda t: U.strip(F.coalesce(H.attr(t, attr), F.lit(""))))
+    def read(t: Column) -> Column:
+        one = lambda n: F.struct(n.alias("n"), *[F.when(n.isin(names), H.attr_raw(t, attr)).alias(f"a{k}") for k, (attr, names) in enumerate(attrs.items())])
+        return U.let(H.tag_name(t), one)
 
-    return F.filter(F.concat(*[of(name, attr) for name, attr in pairs]), lambda v: v != "")
+    def of(seen: Column, name: str, field: str) -> Column:
+        return F.transform(F.filter(seen, lambda x: x["n"] == name), lambda x: x[field])
+
+    field = {attr: f"a{k}" for k, attr in enumerate(attrs)}
+    by_pair = lambda seen: F.concat(*[of(seen, name, field[attr]) for name, attr in pairs])
+    raws = U.let(F.transform(tags, read), by_pair)
+    return F.filter(F.transform(F.filter(raws, lambda r: r != ""), lambda r: U.strip(H.attr_value(r))), lambda v: v != "")
 
 
 def _refreshes(tags: Column) -> Column:
@@ -23,9 +31,15 @@ def _refreshes(tags: Column) -> Column:
     return F.filter(F.transform(metas, lambda t: H.meta_refresh(F.coalesce(H.attr(t, "content"), F.lit("")))), lambda v: v.isNotNull())
 
 
+def page_refs(tags: Column, scope: Scope) -> Column:
+    """Raw page references of tags: links, areas, forms, then frames, then refreshes."""
+    return F.concat(_values(tags, fixed.PAGE_ATTRS + (fixed.FRAME_ATTRS if scope.crawl_iframes else [])), _refreshes(tags))
+
+
 def candidates(html: Column, scope: Scope) -> Column:
-    """Raw page references: links, areas, forms, then frames, then refreshes."""
-    return U.let(H.tags(html), lambda t: F.concat(_values(t, fixed.PAGE_ATTRS + (fixed.FRAME_ATTRS if scope.crawl_iframes else [])), _refreshes(t)))
+    """Raw page references of a page, from the tags that can hold any."""
+    names = sorted({name for name, _ in fixed.PAGE_ATTRS + fixed.FRAME_ATTRS} | {"meta"})
+    return U.let(H.tags(html, names), lambda t: page_refs(t, scope))
 
 
 def page_keys(html: Column, page_url: Column, scope: Scope) -> Column:
@@ -51,26 +65,41 @@ def all_links(pages: DataFrame) -> DataFrame:
     return raw.select("*", U.canonical(F.col("raw"), F.col("url")).alias("c")).select("page_id", "url", "pos", "raw", F.col("c.fetch_url").alias("fetch_url"), F.col("c.key").alias("key"))
 
 
+def link_refs(tags: Column, kind: str | None = None) -> Column:
+    """Targets of link elements, of one kind or of both."""
+    links = F.filter(tags, lambda x: (H.tag_name(x) == "link") & H.attr(x, "href").isNotNull() & (F.lit(True) if kind is None else H.link_kind(x) == kind))
+    return F.transform(links, lambda x: U.strip(H.attr(x, "href")))
+
+
+def asset_refs_of(tags: Column) -> Column:
+    """Raw asset references of tags: attributes, srcset entries, links to assets; those to inline data are left out."""
+    sets = F.flatten(F.transform(_values(tags, fixed.SRCSET_ATTRS), lambda v: F.transform(H.srcset(v), lambda e: e["url"])))
+    refs = F.concat(_values(tags, fixed.ASSET_ATTRS), sets, link_refs(tags, "asset"))
+    return F.filter(refs, lambda v: (v != "") & ~v.rlike("^(data:|blob:|about:|#)"))
+
+
 def asset_refs(html: Column) -> Column:
-    """Raw asset references of a page: attributes, srcset entries, links to assets; those to inline data are left out."""
+    names = sorted({name for name, _ in fixed.ASSET_ATTRS + fixed.SRCSET_ATTRS} | {"link"})
+    return U.let(H.tags(html, names), asset_refs_of)
 
-    def of(t: Column) -> Column:
-        sets = F.flatten(F.transform(_values(t, fixed.SRCSET_ATTRS), lambda v: F.transform(H.srcset(v), lambda e: e["url"])))
-        links = F.filter(t, lambda x: (H.tag_name(x) == "link") & H.attr(x, "href").isNotNull() & (H.link_kind(x) == "asset"))
-        return F.concat(_values(t, fixed.ASSET_ATTRS), sets, F.transform(links, lambda x: U.strip(H.attr(x, "href"))))
 
-    return F.filter(U.let(H.tags(html), of), lambda v: (v != "") & ~v.rlike("^(data:|blob:|about:|#)"))
+def style_texts(html: Column) -> Column:
+    """Bodies of style elements."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1))
 
 
-def css_refs(html: Column) -> Column:
-    """References in style elements and style attributes."""
-    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1))
-    attrs = F.transform(F.filter(H.tags(html), lambda t: H.has_attr(t, "style")), lambda t: F.coalesce(H.attr(t, "style"), F.lit("")))
-    both = F.filter(F.concat(bodies, attrs), lambda c: c.rlike(r"(?i)url\(|@import"))
+def css_refs_of(styles: Column, tags: Column) -> Column:
+    """References in style texts and in the style attributes of tags."""
+    attrs = F.transform(F.filter(tags, lambda t: H.has_attr(t, "style")), lambda t: F.coalesce(H.attr(t, "style"), F.lit("")))
+    both = F.filter(F.concat(styles, attrs), lambda c: c.rlike(r"(?i)url\(|@import"))
     refs = F.flatten(F.transform(both, lambda c: F.concat(H.css_imports(c), H.css_urls(c))))
     return F.filter(refs, lambda v: (v != "") & ~v.rlike("^(data:|about:|#)"))
 
 
+def css_refs(html: Column) -> Column:
+    return U.let(H.tags(html), lambda t: css_refs_of(style_texts(html), t))
+
+
 def page_assets(pages: DataFrame) -> DataFrame:
     """(page_id, pos, fetch_url, key) of the assets that pages and their inline styles name, each once for a page."""
     refs = F.array_distinct(F.concat(asset_refs(F.col("html")), css_refs(F.col("html"))))

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from webloom.functions import fixed, html as H, url as U
 from webloom.functions.scope import Scope
-from webloom.operators import links as L
+from webloom.operators import frontier, links as L
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_CSS_URL = re.compile(r"""url\(\s*(['"]?)([^'")]+?)\1\s*\)""", re.I)
-_CSS_IMPORT = re.compile(r"""@import\s+(['"])([^'"\s;]+)\1""", re.I)
-_REFRESH = re.compile(r"^\s*(\d+)\s*;\s*url\s*=\s*(.+?)\s*$", re.I)
+#: An import or else a url(): one pass, so that what an import became isn't matched again.
+_CSS = re.compile("(" + fixed.CSS_IMPORT.replace(r"\1", r"\2") + ")|" + fixed.CSS_URL.replace(r"\1", r"\4"), re.I)
+_REFRESH = re.compile(fixed.META_REFRESH, re.I)
 _INLINE = ("data:", "blob:", "about:", "#")
 _NO_PAGE = ("#", "javascript:", "mailto:", "tel:", "sms:", "data:")
 NAV_ID = "webloom-nav"
@@ -46,9 +46,13 @@ class _Page:
         return asset or absolute or raw
 
     def _css(self, text: str) -> str:
-        quoted = lambda m: f'url("{self._asset(m[2])}")' if not m[2].strip().startswith(_INLINE) else m[0]
-        text = _CSS_IMPORT.sub(lambda m: f"@import {quoted(m)}", text)
-        return _CSS_URL.sub(quoted, text)
+        def one(m: re.Match) -> str:
+            target = m[3] if m[1] else m[5]
+            if target.strip().startswith(_INLINE):
+                return m[0]
+            return ("@import " if m[1] else "") + f'url("{self._asset(target)}")'
+
+        return _CSS.sub(one, text)
 
     def _link(self, tag: str, attrs: dict, name: str) -> None:
         value = attrs[name].strip()
@@ -102,7 +106,7 @@ class _Page:
 
     def rewrite(self, text: str) -> str:
         out, at, raw, charset = [], 0, None, False
-        has_nav = NAV_ID in text
+        top = after_html = before_end = None  # places in ``out``
         for m in _TAG.finditer(text):
             if m[2] is None or m.start() < at:
                 continue
@@ -113,10 +117,8 @@ class _Page:
             out.append(self._css(body) if raw == "style" else body)
             at, raw = m.end(), None
             if m[1]:
-                if tag == "head" and not charset:
-                    out.append('<meta charset="utf-8">')
-                if tag == "body" and self.nav and not has_nav:
-                    out.append(f'<div id="{NAV_ID}"><a href="{entities.escape(self.home)}">Site map</a> <a href="{entities.escape(self.live)}" target="_blank" rel="noopener">Live page</a></div>')
+                if tag == "body" or (tag == "html" and before_end is None):
+                    before_end = len(out)
                 out.append(m[0])
                 continue
             if tag == "base":
@@ -133,7 +135,17 @@ class _Page:
                 out.append(f"<{m[2]}" + "".join(f" {k}" if v is None else f' {k}="{entities.escape(v)}"' for k, v in attrs.items()) + (" />" if m[3].rstrip().endswith("/") else ">"))
             if tag in ("script", "style"):
                 raw = tag
+            if tag == "head" and top is None:
+                top = len(out)
+            elif tag == "html" and after_html is None:
+                after_html = len(out)
         out.append(text[at:])
+        if self.nav and NAV_ID not in text:
+            bar = f'<div id="{NAV_ID}"><a href="{entities.escape(self.home)}">Site map</a> <a href="{entities.escape(self.live)}" target="_blank" rel="noopener">Live page</a></div>'
+            out.insert(len(out) if before_end is None else before_end, bar)
+        if not charset:  # first in the head, or where that would be
+            doctype = int(out[0].lstrip().lower().startswith("<!doctype"))
+            out.insert(next((k for k in (top, after_html) if k is not None), doctype), '<meta charset="utf-8">')
         return "".join(out)
 
 
@@ -151,6 +163,47 @@ def _rewrite(nav: bool):
     return run
 
 
+def _located(refs: DataFrame, captured: DataFrame | None, assets: DataFrame | None) -> DataFrame:
+    """``refs`` (key, path, ...) with ``page`` and ``asset``: relative links from ``path`` to what is captured under the key."""
+    for name, there in (("page", captured), ("asset", assets)):
+        if there is None:
+            refs = refs.withColumn(name, F.lit(None).cast("string"))
+        else:
+            refs = refs.join(there.select("key", F.col("path").alias("to")), "key", "left").withColumn(name, U.relative_link(F.col("path"), F.col("to"))).drop("to")
+    return refs
+
+
+def _rewrite_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [_Page({r["raw"]: (r["absolute"], None, r["asset"]) for r in refs or ()}, "", "", False)._css(css or "") for css, refs in zip(*(batch.column(k).to_pylist() for k in ("css", "refs")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("path"), pa.array(out, pa.string())], names=["key", "path", "css"])
+
+
+def rewrite_sheets(sheets: DataFrame, assets: DataFrame) -> DataFrame:
+    """(key, path, css) of style sheets (key, url, path, css): what they import or name becomes a relative link where it is an asset.
+
+    Each sheet needs only the paths of what it names, not their texts, so sheets that name each other in a circle are no
+    special case. ``assets`` (key, path) are those within the depth that ``sheet_closure`` took.
+    """
+    css = F.coalesce("css", F.lit(""))
+    raws = F.array_distinct(F.concat(H.css_imports(css), H.css_urls(css)))
+    refs = sheets.select(F.col("key").alias("sheet"), "url", "path", F.explode_outer(raws).alias("raw")).where("raw <> ''")
+    canon = refs.withColumn("c", U.canonical(F.col("raw"), F.col("url"))).where("c IS NOT NULL").select("sheet", "path", "raw", F.col("c.fetch_url").alias("absolute"), F.col("c.key").alias("key"))
+    maps = _located(canon, None, assets).groupBy("sheet").agg(F.collect_list(F.struct("raw", "absolute", "asset")).alias("refs"))
+    rows = sheets.join(maps, F.col("key") == F.col("sheet"), "left").select("key", "path", "css", "refs")
+    return rows.mapInArrow(_rewrite_sheets, "key string, path string, css string")
+
+
+def sheet_closure(sheets: DataFrame, start: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """(key, depth) of what ``start`` (key) sheets lead to by imports and urls, ``css_depth`` steps at most; circles end at what was seen."""
+    scope = scope or Scope()
+    css = F.coalesce("css", F.lit(""))
+    named = sheets.select(F.col("key").alias("src"), "url", F.posexplode_outer(F.array_distinct(F.concat(H.css_imports(css), H.css_urls(css)))).alias("pos", "raw")).where("raw IS NOT NULL")
+    edges = named.select("src", U.canonical(F.col("raw"), F.col("url"))["key"].alias("dst"), "pos").where("dst IS NOT NULL")
+    seeds = start.select("key", F.lit(0).cast("long").alias("seq"))
+    return frontier.crawl(edges, seeds, Scope(max_depth=scope.css_depth, max_pages=0))[0].select("key", "depth")
+
+
 def rewrite_pages(pages: DataFrame, captured: DataFrame, assets: DataFrame | None = None, scope: Scope | None = None, nav: bool = True) -> DataFrame:
     """(page_id, html, n_local, n_remote) of ``pages`` (page_id, url, path, html).
 
@@ -159,16 +212,13 @@ def rewrite_pages(pages: DataFrame, captured: DataFrame, assets: DataFrame | Non
     is put in once.
     """
     scope = scope or Scope()
-    html, url = F.coalesce("html", F.lit("")), F.col("url")
-    fragmentless = F.transform(L.candidates(html, scope), lambda r: F.when(F.startswith(r, F.lit("#")), r).otherwise(F.regexp_extract(r, "^([^#]*)", 1)))
-    raws = F.array_distinct(F.concat(fragmentless, L.asset_refs(html), L.css_refs(html), F.filter(F.transform(H.tags(html), lambda t: F.when(H.tag_name(t) == "link", U.strip(F.coalesce(H.attr(t, "href"), F.lit(""))))), lambda v: v.isNotNull())))
-    refs = pages.select("page_id", "path", H.base_url(html, url).alias("base"), raws.alias("raws")).select("page_id", "path", "base", F.explode_outer("raws").alias("raw")).where("raw <> ''")
+    html, url, tags = F.coalesce("html", F.lit("")), F.col("url"), F.col("tags")
+    seen = pages.select("page_id", "path", H.base_url(html, url).alias("base"), H.tags(html).alias("tags"), L.style_texts(html).alias("styles"))
+    fragmentless = F.transform(L.page_refs(tags, scope), lambda r: F.when(F.startswith(r, F.lit("#")), r).otherwise(F.regexp_extract(r, "^([^#]*)", 1)))
+    raws = F.array_distinct(F.concat(fragmentless, L.asset_refs_of(tags), L.css_refs_of(F.col("styles"), tags), L.link_refs(tags)))
+    refs = seen.select("page_id", "path", "base", F.explode_outer(raws).alias("raw")).where("raw <> ''")
     canon = refs.withColumn("c", U.canonical(F.col("raw"), F.col("base"), scope.keep_query)).where("c IS NOT NULL").select("page_id", "path", "raw", F.col("c.fetch_url").alias("absolute"), F.col("c.key").alias("key"))
-    found = canon.join(captured.select("key", F.col("path").alias("to")), "key", "left").withColumn("page", U.relative_link(F.col("path"), F.col("to"))).drop("to")
-    if assets is not None:
-        found = found.join(assets.select("key", F.col("path").alias("to")), "key", "left").withColumn("asset", U.relative_link(F.col("path"), F.col("to"))).drop("to")
-    else:
-        found = found.withColumn("asset", F.lit(None).cast("string"))
+    found = _located(canon, captured, assets)
     maps = found.groupBy("page_id").agg(F.collect_list(F.struct("raw", "absolute", "page", "asset")).alias("refs"))
     rows = pages.join(maps, "page_id", "left").select("page_id", "url", U.relative_link(F.col("path"), F.lit("index.html")).alias("home"), "html", "refs")
     return rows.mapInArrow(_rewrite(nav), "page_id long, html string, n_local long, n_remote long")

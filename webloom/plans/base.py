@@ -144,9 +144,11 @@ def sql_unescape(x: str) -> str:
 
 
 def sql_attr(tag: str, name: str) -> str:
-    p = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
-    parts = " || ".join(f"regexp_extract({tag}, '{p}', {k})" for k in (1, 2, 3))
-    return f"CASE WHEN regexp_matches({tag}, '{p}') THEN {sql_unescape('(' + parts + ')')} END"
+    """The first attribute of a name: the tag is cut into all its attributes, which are then looked through."""
+    parts = rf"""regexp_extract_all(regexp_replace({tag}, '^<[A-Za-z][^\s/>]*', ''), '[^\s/>="''][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*))?')"""
+    own = rf"list_filter({parts}, lambda x: lower(regexp_extract(x, '^([^\s=]+)', 1)) = '{name}')[1]"
+    value = rf"""regexp_replace(regexp_replace({own}, '(?s)^[^\s=]+\s*=\s*', ''), '(?s)^["''](.*)["'']$', '\1')"""
+    return f"CASE WHEN contains({own}, '=') THEN {sql_unescape(value)} END"
 
 
 #: Links of pages before they are resolved: (page_id, url, pos, raw).

@@ -109,6 +109,19 @@ def lazy_src_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tags(spark).where(H.tag_name(F.col("tag")) == "img").select("page_id", F.col("pos").cast("long").alias("pos"), H.lazy_src(F.col("tag")).alias("src"))
 
 
+#: A tag, an attribute, its value: quotes, look-alikes and references.
+ATTRS = [
+    ('<a title="href=/evil" href="/ok">', "href", "/ok"), ("<a data-href=/no href = '/yes'>", "href", "/yes"), ('<a href="/a"href="/b">', "href", "/a"), ("<a title='x href=\"/no\"'>", "href", None), ("<a href>", "href", None), ("<a href=>", "href", None),
+    ("<a HREF=/Up/Down>", "href", "/Up/Down"), ('<a href="&#47;x&eacute;&amp;y&lt;">', "href", "/xé&y<"), ('<a href="?a=1&copy=2&reg">', "href", "?a=1&copy=2®"), ('<a href="&#x1F600;&#0;&#xD800;&nosuch;">', "href", "😀\ufffd\ufffd&nosuch;"), ("<a/href=/s/>", "href", "/s/"), ("<img src=i.png alt=src=no>", "alt", "src=no"), ('<a b="1" c href="">', "href", ""),
+]
+
+
+@query("WITH " + values("a", "tag, name, value", ATTRS) + " SELECT tag, value FROM a")
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, "tag string, name string", [a[:2] for a in ATTRS])
+    return rows.select("tag", F.when(F.col("name") == "alt", H.attr(F.col("tag"), "alt")).otherwise(H.attr(F.col("tag"), "href")).alias("value"))
+
+
 RELS = [
     ('<link rel="stylesheet" href=a>', "asset"), ('<link rel="Alternate Icon" href=a>', "asset"), ('<link rel="shortcut icon" href=a>', "asset"), ('<link rel="alternate" type="x" href=a>', "absolute"), ('<link rel="x" as="font" href=a>', "asset"),
     ('<link rel="x" type="t" href=a>', "asset"), ('<link rel="x" href=a>', "absolute"), ("<link href=a>", "absolute"), ('<link rel="preconnect" href=a>', "absolute"), ('<link rel="x" as="" href=a>', "absolute"),
@@ -192,6 +205,32 @@ def css_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "depth")
 
 
+#: Style sheets in a circle and a chain, and what becomes of them when all but the last are assets.
+SHEET_ROWS = [
+    ("https://h/a.css", "assets/h/a.css", "@import 'b.css'; p{background:url(i/x.png)}", '@import url("b.css"); p{background:url("i/x.png")}'), ("https://h/b.css", "assets/h/b.css", '@import url("d/c.css"); @import "a.css";', '@import url("d/c.css"); @import url("a.css");'),
+    ("https://h/d/c.css", "assets/h/d/c.css", "q{b:url( '../i/x.png' )} r{c:url(data:xx)} s{d:url(gone.png)}", 'q{b:url("../i/x.png")} r{c:url(data:xx)} s{d:url("https://h/d/gone.png")}'),
+]
+
+
+def _sheets(spark: SparkSession) -> DataFrame:
+    return literal(spark, "key string, path string, css string", [s[:3] for s in SHEET_ROWS]).withColumn("url", F.col("key"))
+
+
+@query("WITH " + values("s", "key, path, css, out", SHEET_ROWS) + " SELECT key, out AS css FROM s")
+def css_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.operators import rewrite
+
+    assets = _sheets(spark).select("key", "path").unionByName(literal(spark, "key string, path string", [("https://h/i/x.png", "assets/h/i/x.png")]))
+    return rewrite.rewrite_sheets(_sheets(spark), assets).select("key", "css")
+
+
+@query("WITH " + values("c", "key, depth", [("https://h/a.css", 0), ("https://h/b.css", 1), ("https://h/i/x.png", 1), ("https://h/d/c.css", 2), ("https://h/d/gone.png", 3)]) + " SELECT key, depth FROM c")
+def css_sheet_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.operators import rewrite
+
+    return rewrite.sheet_closure(_sheets(spark), _sheets(spark).where("key LIKE '%/a.css'").select("key"))
+
+
 TAGS_IN = ['<script src="a" integrity="x" crossorigin="anonymous"></script>', "<link href=a crossorigin rel=b>", '<LINK integrity=\'q\' href="a">', '<p integrity="x">', "<script>var integrity = 1</script>", '<script crossorigin integrity="a" src=x></script>']
 TAGS_OUT = ['<script src="a"></script>', "<link href=a rel=b>", '<LINK href="a">', '<p integrity="x">', "<script>var integrity = 1</script>", "<script src=x></script>"]
 
