@@ -37,13 +37,25 @@ def number(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, scope: Scope, expands: DataFrame | None = None, sitemap: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Admitted pages (key, depth, seq, parent) and deferred ones (key, depth).
+    """``crawl_with_refused`` where no page is blocked: admitted pages (key, depth, seq, parent) and deferred ones (key, depth)."""
+    return crawl_with_refused(edges, seeds, scope, expands, sitemap)[:2]
+
+
+def crawl_with_refused(edges: DataFrame, seeds: DataFrame, scope: Scope, expands: DataFrame | None = None, sitemap: DataFrame | None = None, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Admitted pages (key, depth, seq, parent), deferred ones (key, depth) and, with ``blocked``, refused ones (key, depth, parent).
 
     ``edges``: (src, dst, pos). ``seeds``: (key, seq) at depth 0. ``sitemap``: (key, seq) at depth 1, whatever the depth limit,
-    ahead of level 0's links. ``expands``: keys of pages with html and no wall, which lead on; all if None. ``max_pages`` 0 is no limit.
+    ahead of level 0's links. ``expands``: keys of pages with html and no wall, which lead on; all if None. ``blocked``: keys that
+    are met but never admitted; they take nothing of the budget. ``max_pages`` 0 is no limit.
     Deferred pages keep the first depth at which they were met; those admitted later are left out.
     """
-    level = session.materialise(seeds.select("key", F.col("seq").cast("long").alias("seq"), F.lit(None).cast(seeds.schema["key"].dataType).alias("parent")).withColumn("depth", F.lit(0)), "level")
+    kind = seeds.schema["key"].dataType
+    first = seeds.select("key", F.col("seq").cast("long").alias("seq"), F.lit(None).cast(kind).alias("parent")).withColumn("depth", F.lit(0))
+    refused = None
+    if blocked is not None:
+        refused = session.materialise(first.join(blocked, "key", "left_semi").select("key", "depth", "parent"), "refused")
+        first = number(first.join(blocked, "key", "left_anti").select("key", "parent", "depth", F.col("seq").alias("asked")), ["asked", "key"]).drop("asked")
+    level = session.materialise(first.select("key", "seq", "parent", "depth"), "level")
     if scope.max_pages:
         level = level.where(F.col("seq") < scope.max_pages)
     admitted, deferred, used, depth = level, None, level.count(), 0
@@ -53,7 +65,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, scope: Scope, expands: DataFrame |
         cand = from_level.select(F.col("key").alias("parent"), F.col("seq").alias("parent_seq")).join(edges, F.col("parent") == F.col("src")).select(F.col("dst").alias("key"), "parent", "parent_seq", F.col("pos").cast("long").alias("pos"))
         more = None
         if depth == 0 and sitemap is not None:
-            more = sitemap.select("key", F.lit(None).cast(cand.schema["parent"].dataType).alias("parent"), F.lit(-1).cast("long").alias("parent_seq"), F.col("seq").cast("long").alias("pos"))
+            more = sitemap.select("key", F.lit(None).cast(kind).alias("parent"), F.lit(-1).cast("long").alias("parent_seq"), F.col("seq").cast("long").alias("pos"))
         if at_end:
             over = cand.join(admitted.select("key"), "key", "left_anti").select("key").distinct().withColumn("depth", F.lit(depth + 1))
             deferred = over if deferred is None else deferred.unionByName(over)
@@ -62,6 +74,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, scope: Scope, expands: DataFrame |
             cand = cand.unionByName(more)
         if cand is None:
             break
+        if blocked is not None:
+            known = refused.select("key")
+            met = cand.join(blocked, "key", "left_semi").join(known, "key", "left_anti").groupBy("key").agg(F.min(F.struct("parent_seq", "pos", "parent")).alias("f"))
+            refused = refused.unionByName(session.materialise(met.select("key", F.lit(depth + 1).alias("depth"), F.col("f.parent").alias("parent")), "refused"))
+            cand = cand.join(blocked, "key", "left_anti")
         room = max(0, scope.max_pages - used) if scope.max_pages else None
         new, rest = admit(cand, admitted, room)
         level = session.materialise(new.select("key", "seq", "parent").withColumn("depth", F.lit(depth + 1)), "level")
@@ -77,7 +94,15 @@ def crawl(edges: DataFrame, seeds: DataFrame, scope: Scope, expands: DataFrame |
     if deferred is None:
         deferred = admitted.select("key", "depth").limit(0)
     deferred = deferred.groupBy("key").agg(F.min("depth").alias("depth")).join(admitted.select("key"), "key", "left_anti")
-    return admitted, deferred
+    return admitted, deferred, refused
+
+
+def resume(pages: DataFrame, links: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
+    """On resume: what is to be fetched (key, depth), and the keys that count as seen: captured pages, with and without an error
+    that isn't tried again, and what is queued."""
+    queue = requeue(pages, links, scope)
+    seen = pages.select("key").unionByName(queue.select("key")).distinct()
+    return queue, seen
 
 
 def requeue(pages: DataFrame, links: DataFrame, scope: Scope) -> DataFrame:

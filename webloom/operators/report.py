@@ -103,6 +103,11 @@ def pending_pages(pending: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:
     return pending.orderBy("key").limit(rows)
 
 
+def throttled_hosts(multipliers: DataFrame, rows: int = 3) -> DataFrame:
+    """The hosts (host, multiplier) that were slowed down most, the first few for a report."""
+    return multipliers.where(F.col("multiplier") > 1).orderBy(F.desc("multiplier"), "host").limit(rows)
+
+
 def site_map(crawled: DataFrame, assets: DataFrame, pending: DataFrame, start_host: str, max_pages: int = 20_000) -> str:
     """The site map as an html document. It is one page for people, so it lists ``max_pages`` pages at most, by depth and URL."""
     import html

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom import session
 from webloom.functions import fixed
 from webloom.functions.scope import Scope
 
@@ -43,21 +44,25 @@ def throttle_multiplier(log: DataFrame, order: list[str]) -> DataFrame:
     return whole.select("host", F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.col("f.a"))).alias("multiplier"))
 
 
-def throttled(multipliers: DataFrame) -> DataFrame:
-    return multipliers.where(F.col("multiplier") > LEAST)
-
-
 def throttle_schedule(log: DataFrame, order: list[str], delay: float = 0.4) -> DataFrame:
     """``log`` (host, at in seconds, ...) with ``due``, when each request may go: one at a time for each host, a gap apart.
 
-    due(i) = max(at(i), due(i - 1) + gap), which is a running maximum of at(j) - j * gap.
+    due(i) = max(at(i), due(i - 1) + gap), which is a running maximum of at(j) - j * gap. The log is dealt by range of (host, order),
+    so a large host is worked on in pieces: each piece's length and maximum are what the pieces behind it need, and
+    those few rows are folded by host.
     """
-    gap = max(SHORTEST_GAP, delay)
-    w = Window.partitionBy("host").orderBy(*order)
-    k = F.row_number().over(w) - 1
-    numbered = log.withColumn("_k", k)
-    run = F.max(F.col("at") - F.col("_k") * F.lit(gap)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("due", run + F.col("_k") * F.lit(gap)).drop("_k")
+    gap = F.lit(float(max(SHORTEST_GAP, delay)))
+    dealt = session.materialise(log.repartitionByRange("host", *order).withColumn("_part", F.spark_partition_id()), "requests")
+    w = Window.partitionBy("host", "_part").orderBy(*order)
+    numbered = dealt.withColumn("_k", F.row_number().over(w) - 1)
+    parts = numbered.groupBy("host", "_part").agg(F.count("*").alias("_n"), F.max(F.col("at") - F.col("_k") * gap).alias("_most"))
+    by_part = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(by_part), F.lit(0)))
+    parts = parts.withColumn("_floor", F.max(F.col("_most") - F.col("_before") * gap).over(by_part)).select("host", "_part", "_before", "_floor")
+    # A piece has one row here, so a host's rows meet it by piece.
+    whole = numbered.join(parts, ["host", "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
+    run = F.max(F.col("at") - F.col("_k") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return whole.withColumn("due", F.greatest(run, F.col("_floor")) + F.col("_k") * gap).drop("_k", "_part", "_before", "_floor")
 
 
 #: The most walls that a fetch has cleared for it.

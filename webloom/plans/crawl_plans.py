@@ -25,51 +25,66 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("pos"), "n").select("src", F.pmod(F.col("src") * 3 + F.col("pos"), F.col("n")).alias("dst"), "pos")  # n is one row
 
 
-def _seeds(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("key"), F.col("id").alias("seq"))
+#: Pages to a seed, so that a crawl reaches a share of the pages whatever their number is.
+SEED_EVERY = 50
 
 
-_BFS = f"""b AS (SELECT CAST(0 AS BIGINT) AS key, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.key WHERE b.depth < {DEPTH}),
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pages(spark, sf_dir).where(F.col("page_id") % SEED_EVERY == 0).select("page_id")
+    return ids.select(F.col("page_id").alias("key"), F.expr(f"page_id div {SEED_EVERY}").alias("seq"))
+
+
+_BFS = f"""b AS (SELECT page_id AS key, 0 AS depth FROM pages WHERE page_id % {SEED_EVERY} = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.key WHERE b.depth < {DEPTH}),
 found AS (SELECT key, min(depth) AS depth FROM b GROUP BY key)"""
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_BFS} SELECT key, CAST(depth AS INT) AS depth FROM found")
 def bfs_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted, _ = frontier.crawl(_edges(spark, sf_dir), _seeds(spark), Scope(max_depth=DEPTH, max_pages=0))
+    admitted, _ = frontier.crawl(_edges(spark, sf_dir), _seeds(spark, sf_dir), Scope(max_depth=DEPTH, max_pages=0))
     return admitted.select("key", "depth")
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_BFS} SELECT DISTINCT e.dst AS key, {DEPTH + 1} AS depth FROM found f JOIN edges e ON e.src = f.key WHERE f.depth = {DEPTH} AND e.dst NOT IN (SELECT key FROM found)")
 def bfs_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, deferred = frontier.crawl(_edges(spark, sf_dir), _seeds(spark), Scope(max_depth=DEPTH, max_pages=0))
+    _, deferred = frontier.crawl(_edges(spark, sf_dir), _seeds(spark, sf_dir), Scope(max_depth=DEPTH, max_pages=0))
     return deferred
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT e.dst AS key FROM edges e WHERE e.src % 5 = 0 AND e.dst NOT IN (SELECT page_id FROM pages WHERE page_id % 5 = 0)")
+#: Of each page whether it was crawled, failed or not reached, from its id: every page and every edge is looked at.
+_STATE = "p AS (SELECT page_id AS key, CAST(page_id % 4 AS INT) AS depth, page_id % 5 = 0 AS crawled, page_id % 7 = 0 AS bad FROM pages)"
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    return pages(spark, sf_dir).select(i.alias("key"), (i % 4).cast("int").alias("depth"), (i % 5 == 0).alias("crawled"), F.when(i % 7 == 0, "timeout").alias("error"))
+
+
+@query(f"WITH {_EDGES}, {_STATE} SELECT DISTINCT e.dst AS key FROM edges e WHERE e.dst NOT IN (SELECT key FROM p WHERE crawled)")
 def frontier_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = pages(spark, sf_dir).where("page_id % 5 = 0").select(F.col("page_id").alias("key"))
-    cand = _edges(spark, sf_dir).where("src % 5 = 0").select(F.col("dst").alias("key"))
+    seen = _states(spark, sf_dir).where("crawled").select("key")
+    cand = _edges(spark, sf_dir).select(F.col("dst").alias("key"))
     return cand.join(seen, "key", "left_anti").distinct()
 
 
 @query(
-    f"""WITH {_EDGES}, cand AS (SELECT dst AS key, min(src * 10 + pos) AS o FROM edges WHERE src % 5 = 0 AND dst % 5 <> 0 GROUP BY dst)
+    f"""WITH {_EDGES}, {_STATE}, cand AS (SELECT dst AS key, min(src * 10 + pos) AS o FROM edges WHERE dst NOT IN (SELECT key FROM p WHERE crawled) GROUP BY dst)
 SELECT key, seq FROM (SELECT key, row_number() OVER (ORDER BY o) - 1 AS seq FROM cand) WHERE seq < {BUDGET}"""
 )
 def budgeted_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = pages(spark, sf_dir).where("page_id % 5 = 0").select(F.col("page_id").alias("key"))
-    cand = _edges(spark, sf_dir).where("src % 5 = 0").select(F.col("dst").alias("key"), F.col("src").alias("parent"), F.col("src").alias("parent_seq"), F.col("pos").cast("long").alias("pos"))
+    """The budget is the feature here: what it admits of all candidates."""
+    seen = _states(spark, sf_dir).where("crawled").select("key")
+    cand = _edges(spark, sf_dir).select(F.col("dst").alias("key"), F.col("src").alias("parent"), F.col("src").alias("parent_seq"), F.col("pos").cast("long").alias("pos"))
     admitted, _ = frontier.admit(cand, seen, BUDGET)
     return admitted.select("key", "seq")
 
 
 @query(
-    f"""WITH {_EDGES}, p AS (SELECT page_id AS key, page_id % 4 AS depth, page_id % 7 = 0 AS bad FROM pages WHERE page_id % 3 <> 1), good AS (SELECT * FROM p WHERE NOT bad)
+    f"""WITH {_EDGES}, {_STATE}, good AS (SELECT * FROM p WHERE NOT bad)
 SELECT e.dst AS key, CAST(min(g.depth + 1) AS INT) AS depth FROM edges e JOIN good g ON g.key = e.src WHERE g.depth + 1 <= 3 AND e.dst NOT IN (SELECT key FROM good) GROUP BY e.dst"""
 )
 def resume_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages(spark, sf_dir).where("page_id % 3 <> 1").select(F.col("page_id").alias("key"), F.expr("int(page_id % 4)").alias("depth"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"))
-    return frontier.requeue(rows, _edges(spark, sf_dir), Scope(max_depth=3))
+    queue, _ = frontier.resume(_states(spark, sf_dir), _edges(spark, sf_dir), Scope(max_depth=3))
+    return queue
 
 
 @query(
@@ -84,7 +99,7 @@ def parent_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_EDGES}, {_BFS} SELECT CAST(depth AS INT) AS depth, count(*) AS n, min(key) AS first, max(key) AS last FROM found GROUP BY depth")
 def pages_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted, _ = frontier.crawl(_edges(spark, sf_dir), _seeds(spark), Scope(max_depth=DEPTH, max_pages=0))
+    admitted, _ = frontier.crawl(_edges(spark, sf_dir), _seeds(spark, sf_dir), Scope(max_depth=DEPTH, max_pages=0))
     return admitted.groupBy("depth").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
 
 

@@ -21,16 +21,23 @@ _LOG = "struct<message:struct<method:string,params:struct<type:string,response:s
 
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(name, body) of text files, gzip told by its first bytes; broken UTF-8 is replaced."""
+    """(name, body) of text files, gzip told by its first bytes; broken gzip data give an empty body, broken UTF-8 is replaced."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
 
     def text(batches):
         import gzip
+        import zlib
 
         import pyarrow as pa
 
+        def plain(x: bytes | None) -> bytes:
+            try:
+                return gzip.decompress(x) if x and x[:2] == b"\x1f\x8b" else x or b""
+            except (OSError, EOFError, zlib.error):
+                return b""
+
         for batch in batches:
-            raw = [gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in batch.column(1).to_pylist()]
+            raw = [plain(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], names=["name", "body"])
 
     return files.mapInArrow(text, "name string, body string")
