@@ -77,5 +77,53 @@ def test_report(spark):
     crawled = spark.createDataFrame([("http://h/a", "t<i>", 200, 0, "pages/a.html", None), ("http://h/b", None, None, 1, "", "boom")], "url string, title string, status int, depth int, path string, error string")
     assets = spark.createDataFrame([(10, None)], "size bigint, error string")
     pending = spark.createDataFrame([("http://h/c", 2)], "key string, depth int")
-    page = report.site_map(crawled, assets, pending, "h")
+    page = "".join(r.line for r in report.site_map(crawled, assets, pending, "h").orderBy("place").collect())
+    assert page.startswith("<!doctype html>") and page.endswith("</html>")
     assert "t&lt;i&gt;" in page and "boom" in page and "http://h/c" in page and "10 B" in page
+
+
+def test_rewrite_without_head_and_body(spark):
+    """The charset comes first in the head, or where that would be; the link to the site map ends a page without a body's end."""
+    htmls = ["<!DOCTYPE html><p>x", "<html><head><title>t</title><body>x</html>", '<html><head><meta charset="latin1"></head><body>x</body></html>', "x"]
+    pages = spark.createDataFrame([(k, "https://h/a", "pages/h/a/index.html", h) for k, h in enumerate(htmls)], "page_id bigint, url string, path string, html string")
+    none = spark.createDataFrame([], "key string, path string")
+    got = [r.html for r in rewrite.rewrite_pages(pages, none).orderBy("page_id").collect()]
+    assert got[0].startswith('<!DOCTYPE html><meta charset="utf-8"><p>x<div') and got[1].startswith('<html><head><meta charset="utf-8"><title>') and got[1].endswith("</div></html>")
+    assert got[2].startswith('<html><head><meta charset="utf-8"></head>') and got[2].endswith("</div></body></html>") and got[3].startswith('<meta charset="utf-8">x<div')
+    assert all(h.count(rewrite.NAV_ID) == h.count("charset") == 1 for h in got)
+
+
+def test_mirror(spark):
+    """A small site: a robots rule takes nothing of the budget, walls and files are no pages, what is missing is recorded."""
+    from webloom.operators import mirror
+
+    link = lambda *xs: "".join(f'<a href="/{x}">{x}</a>' for x in xs)
+    rows = [("", link("a", "no", "wall", "pdf"), 200, None, None), ("a", link("b", "c", "gone"), 200, None, None), ("no", link("z"), 200, None, None), ("wall", "<p>are you a robot</p>", 200, None, None), ("pdf", "x", 200, "application/pdf", None), ("b", link("d"), 200, None, None), ("c", "", None, None, "timeout")]
+    fetched = spark.createDataFrame([(f"https://h/{k}", f"https://h/{k}", h, "t", s, c, e) for k, h, s, c, e in rows], "key string, url string, html string, title string, status int, content_type string, error string")
+    rules = spark.createDataFrame([("https://h", 0, False, "/no")], "origin string, seq int, allow boolean, prefix string")
+    seeds = spark.createDataFrame([("https://h/", 0)], "key string, seq bigint")
+    done = mirror.crawl(fetched, seeds, Scope(max_depth=2, max_pages=6), rules)
+    got = {r.key.removeprefix("https://h/"): (r.depth, r.error) for r in done.records.collect()}
+    assert got == {"": (0, None), "a": (1, None), "no": (1, "blocked by robots.txt"), "wall": (1, "challenge: unknown interstitial (wall wording)"), "b": (2, None), "c": (2, "timeout")}
+    assert {r.key for r in done.files.collect()} == {"https://h/pdf"} and {r.key: r.depth for r in done.pending.collect()} == {"https://h/gone": 2, "https://h/d": 3}
+    one = mirror.summary(done, fetched, multipliers=spark.createDataFrame([("h", 4.0), ("k", 1.0)], "host string, multiplier double")).first()
+    assert (one.pages, one.failed, one.blocked, one.walled, one.walls_hit, one.assets, one.not_crawled, one.max_depth) == (3, 2, 1, 1, 1, 1, 2, 2)
+    assert [(t.host, t.multiplier) for t in one.throttled] == [("h", 4.0)] and [f.error for f in one.failures] == ["timeout", "challenge: unknown interstitial (wall wording)"]
+    pages, counts = mirror.finalize(done, fetched.where("key <> 'https://h/b'"))
+    assert tuple(counts.first()) == (2, 1)
+    html = {r.key: r.html for r in pages.collect()}
+    assert 'href="a/index.html" data-offline="local"' in html["https://h/"] and 'href="https://h/no"' in html["https://h/"] and 'href="../b/index.html"' in html["https://h/a"]
+
+
+def test_bodies(spark, tmp_path):
+    import gzip
+
+    from webloom.sources import feeds
+
+    for name, raw in (("a", b"plain \xff"), ("b", gzip.compress(b"packed")), ("c", gzip.compress(b"broken")[:-9])):
+        (tmp_path / name).write_bytes(raw)
+    assert {r.name[-1]: r.body for r in feeds.bodies(spark, str(tmp_path)).collect()} == {"a": "plain \ufffd", "b": "packed", "c": ""}
+    rows = spark.createDataFrame([("Sitemap: https://h/a.xml\nsitemap:https://h/b.xml",)], "body string")
+    assert rows.select(feeds.robots_sitemaps(F.col("body"))).first()[0] == ["https://h/a.xml", "https://h/b.xml"]
+    (tmp_path / "jar.json").write_text('[{"name": "a", "value": "1", "secure": true, "other": 2}, {"name": "b"}]')
+    assert [(r.name, r.value, r.secure) for r in feeds.read_cookies(spark, f"{tmp_path}/jar.json").collect()] == [("a", "1", True)]

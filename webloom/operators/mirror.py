@@ -45,7 +45,7 @@ def judged(fetched: DataFrame) -> DataFrame:
 def crawl(fetched: DataFrame, seeds: DataFrame, scope: Scope, rules: DataFrame | None = None, sitemap: DataFrame | None = None) -> Mirror:
     """The mirror of what ``seeds`` (key, seq) lead to.
 
-    Robots ``rules`` (origin, seq, allow, prefix) come before the budget: a page that they block is recorded, takes no place and leads
+    Robots ``rules`` (origin, with or without its last slash, seq, allow, prefix) come before the budget: a page that they block is recorded, takes no place and leads
     nowhere. Failed pages are recorded with their error in place of a page; only pages lead on.
     """
     seen = session.materialise(judged(fetched), "judged")
@@ -58,7 +58,9 @@ def crawl(fetched: DataFrame, seeds: DataFrame, scope: Scope, rules: DataFrame |
         if sitemap is not None:
             keys = keys.unionByName(sitemap.select("key"))
         target = F.concat(U.path_of(F.col("key")), F.when(U.query_of(F.col("key")) != "", F.concat(F.lit("?"), U.query_of(F.col("key")))).otherwise(""))
-        asked = keys.distinct().select("key", U.origin(F.col("key")).alias("origin"), target.alias("target"))
+        bare = lambda origin: F.rtrim(origin, F.lit("/")).alias("origin")
+        asked = keys.distinct().select("key", bare(U.origin(F.col("key"))), target.alias("target"))
+        rules = rules.select(bare(F.col("origin")), "seq", "allow", "prefix")
         blocked = session.materialise(frontier.allowed(asked, rules).where("NOT allowed").select("key"), "blocked")
     admitted, pending, refused = frontier.crawl_with_refused(edges, seeds, scope, pages.select("key"), sitemap, blocked)
     facts = seen.select("key", "url", "html", "title", "status", "failure", "is_page", F.lit(True).alias("there"))

@@ -108,16 +108,61 @@ def throttled_hosts(multipliers: DataFrame, rows: int = 3) -> DataFrame:
     return multipliers.where(F.col("multiplier") > 1).orderBy(F.desc("multiplier"), "host").limit(rows)
 
 
-def site_map(crawled: DataFrame, assets: DataFrame, pending: DataFrame, start_host: str, max_pages: int = 20_000) -> str:
-    """The site map as an html document. It is one page for people, so it lists ``max_pages`` pages at most, by depth and URL."""
-    import html
-
-    cards = "".join(f"<div><b>{html.escape(r.value)}</b> {html.escape(r.label)}</div>" for r in stats(crawled, assets, pending).orderBy("seq").collect())
-    listed = crawled.where(outcome(F.col("error"), F.col("path")) == "ok").orderBy("depth", "url").limit(max_pages)
-    items = "".join(
-        f'<li data-search="{html.escape(f"{r.title or ""} {r.url}".lower())}"><a href="{html.escape(r.href)}">{html.escape(r.title or r.url)}</a> <i class="{r.cls}">{r.status if r.status is not None else "—"}</i> d{r.depth}</li>'
-        for r in listed.select("url", "title", "status", "depth", U.relative_link(F.lit("index.html"), F.col("path")).alias("href"), status_class(F.col("status")).alias("cls")).collect()
-    )
-    rows = lambda df, *c: "".join("<tr>" + "".join(f"<td>{html.escape(str(r[x] or ''))}</td>" for x in c) + "</tr>" for r in df.collect())
-    lists = f"<h2>Failed</h2><table>{rows(failed_pages(crawled), 'url', 'error')}</table><h2>Not fetched</h2><table>{rows(pending_pages(pending), 'key', 'depth')}</table>"
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Mirror of {html.escape(start_host)}</title></head><body><h1>Mirror of {html.escape(start_host)}</h1>{cards}<ul>{items}</ul>{lists}</body></html>"
+def site_nodes(urls: DataFrame) -> DataFrame:
+    """Folders of the site map (host, prefix, depth, label, n, is_open): the collapsed tree and whether each is shown open."""
+    return collapse(tree(urls)).select("host", "prefix", "depth", "label", "n", opens(F.col("depth"), F.col("n")).alias("is_open"))
+
+
+_STYLE = "div.n,div.p{margin-left:calc(var(--d)*1.2em)}div.n{font-weight:bold;cursor:pointer}.s-ok{color:green}.s-redir{color:orange}.s-err{color:red}"
+#: Shows what has the typed words, and folds a folder's pages away.
+_SCRIPT = "const q=document.getElementById('q');q.oninput=()=>{for(const e of document.querySelectorAll('.p'))e.hidden=!e.dataset.search.includes(q.value.toLowerCase())};for(const n of document.querySelectorAll('.n'))n.onclick=()=>{for(const e of document.querySelectorAll('.p'))if(e.dataset.at===n.dataset.at)e.hidden=!e.hidden};"
+
+
+def site_map_lines(crawled: DataFrame) -> DataFrame:
+    """(place, line): the site map's tree, a line of html for each folder and page, whatever their number; in order by ``place``.
+
+    ``crawled``: (url, title, status, depth, path, error). Lines stand for themselves, indented by depth, so none waits for another.
+    """
+    ok = crawled.where(outcome(F.col("error"), F.col("path")) == "ok").withColumn("fetch_url", F.col("url"))
+    host = F.when(U.host_of(F.col("url")) == "", "unknown").otherwise(U.host_of(F.col("url")))
+    at = F.array_join(_parts(F.col("url")), "/")
+    place = lambda host, prefix, kind, more: F.struct(host.alias("host"), F.split(prefix, "/").alias("path"), F.lit(kind).alias("kind"), more.alias("more"))
+    where = lambda host, prefix: H.escape(F.concat_ws("/", host, F.nullif(prefix, F.lit(""))))
+    folders = site_nodes(ok).where("n > 1").select(
+        place(F.col("host"), F.col("prefix"), 0, F.col("label")).alias("place"),
+        F.concat(F.lit('<div class="n" style="--d:'), F.col("depth").cast("string"), F.lit('" data-at="'), where(F.col("host"), F.col("prefix")), F.lit('" data-open="'), F.col("is_open").cast("string"), F.lit('">'), H.escape(F.col("label")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</div>")).alias("line"),
+    )
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
+    above = F.regexp_replace(at, "(^|/)[^/]*$", "")
+    pages = ok.select(
+        place(host, at, 1, F.col("url")).alias("place"),
+        F.concat(
+            F.lit('<div class="p" style="--d:'), (F.size(_parts(F.col("url"))) + 1).cast("string"), F.lit('" data-at="'), where(host, above), F.lit('" data-search="'), H.escape(F.lower(F.concat_ws(" ", "title", "url"))), F.lit('"><a href="'),
+            H.escape(U.relative_link(F.lit("index.html"), F.col("path"))), F.lit('">'), H.escape(title), F.lit('</a> <i class="'), status_class(F.col("status")), F.lit('">'), F.coalesce(F.col("status").cast("string"), F.lit("—")), F.lit("</i> d"), F.col("depth").cast("string"), F.lit("</div>"),
+        ).alias("line"),
+    )
+    return folders.unionByName(pages)
+
+
+def site_map(crawled: DataFrame, assets: DataFrame, pending: DataFrame, start_host: str) -> DataFrame:
+    """(place, line) of the whole site map document, in order by ``place``: its head, the cards, the tree and the lists.
+
+    It lists every page, so it stays a table: sort it by ``place`` and write its lines as text.
+    """
+    name = H.escape(F.lit(start_host))
+    none = F.array().cast("array<string>")
+    fixed_place = lambda kind, more: F.struct(F.lit("").alias("host"), none.alias("path"), F.lit(kind).alias("kind"), more.alias("more"))
+    spark = crawled.sparkSession
+    top = spark.range(1).select(fixed_place(0, F.lit("")).alias("place"), F.concat(F.lit("<!doctype html><html><head><meta charset='utf-8'><title>Mirror of "), name, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>Mirror of "), name, F.lit("</h1><input id='q'>")).alias("line"))
+    cards = stats(crawled, assets, pending).select(fixed_place(1, F.col("seq").cast("string")).alias("place"), F.concat(F.lit("<div><b>"), H.escape(F.col("value")), F.lit("</b> "), H.escape(F.col("label")), F.lit("</div>")).alias("line"))
+    row = lambda *cells: F.concat(F.lit("<div class='row'>"), *[H.escape(F.coalesce(F.col(c).cast("string"), F.lit(""))) if isinstance(c, str) else c for c in cells], F.lit("</div>"))
+    end = F.lit("\uffff")  # behind every host
+    last = lambda kind, more: F.struct(end.alias("host"), none.alias("path"), F.lit(kind).alias("kind"), more.alias("more"))
+    heads = spark.createDataFrame([(0, "<h2>Failed</h2>"), (2, "<h2>Not fetched</h2>"), (4, f"<script>{_SCRIPT}</script></body></html>")], "kind int, line string")
+    heads = heads.select(F.struct(end.alias("host"), none.alias("path"), F.col("kind").alias("kind"), F.lit("").alias("more")).alias("place"), "line")
+    failed = failed_pages(crawled).select(last(1, F.col("url")).alias("place"), row("url", F.lit(" "), "error").alias("line"))
+    left = pending_pages(pending).select(last(3, F.col("key")).alias("place"), row("key", F.lit(" d"), "depth").alias("line"))
+    out = top
+    for part in (cards, site_map_lines(crawled), heads, failed, left):
+        out = out.unionByName(part)
+    return out

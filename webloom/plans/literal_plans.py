@@ -279,7 +279,7 @@ JAR = [("h", "a", "1", None, None, "99"), ("h", "b", "2", "/x", "", "soon"), ("h
 
 @query("WITH " + values("j", "host, name, value, path, domain, expiry", JAR) + " SELECT host, name, value, coalesce(path, '/') AS path, coalesce(nullif(domain, ''), host) AS domain, TRY_CAST(expiry AS BIGINT) AS expiry FROM j")
 def cookie_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.usable_cookies(literal(spark, "host string, name string, value string, path string, domain string, expiry string", JAR))
+    return feeds.usable_cookies(literal(spark, "host string, name string, value string, path string, domain string, expiry string", JAR)).drop(*feeds.COOKIE_FLAGS)
 
 
 def _message(method: str, kind: str, url: str, status: int) -> str:
@@ -314,7 +314,7 @@ def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, 'https://' || page_id AS key, 200 AS status, CAST(page_id % 4 AS INT) AS depth, CASE WHEN page_id % 7 = 0 THEN 'timeout' END AS error FROM pages")
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to a manifest and back."""
+    """Pages to a manifest for each host, and back."""
     from pyspark.sql import types as T
 
     from webloom.functions.scope import Scope
@@ -325,8 +325,10 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), F.col("page_id").cast("string")).alias("key"), "url", F.col("url").alias("final_url"), F.lit("p").alias("path"), F.lit("r").alias("raw"), F.lit("t").alias("title"), F.lit(200).alias("status"),
         F.expr("int(page_id % 4)").alias("depth"), null("string").alias("parent"), F.array(F.lit("a")).alias("links"), F.length("html").cast("long").alias("bytes"), F.lit("2024-01-01T00:00:00+00:00").alias("fetched_at"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"),
     )
-    asset = rows.limit(1).select("key", "url", "path", F.lit("text/css").alias("content_type"), F.col("bytes").alias("size"), "error")
-    text = feeds.to_manifest(rows, asset, rows.limit(1).select("key", "depth"), "https://0", "https://0", Scope(), "a", "b")
+    rows = rows.withColumn("site", U.host_of(F.col("url")))
+    asset = rows.select("site", "key", "url", "path", F.lit("text/css").alias("content_type"), F.col("bytes").alias("size"), "error")
+    starts = rows.groupBy("site").agg(F.min("key").alias("start_key")).withColumn("start_url", F.col("start_key"))
+    text = feeds.to_manifests(rows, asset, rows.select("site", "key", "depth"), starts, Scope(), "a", "b")
     back = text.select(F.from_json("value", T._parse_datatype_string(feeds.MANIFEST)).alias("m")).select("m.*")
     return feeds.manifest_pages(back).select(F.substring("key", 9, 20).cast("long").alias("page_id"), "key", "status", "depth", "error")
 

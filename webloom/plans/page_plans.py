@@ -9,7 +9,7 @@ from webloom.functions import fixed, html as H, url as U, walls
 from webloom.functions.scope import Scope
 from webloom.operators import links as L, report, rewrite
 from webloom.plans.base import (
-    SQL_LINKS, SQL_TAGS, any_in, in_list, pages, query, quoted, sql_attr, sql_canonical, sql_ext, sql_host, sql_page_like, sql_path, sql_strip, sql_unescape,
+    SQL_LINKS, SQL_TAGS, any_in, in_list, pages, query, sql_attr, sql_canonical, sql_ext, sql_host, sql_page_like, sql_path, sql_strip, sql_unescape,
 )
 
 _PAGES = "src AS (SELECT page_id, url AS raw, NULL AS base, html FROM pages)," + sql_canonical("canon", "src")
@@ -219,6 +219,14 @@ def site_tree_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.collapse(report.tree(_canon(spark, sf_dir))).select("host", "prefix", "label", "n")
 
 
+@query(
+    _TREE + """, kids AS (SELECT host, CASE WHEN depth = 1 THEN '' ELSE regexp_replace(prefix, '/[^/]*$', '') END AS prefix, count(*) AS kids FROM node WHERE depth > 0 GROUP BY ALL)
+SELECT n.host, n.prefix, n.n, n.depth < 2 OR n.n <= 25 AS is_open FROM node n LEFT JOIN kids k USING (host, prefix) WHERE coalesce(k.kids, 0) <> 1 OR own > 0"""
+)
+def site_map_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.site_nodes(_canon(spark, sf_dir)).select("host", "prefix", "n", "is_open")
+
+
 @query()
 def rewrite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rewritten page: links by outcome and the digest of the new html. SQL has no html rewriter."""
@@ -236,5 +244,3 @@ def wall_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     wall = walls.detect(F.col("html"), H.title(F.col("html")), F.lit(200))
     return pages(spark, sf_dir).agg(F.count("*").alias("n_pages"), F.count(wall).alias("n_walls"))
 
-
-__all__ = ["quoted"]

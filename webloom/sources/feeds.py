@@ -111,9 +111,21 @@ def status_from_log(log: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("page_id").join(best, "page_id", "left").select("page_id", F.col("r.status").alias("status"), F.coalesce("r.mime", F.lit("")).alias("mime"))
 
 
+#: Fields of a cookie that a browser takes; anything else in a file is left out.
+COOKIE_FLAGS = ["secure", "httpOnly", "sameSite"]
+
+
+def read_cookies(spark: SparkSession, path: str) -> DataFrame:
+    """Cookies of JSON files, each a list or one cookie a line; a file that is none gives no rows."""
+    rows = spark.read.schema(T._parse_datatype_string(COOKIE)).option("multiLine", True).json(path)
+    return rows.where("name IS NOT NULL AND value IS NOT NULL")
+
+
 def usable_cookies(cookies: DataFrame) -> DataFrame:
     """Cookies with the known fields; an expiry that is no number is dropped, the domain and path get defaults from ``host``."""
-    return cookies.select("host", "name", "value", F.coalesce("path", F.lit("/")).alias("path"), F.coalesce(F.nullif(F.col("domain"), F.lit("")), "host").alias("domain"), F.expr("try_cast(expiry AS bigint)").alias("expiry"))
+    flags = [F.col(c) if c in cookies.columns else F.lit(None).cast("string" if c == "sameSite" else "boolean").alias(c) for c in COOKIE_FLAGS]
+    domain = F.coalesce(F.nullif(F.col("domain"), F.lit("")), "host").alias("domain")
+    return cookies.select("host", "name", "value", F.coalesce("path", F.lit("/")).alias("path"), domain, F.expr("try_cast(expiry AS bigint)").alias("expiry"), *flags)
 
 
 def merge_cookies(cookies: DataFrame) -> DataFrame:
@@ -152,14 +164,21 @@ def manifest_assets(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode("assets").alias("key", "a")).select("key", "a.*")
 
 
-def to_manifest(pages: DataFrame, assets: DataFrame, pending: DataFrame, start_url: str, start_key: str, scope: Scope, created: str, finished: str) -> DataFrame:
-    """One row with a site's manifest as JSON. A manifest is one document, so a site's rows meet in it; corpora of many sites stay tables."""
-    entries = lambda df, kind: df.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(*[c for c in df.columns if c != "key"]).cast(kind)))).alias("m"))
+def to_manifests(pages: DataFrame, assets: DataFrame, pending: DataFrame, starts: DataFrame, scope: Scope, created: str, finished: str) -> DataFrame:
+    """(site, value): each site's manifest as JSON, from tables that have ``site`` beside ``key``; ``starts``: (site, start_url, start_key).
+
+    A manifest is one document, so a site's rows meet in it; other sites' don't.
+    """
     names = lambda kind: [f.name for f in T._parse_datatype_string(kind).fields]
-    p = entries(pages.select("key", *names(PAGE)), PAGE).toDF("pages")
-    a = entries(assets.select("key", *names(ASSET)), ASSET).toDF("assets")
-    n = pending.agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("depth").cast("int")))).alias("not_crawled"))
-    settings = F.struct(*[F.lit(v).alias(k) for k, v in (("max_depth", scope.max_depth), ("max_pages", scope.max_pages), ("include_subdomains", scope.include_subdomains), ("path_prefix", scope.path_prefix), ("download_assets", True), ("respect_robots", True), ("workers", 1))])
-    one = p.crossJoin(a).crossJoin(n)  # three single rows
-    head = [F.lit(v).alias(k) for k, v in (("version", 1), ("start_url", start_url), ("start_key", start_key), ("created", created), ("finished", finished))]
-    return one.select(F.to_json(F.struct(*head, settings.alias("settings"), "pages", "assets", "not_crawled")).alias("value"))
+
+    def entries(df: DataFrame, value: Column, name: str) -> DataFrame:
+        return df.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("key", value))).alias(name))
+
+    p = entries(pages, F.struct(*names(PAGE)).cast(PAGE), "pages")
+    a = entries(assets, F.struct(*names(ASSET)).cast(ASSET), "assets")
+    n = entries(pending, F.col("depth").cast("int"), "not_crawled")
+    values = (("max_depth", scope.max_depth), ("max_pages", scope.max_pages), ("include_subdomains", scope.include_subdomains), ("path_prefix", scope.path_prefix), ("download_assets", True), ("respect_robots", True), ("workers", 1))
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in values]).alias("settings")
+    rows = starts.join(p, "site", "left").join(a, "site", "left").join(n, "site", "left")
+    head = [F.lit(1).alias("version"), "start_url", "start_key", F.lit(created).alias("created"), F.lit(finished).alias("finished")]
+    return rows.select("site", F.to_json(F.struct(*head, settings, "pages", "assets", "not_crawled")).alias("value"))
