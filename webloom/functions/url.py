@@ -146,6 +146,11 @@ def canonical(raw: Column, base: Column | None = None, keep_query: bool = True)
     return let(text, start)
 
 
+def url_of_key(key: Column, keep_query: bool = True) -> Column:
+    """The URL to fetch for an identity, which is a URL itself; null if it can't be fetched."""
+    return canonical(key, None, keep_query)["fetch_url"]
+
+
 def host_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
 

@@ -9,6 +9,8 @@ from webloom.functions import fixed, html as H, url as U
 
 #: Rows of a report's lists of failed and of pending pages, and of the console's.
 REPORT_ROWS, CONSOLE_ROWS = 400, 20
+#: Failed pages that the console names.
+CONSOLE_FAILURES = 5
 
 
 def outcome(error: Column, path: Column) -> Column:
@@ -113,6 +115,44 @@ def site_nodes(urls: DataFrame) -> DataFrame:
     return collapse(tree(urls)).select("host", "prefix", "depth", "label", "n", opens(F.col("depth"), F.col("n")).alias("is_open"))
 
 
+def duration(started: Column, finished: Column) -> Column:
+    """Whole seconds that a crawl took."""
+    return F.floor(F.timestamp_diff("MICROSECOND", started, finished) / 1e6).cast("long")
+
+
+def local_time(at: Column) -> Column:
+    """A time to the minute, in the session's time zone."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def megabytes(n: Column) -> Column:
+    return F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit(" MB"))
+
+
+def start_page(crawled: DataFrame, starts: DataFrame) -> DataFrame:
+    """(site, start_key, href) for ``starts`` (site, start_key): where the site map's link to the start page leads, empty where that page has no file."""
+    path = crawled.select(F.col("key").alias("start_key"), "path")
+    href = F.when(F.coalesce("path", F.lit("")) != "", U.relative_link(F.lit("index.html"), F.col("path"))).otherwise("")
+    return starts.join(path, "start_key", "left").select("site", "start_key", href.alias("href"))
+
+
+def console(summary: DataFrame, seconds: float) -> DataFrame:
+    """(pos, line): what is said at the end of a crawl, from the row of ``mirror.summary``; ``pages`` above 0 means success."""
+    some = lambda n, *text: F.when(F.col(n) > 0, F.concat(*text))
+    n = lambda c: F.col(c).cast("string")
+    slow = F.array_join(F.transform("throttled", lambda t: F.format_string("%s x%.0f", t["host"], t["multiplier"])), ", ")
+    first = F.transform(F.slice("failures", 1, CONSOLE_FAILURES), lambda f: F.concat(F.lit("  "), f["url"], F.lit(": "), f["error"]))
+    lines = F.concat(
+        F.array(F.concat(F.lit("pages: "), n("pages")), F.concat(F.lit("assets: "), n("assets"), F.lit(", "), megabytes(F.col("asset_bytes"))), F.concat(F.lit("greatest depth: "), n("max_depth"))),
+        F.array(
+            some("blocked", F.lit("left out by robots: "), n("blocked")), some("walled", F.lit("behind a wall: "), n("walled"), F.lit(", cleared: "), n("cleared")),
+            F.when(F.size("throttled") > 0, F.concat(F.lit("slowed down: "), slow)), some("failed", F.lit("failed: "), n("failed")),
+        ),
+        first, F.array(some("not_crawled", F.lit("not fetched: "), n("not_crawled")), F.lit(f"seconds: {seconds:.0f}")),
+    )
+    return summary.select(F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("pos", "line"))
+
+
 _STYLE = "div.n,div.p{margin-left:calc(var(--d)*1.2em)}div.n{font-weight:bold;cursor:pointer}.s-ok{color:green}.s-redir{color:orange}.s-err{color:red}"
 #: Shows what has the typed words, and folds a folder's pages away.
 _SCRIPT = "const q=document.getElementById('q');q.oninput=()=>{for(const e of document.querySelectorAll('.p'))e.hidden=!e.dataset.search.includes(q.value.toLowerCase())};for(const n of document.querySelectorAll('.n'))n.onclick=()=>{for(const e of document.querySelectorAll('.p'))if(e.dataset.at===n.dataset.at)e.hidden=!e.hidden};"

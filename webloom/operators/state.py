@@ -123,3 +123,32 @@ def gate_events(events: DataFrame) -> DataFrame:
 
     kind = "array<struct<seq:bigint,returned:boolean,prompts:int,solved:int,abandoned:boolean>>"
     return rows.select("session", F.explode(F.aggregate("rows", F.array().cast(kind), lambda o, r: step(o, r).cast(kind))).alias("e")).select("session", "e.*")
+
+
+def adopted_sessions(fetches: DataFrame, cleared: DataFrame) -> DataFrame:
+    """``fetches`` (site, at, seq, ...) with ``epoch``, the walls cleared on the site by then, and ``session``, what the last of them left.
+
+    ``cleared``: (site, at, seq, session), a row for each cleared wall; one at a fetch's own (at, seq) counts. A fetch without a cleared wall before
+    it has epoch 0 and no session; a wall that left nothing keeps the session before it. Both are running values over the
+    union of the two, so no fetch is paired with a wall; sites are dealt by range of time, and what pieces before hold is folded by piece.
+    """
+    columns = [c for c in fetches.columns if c not in ("epoch", "session")]
+    rows = fetches.select("site", "at", "seq", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_left"), F.struct(*columns).alias("_row"))
+    walls = cleared.select("site", "at", "seq", F.lit(0).alias("_kind"), F.col("session").cast("string").alias("_left"))
+    both = rows.unionByName(walls, allowMissingColumns=True).repartitionByRange("site", "at", "seq", "_kind").withColumn("_part", F.spark_partition_id())
+    both = session.materialise(both, "sessions")
+    run = Window.partitionBy("site", "_part").orderBy("at", "seq", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_n", F.count_if(F.col("_kind") == 0).over(run)).withColumn("_last", F.last("_left", ignorenulls=True).over(run))
+    parts = both.where("_kind = 0").groupBy("site", "_part").agg(F.count("*").alias("n"), F.max_by("_left", F.when(F.col("_left").isNotNull(), F.struct("at", "seq"))).alias("last"))
+    # Pieces without a wall count too: a few rows for each site.
+    parts = both.select("site", "_part").distinct().join(parts, ["site", "_part"], "left")
+    ahead = Window.partitionBy("site").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("site", "_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"), F.last("last", ignorenulls=True).over(ahead).alias("_had"))
+    out = here.where("_kind = 1").join(parts, ["site", "_part"])
+    return out.select("_row.*", (F.col("_n") + F.col("_before")).alias("epoch"), F.coalesce("_last", "_had").alias("session"))
+
+
+def remembered_sessions(fetches: DataFrame) -> DataFrame:
+    """(site, session): the latest cookies that are not empty, of fetches (site, host, start_host, at, seq, cookies) from the site's own start host."""
+    own = fetches.where("host = start_host AND cookies IS NOT NULL AND cookies <> ''")
+    return own.groupBy("site").agg(F.max_by("cookies", F.struct("at", "seq")).alias("session"))
