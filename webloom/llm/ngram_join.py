@@ -246,7 +246,8 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     docs = shared.plain(docs, doc_id="bigint", text="string")
     schema = "doc_id long, n_shingles long, digest binary, tile long, meets boolean, columns binary"
     n = shared.buckets(docs)
-    rows = shared.keep(ask(docs, _emit_rows(width), "sum", _finish_rows(num, den), schema, n))
+    # Written, so that the tiles' exchanges, the largest of all, can go before the next ones come.
+    rows = shared.materialise(ask(docs, _emit_rows(width), "sum", _finish_rows(num, den), schema, n), "incidence-rows")
     some = rows.where("meets")
     # A class has as many rows with columns as there are row blocks with it; one of them goes on, by the class's smallest id.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.expr("CASE WHEN columns IS NOT NULL THEN tile END")).alias("carrier"))
