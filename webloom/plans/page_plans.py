@@ -239,6 +239,28 @@ def rewrite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "n_local", "n_remote", F.md5("html").alias("digest"), F.length("html").cast("long").alias("n_chars"))
 
 
+@query(
+    "WITH " + _LINKS + f""",
+linked AS (SELECT DISTINCT page_id, key FROM canon WHERE key IS NOT NULL AND {sql_page_like("fetch_url")}),
+caught AS (SELECT key, count(*) > 1 AS is_caught FROM linked GROUP BY key)
+SELECT p.page_id, count(*) FILTER (is_caught) AS n_local, count(*) FILTER (c.key IS NOT NULL AND NOT coalesce(is_caught, false)) AS n_remote,
+  CAST(1 AS BIGINT) AS n_badges, CAST(1 AS BIGINT) AS n_charsets
+FROM pages p LEFT JOIN canon c USING (page_id) LEFT JOIN caught k ON k.key = c.key GROUP BY p.page_id"""
+)
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from each rewritten page: links marked local and remote, site map bars and charsets.
+
+    What two pages or more link to counts as captured.
+    """
+    rows = pages(spark, sf_dir)
+    keys = L.page_links(rows).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    caught = keys.select("key", F.concat(F.lit("pages/x/"), F.sha1("key"), F.lit(".html")).alias("path"))
+    place = F.coalesce(U.page_path(U.canonical(F.col("url"))["fetch_url"]), F.lit("pages/index.html"))
+    out = rewrite.rewrite_pages(rows.select("page_id", "url", place.alias("path"), "html"), caught)
+    found = {"n_local": 'data-offline="local"', "n_remote": 'data-offline="remote"', "n_badges": f'id="{rewrite.NAV_ID}"', "n_charsets": '<meta charset="utf-8"'}
+    return out.select("page_id", *[F.regexp_count("html", F.lit(what)).cast("long").alias(name) for name, what in found.items()])
+
+
 @query(f"SELECT count(*) AS n_pages, count(*) FILTER (length(t) <= {fixed.SHORT_TEXT} AND {any_in('t', fixed.WALL_PHRASES[:8] + fixed.RATE_PHRASES + fixed.LOGIN_PHRASES)} OR {any_in('lower(html)', fixed.INTERSTITIAL_MARKERS + [m for m, _ in fixed.CAPTCHA_MARKERS])}) AS n_walls FROM (SELECT html, {_sql_visible('html')} AS t FROM pages)")
 def wall_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     wall = walls.detect(F.col("html"), H.title(F.col("html")), F.lit(200))
