@@ -30,10 +30,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays; rows without an id stay too.
 
-    Near copies share 80 of 100 of their distinct five-word shingles; three words and 90 of 100 are op9_ngram_join's own.
+    Near copies share 80 of 100 of their distinct five-word shingles, the operator's own measure.
     """
     session.ship(spark)
-    first = ngram_join.ngram_classes(docs, width=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
+    first = ngram_join.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -218,3 +218,22 @@ def test_components(spark):
     assert got == {k: root[k] for k in ends}
 
 
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_near_copies_take_five_words(spark, seed):
+    """Against all pairs of sets of distinct five-word shingles, linked from 80 of 100 on."""
+    rows = list(enumerate(near_copies(seed)))
+    sets = {}
+    for k, t in rows:
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = ngram_join.near_copies(documents(spark, [t for _, t in rows]).repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == root and len(set(root.values())) < len(root)

@@ -262,6 +262,14 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     return met.select(*out).unionByName(rows.where("NOT meets").withColumn("component_id", F.col("doc_id")).select(*out))
 
 
+def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id`` and ``component_id`` of near copies: texts that share 80 of 100 of their distinct five-word shingles.
+
+    The join of ``ngram_classes``, whose defined cases hold here too; three words and 90 of 100 are the contract of ``op9_ngram_join``.
+    """
+    return ngram_classes(docs, width, num, den).select("doc_id", "component_id")
+
+
 def _cross(table: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Rows outside the main component against a block; a row that is on both sides counts as both."""
     table = table.sort_values(["doc_id", "side"], kind="stable")
