@@ -1,6 +1,6 @@
 """Queries of the training-data operators by name, and the same in DuckDB SQL."""
 
-from webloom.llm import chat, exact_dedup, html_text, line_dedup, media, mixing, ngram_join, packing, quality, secrets, substring_dedup
+from webloom.llm import chat, exact_dedup, html_text, line_dedup, media, merkle, mixing, ngram_join, packing, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_packing": packing.op10_packing,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_quality_rules": quality.OP5_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op12_exact_dedup": exact_dedup.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
