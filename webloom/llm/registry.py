@@ -1,6 +1,6 @@
 """Queries of the training-data operators by name, and the same in DuckDB SQL."""
 
-from webloom.llm import chat, exact_dedup, html_text, line_dedup, media, merkle, mixing, ngram_join, packing, quality, secrets, substring_dedup
+from webloom.llm import chat, collocations, exact_dedup, html_text, line_dedup, media, merkle, mixing, ngram_join, packing, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_packing": packing.op10_packing,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op4_source_mixing": mixing.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
+    "op11_phrase_collocations": collocations.OP11_SQL,
     "op12_exact_dedup": exact_dedup.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
