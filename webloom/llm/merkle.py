@@ -267,7 +267,7 @@ OP13_SQL = (
     + "w AS (" + _WAYS.format(k=0, own="d.place") + " FROM d JOIN t ON t.tree = d.tree AND t.n > 1 AND t.place // 8 = (d.place >> (3 * t.level)) // 8 GROUP BY d.doc_id, d.place, t.level UNION ALL "
     + _WAYS.format(k=100, own="u.place") + " FROM d JOIN u ON u.tree = d.tree JOIN v t ON t.n > 1 AND t.place // 8 = (u.place >> (3 * t.level)) // 8 GROUP BY d.doc_id, u.place, t.level), "
     + "s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l) AS k FROM w), p AS (SELECT doc_id, sha256(coalesce(string_agg(a || b, '' ORDER BY k), '')) AS proof, max(k) AS k FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id), "
-    + "f AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, offered AS at FROM d UNION ALL SELECT f.doc_id, s.k, sha256(s.a || f.at || s.b) FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1) "
-    + "SELECT d.doc_id, leaf, u.digest AS subroot, v.digest AS root, proof AS proof_sha256, at AS folded_root, at = v.digest AS verified "
+    + "f AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, offered AS h FROM d UNION ALL SELECT f.doc_id, s.k, sha256(s.a || f.h || s.b) FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1) "
+    + "SELECT d.doc_id, leaf, u.digest AS subroot, v.digest AS root, proof AS proof_sha256, h AS folded_root, h = v.digest AS verified "
     + "FROM d JOIN u USING (tree) JOIN v ON v.n = 1 JOIN p USING (doc_id) JOIN f ON f.doc_id = d.doc_id AND f.k = coalesce(p.k, 0)"
 )
