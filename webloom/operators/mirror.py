@@ -15,6 +15,7 @@ from webloom import session
 from webloom.functions import fixed, html as H, url as U, walls
 from webloom.functions.scope import Scope
 from webloom.operators import frontier, links as L, report, rewrite
+from webloom.operators.journal import Journal, Unkept
 from webloom.sources import feeds
 
 NO_RESPONSE = "no response"
@@ -42,16 +43,17 @@ def judged(fetched: DataFrame) -> DataFrame:
     return rows.withColumn("is_page", F.col("failure").isNull() & feeds.is_html(F.col("content_type")))
 
 
-def crawl(fetched: DataFrame, seeds: DataFrame, scope: Scope, rules: DataFrame | None = None, sitemap: DataFrame | None = None) -> Mirror:
+def crawl(fetched: DataFrame, seeds: DataFrame, scope: Scope, rules: DataFrame | None = None, sitemap: DataFrame | None = None, journal: Journal | None = None) -> Mirror:
     """The mirror of what ``seeds`` (key, seq) lead to.
 
     Robots ``rules`` (origin, with or without its last slash, seq, allow, prefix) come before the budget: a page that they block is recorded, takes no place and leads
-    nowhere. Failed pages are recorded with their error in place of a page; only pages lead on.
+    nowhere. Failed pages are recorded with their error in place of a page; only pages lead on. With a ``journal``, a crawl that was stopped goes on.
     """
-    seen = session.materialise(judged(fetched), "judged")
+    step = (journal or Unkept()).step
+    seen, _ = step("judged", lambda: judged(fetched))
     pages = seen.where("is_page")
     found = pages.select("key", F.posexplode_outer(L.page_keys(F.coalesce("html", F.lit("")), F.col("url"), scope)).alias("pos", "dst")).where("dst IS NOT NULL")
-    edges = session.materialise(found.select(F.col("key").alias("src"), "dst", "pos"), "links")
+    edges, _ = step("links", lambda: found.select(F.col("key").alias("src"), "dst", "pos"))
     blocked = None
     if rules is not None:
         keys = edges.select(F.col("dst").alias("key")).unionByName(seeds.select("key"))
@@ -61,8 +63,8 @@ def crawl(fetched: DataFrame, seeds: DataFrame, scope: Scope, rules: DataFrame |
         bare = lambda origin: F.rtrim(origin, F.lit("/")).alias("origin")
         asked = keys.distinct().select("key", bare(U.origin(F.col("key"))), target.alias("target"))
         rules = rules.select(bare(F.col("origin")), "seq", "allow", "prefix")
-        blocked = session.materialise(frontier.allowed(asked, rules).where("NOT allowed").select("key"), "blocked")
-    admitted, pending, refused = frontier.crawl_with_refused(edges, seeds, scope, pages.select("key"), sitemap, blocked)
+        blocked, _ = step("blocked", lambda: frontier.allowed(asked, rules).where("NOT allowed").select("key"))
+    admitted, pending, refused = frontier.crawl_with_refused(edges, seeds, scope, pages.select("key"), sitemap, blocked, journal)
     facts = seen.select("key", "url", "html", "title", "status", "failure", "is_page", F.lit(True).alias("there"))
     rows = admitted.join(facts, "key", "left").withColumn("error", F.when(F.col("there").isNull(), NO_RESPONSE).otherwise(F.col("failure")))
     files = rows.where("error IS NULL AND NOT is_page").select("key", "depth")

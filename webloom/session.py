@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 import zipfile
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds that a table takes to write from which on the driver collects its garbage: smaller ones leave few shuffle files.
+COLLECT_AFTER = 1.0
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 _paths: dict[int, tuple] = {}
@@ -69,10 +72,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage; the files outlive any executor."""
     spark = df.sparkSession
     path, schema = place(spark, name), df.schema
+    began = time.monotonic()
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing needs any more
+    if time.monotonic() - began > COLLECT_AFTER:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing needs any more
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
