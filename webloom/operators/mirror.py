@@ -107,22 +107,24 @@ def finalize(mirror: Mirror, snapshots: DataFrame, assets: DataFrame | None = No
 def summary(mirror: Mirror, fetched: DataFrame, assets: DataFrame | None = None, cleared: DataFrame | None = None, multipliers: DataFrame | None = None) -> DataFrame:
     """One row: pages by outcome, walls met and cleared, hosts that were slowed down, assets, what was left, the greatest depth.
 
-    ``throttled`` names the slowest hosts, ``failures`` the first failed pages; both are a report's lists.
+    ``throttled`` names the first hosts that were slowed down, ``failures`` failed pages by URL, ``first_failures`` those met first; all are
+    a report's lists.
     """
     r = mirror.records
     one = report.summary(r).withColumnRenamed("ok", "pages")
-    walled = judged(fetched).where("wall IS NOT NULL").join(r.select("key"), "key", "left_semi").agg(F.count("*").alias("walls_hit"))
+    walled = judged(fetched).where("wall IS NOT NULL").join(r.where(F.coalesce("error", F.lit("")) != fixed.ROBOTS_ERROR).select("key"), "key", "left_semi").agg(F.count("*").alias("walls_hit"))
     solved = (cleared.agg(F.coalesce(F.max("solved"), F.lit(0)).alias("cleared")) if cleared is not None else one.select(F.lit(0).alias("cleared"))).select(F.col("cleared").cast("long"))
     stored = assets.select("size", "error") if assets is not None else mirror.files.select(F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("error"))
     left = mirror.pending.agg(F.count("*").alias("not_crawled"))
     failures = report.failed_pages(r, report.CONSOLE_ROWS).agg(F.array_sort(F.collect_list(F.struct("url", "error"))).alias("failures"))
+    met = report.first_failures(r).agg(F.array_sort(F.collect_list(F.struct("depth", "seq", "url", "error"))).alias("f")).select(F.transform("f", lambda x: F.struct(x["url"].alias("url"), x["error"].alias("error"))).alias("first_failures"))
     slow = F.array().cast("array<struct<multiplier:double,host:string>>")
     hosts = one.select(slow.alias("throttled"))
     if multipliers is not None:
         top = report.throttled_hosts(multipliers)
-        hosts = top.agg(F.sort_array(F.collect_list(F.struct("multiplier", "host")), asc=False).alias("throttled"))
+        hosts = top.agg(F.array_sort(F.collect_list(F.struct("host", "multiplier"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["multiplier"].alias("multiplier"), x["host"].alias("host"))).alias("throttled"))
     out = one
-    for part in (walled, solved, report.asset_totals(stored).withColumnRenamed("n", "assets").withColumnRenamed("total_bytes", "asset_bytes"), left, hosts, failures):
+    for part in (walled, solved, report.asset_totals(stored).withColumnRenamed("n", "assets").withColumnRenamed("total_bytes", "asset_bytes"), left, hosts, failures, met):
         out = out.crossJoin(part)  # single rows
     return out
 

@@ -106,8 +106,18 @@ def pending_pages(pending: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:
 
 
 def throttled_hosts(multipliers: DataFrame, rows: int = 3) -> DataFrame:
-    """The hosts (host, multiplier) that were slowed down most, the first few for a report."""
-    return multipliers.where(F.col("multiplier") > 1).orderBy(F.desc("multiplier"), "host").limit(rows)
+    """The first hosts (host, multiplier), by name, that were slowed down: a report's list."""
+    return multipliers.where(F.col("multiplier") > 1).orderBy("host").limit(rows)
+
+
+def first_failures(crawled: DataFrame, rows: int = CONSOLE_ROWS) -> DataFrame:
+    """The first failed pages as they were met: (depth, seq, url, error)."""
+    return crawled.where(outcome(F.col("error"), F.col("path")).isin("failed", "walled")).orderBy("depth", "seq", "url").limit(rows).select("depth", "seq", "url", "error")
+
+
+def listed_pages(crawled: DataFrame) -> DataFrame:
+    """Pages that are shown in the site map, by depth and URL: (depth, url, title, path)."""
+    return crawled.where(outcome(F.col("error"), F.col("path")) == "ok").orderBy("depth", "url").select("depth", "url", "title", "path")
 
 
 def site_nodes(urls: DataFrame) -> DataFrame:
@@ -141,7 +151,8 @@ def console(summary: DataFrame, seconds: float) -> DataFrame:
     some = lambda n, *text: F.when(F.col(n) > 0, F.concat(*text))
     n = lambda c: F.col(c).cast("string")
     slow = F.array_join(F.transform("throttled", lambda t: F.format_string("%s x%.0f", t["host"], t["multiplier"])), ", ")
-    first = F.transform(F.slice("failures", 1, CONSOLE_FAILURES), lambda f: F.concat(F.lit("  "), f["url"], F.lit(": "), f["error"]))
+    met = "first_failures" if "first_failures" in summary.columns else "failures"
+    first = F.transform(F.slice(met, 1, CONSOLE_FAILURES), lambda f: F.concat(F.lit("  "), f["url"], F.lit(": "), f["error"]))
     lines = F.concat(
         F.array(F.concat(F.lit("pages: "), n("pages")), F.concat(F.lit("assets: "), n("assets"), F.lit(", "), megabytes(F.col("asset_bytes"))), F.concat(F.lit("greatest depth: "), n("max_depth"))),
         F.array(

@@ -17,9 +17,9 @@ _WALL_PAGE = "<p>Please slow down</p>"
 SCOPE = Scope(max_depth=1, max_pages=0)
 
 
-def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fetched(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     i = F.col("page_id") % 11
-    rows = pages(spark, sf_dir).select("page_id", U.canonical(F.col("url")).alias("c"), "html")
+    rows = (pages(spark, sf_dir) if source is None else source).select("page_id", U.canonical(F.col("url")).alias("c"), "html")
     rows = rows.select("page_id", F.col("c.key").alias("key"), F.col("c.fetch_url").alias("url"), "html").where("key IS NOT NULL")
     first = L.first_seen(rows, ["page_id"])
     blank = F.lit(None).cast("string")
@@ -60,7 +60,7 @@ def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mirror_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole crawl's figures in one row."""
     got, done = crawled(spark, sf_dir)
-    return mirror.summary(done, got).drop("throttled", "failures")
+    return mirror.summary(done, got).drop("throttled", "failures", "first_failures")
 
 
 @query("WITH " + _SEEN + f" SELECT url, error FROM (SELECT coalesce(s.url, r.key) AS url, error FROM rec r LEFT JOIN store s ON s.key = r.key AND r.error <> '{fixed.ROBOTS_ERROR}') WHERE error <> '{fixed.ROBOTS_ERROR}' ORDER BY url LIMIT 400")
