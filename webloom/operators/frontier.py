@@ -93,7 +93,7 @@ def crawl_with_refused(
         queued, known = step("queued", lambda: queued.where("depth > 0").groupBy("key").agg(F.min("depth").cast("int").alias("depth")), lambda df: {"last": df.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]})
         last_queued = known["last"]
     cand = seeds.select("key", none, place, F.col("seq").cast("long").alias("pos"))
-    admitted = deferred = refused = level = None
+    admitted = deferred = level = None
     depth, rows = -1, 1
     while True:
         # Here ``level`` is at ``depth``, and the candidates of the next one are met.
@@ -103,7 +103,7 @@ def crawl_with_refused(
             cand = links.select(F.col("dst").alias("key"), "parent", "parent_seq", F.col("pos").cast("long").alias("pos"))
             if depth >= scope.max_depth:
                 if rows:
-                    over, _ = step(f"beyond-{depth + 1}", lambda cand=cand, depth=depth: cand.select("key").distinct().withColumn("depth", F.lit(depth + 1)))
+                    over = cand.select("key", F.lit(depth + 1).alias("depth"))
                     deferred = over if deferred is None else deferred.unionByName(over)
                 cand = None
             if depth == 0 and sitemap is not None:
@@ -116,11 +116,6 @@ def crawl_with_refused(
                 break
         depth += 1
         if blocked is not None:
-            met = cand.join(blocked, "key", "left_semi")
-            if refused is not None:
-                met = met.join(refused.select("key"), "key", "left_anti")
-            met, _ = step(f"refused-{depth}", lambda met=met, depth=depth: _first_mention(met).select("key", F.lit(depth).alias("depth"), "parent"))
-            refused = met if refused is None else refused.unionByName(met)
             cand = cand.join(blocked, "key", "left_anti")
         room = max(0, scope.max_pages - used) if scope.max_pages else None
         new, facts = step(f"level-{depth}", lambda cand=cand: _dealt(seen.unseen(_first_mention(cand)), ["parent_seq", "pos", "key"]), _ranges)
@@ -141,6 +136,18 @@ def crawl_with_refused(
     deferred = deferred.groupBy("key").agg(F.min("depth").alias("depth")).join(admitted.select("key"), "key", "left_anti")
     if captured is not None:
         deferred = deferred.join(captured, "key", "left_anti")
+    if blocked is None:
+        return admitted, deferred, None
+    # Blocked pages lead nowhere, so what met them can be looked up once, when all levels are known.
+    by = admitted.where(F.col("depth") < scope.max_depth)
+    by = (by if expands is None else by.join(expands.select("key"), "key", "left_semi")).select(F.col("key").alias("parent"), F.col("seq").alias("parent_seq"), "depth")
+    met = by.join(edges, F.col("parent") == F.col("src")).select(F.col("dst").alias("key"), (F.col("depth") + 1).alias("depth"), "parent_seq", F.col("pos").cast("long").alias("pos"), "parent")
+    for rows, at, before in ((seeds, F.lit(0), -1), (sitemap, F.lit(1), -1), (queued, F.col("depth"), -2)):
+        if rows is not None:
+            pos = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
+            met = met.unionByName(rows.select("key", at.cast("int").alias("depth"), F.lit(before).cast("long").alias("parent_seq"), pos.alias("pos"), none))
+    first = met.join(blocked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("depth", "parent_seq", "pos", "parent")).alias("f"))
+    refused, _ = step("refused", lambda: first.select("key", "f.depth", "f.parent"))
     return admitted, deferred, refused
 
 

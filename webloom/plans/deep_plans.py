@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import session
 from webloom.functions import fixed, html as H, url as U
 from webloom.functions.scope import Scope
 from webloom.operators import frontier, links as L, mirror, report
@@ -35,8 +36,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What was fetched, the seeds, and a rule for each host."""
-    web = planted(spark, sf_dir)
-    got = fetched(spark, sf_dir, web)
+    web = session.materialise(planted(spark, sf_dir), "web")
+    got = session.materialise(fetched(spark, sf_dir, web), "fetched")
     origins = L.page_links(web).select(U.origin(F.col("key")).alias("origin")).union(got.select(U.origin(F.col("key")))).distinct()
     rules = origins.select("origin", F.lit(0).alias("seq"), F.lit(False).alias("allow"), F.lit(BLOCKED).alias("prefix"))
     seeds = got.where(F.col("page_id") % SEED_EVERY == 0).select("key", F.col("page_id").alias("seq"))
@@ -101,7 +102,7 @@ def restarted_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same crawl, stopped after every few steps and started again until it ends: its rows are those of a whole one."""
     run = f"restarted-{uuid.uuid4().hex}"
     while True:
-        journal = Journal(spark, run, {"depth": SCOPE.max_depth, "pages": SCOPE.max_pages}, pause_after=4)
+        journal = Journal(spark, run, {"depth": SCOPE.max_depth, "pages": SCOPE.max_pages}, pause_after=3)
         try:
             records = deep(spark, sf_dir, journal)[1].records
         except Stopped:
