@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from webloom.llm import collocations as C
-from webloom.llm import words
 
 SCHEMA = "doc_id bigint, text string, lang string, phrase string, f string, k string, n string"
 
@@ -72,7 +71,7 @@ def test_long_texts(spark):
 
 
 def test_stretches_take_the_words_before_them(monkeypatch):
-    monkeypatch.setattr(words, "SEGMENT", 7)
+    monkeypatch.setattr(C, "STRETCH", 7)
     data = C._AS[np.frombuffer(b"aa bb cc dd. ee ff gg hh ii jj kk", np.uint8)]
     got = [(bytes(data[a:c]), b - a) for a, b, c in C._segments(data, 2)]
     assert b"".join(t[k:] for t, k in got) == bytes(data)

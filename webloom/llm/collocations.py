@@ -27,6 +27,10 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 UNKNOWN = "und"
 #: Bits of a broadcast bitmap at most, and bits for each frequent phrase below that.
 FILTER_BITS, BITS_PER_PHRASE = 1 << 26, 32
+#: Bytes of texts that are taken at a time.
+STRETCH = 1 << 19
+#: Parts of all phrases of two words, which are most of the rows: one after the other is counted, so that their exchanges don't lie on the disks together.
+PARTS = {2: 2}
 _CHUNK = 1 << 15  # bits of a bitmap that Spark aggregates at a time
 #: Salts of a language's first ranking.
 SALTS = 64
@@ -48,10 +52,10 @@ def _segments(data: np.ndarray, back: int) -> Iterator[tuple[int, int, int]]:
     """
     begin, start = 0, 0
     while begin < len(data):
-        end = min(len(data), begin + words.SEGMENT)
+        end = min(len(data), begin + STRETCH)
         while end < len(data) and not _SEPARATES[data[end - 1]]:
-            ahead = np.flatnonzero(_SEPARATES[data[end : end + words.SEGMENT]])
-            end = end + int(ahead[0]) + 1 if len(ahead) else min(len(data), end + words.SEGMENT)
+            ahead = np.flatnonzero(_SEPARATES[data[end : end + STRETCH]])
+            end = end + int(ahead[0]) + 1 if len(ahead) else min(len(data), end + STRETCH)
         yield start, begin, end
         seen = data[start:end]
         inside = ~_SEPARATES[seen]
@@ -119,11 +123,11 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
 def _stretches(column: pa.Array, back: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Stretches of texts, where texts begin in each, and where what was not counted yet begins."""
     data, offsets = words.strings(column)
-    for lo, hi in words.row_chunks(offsets):
+    for lo, hi in words.row_chunks(offsets, STRETCH):
         own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(own):
             continue
-        if hi - lo > 1 or len(own) <= words.SEGMENT:
+        if hi - lo > 1 or len(own) <= STRETCH:
             yield _AS[own], at[:-1], 0
             continue
         own = _AS[own]
@@ -131,8 +135,8 @@ def _stretches(column: pa.Array, back: int) -> Iterator[tuple[np.ndarray, np.nda
             yield own[start:end], np.zeros(1, np.int64), begin - start
 
 
-def _grams(k: int, bits):
-    """Rows (lang, phrase, f) for the phrases of ``k`` words; with ``k`` 1 also one without a phrase, the number of all words."""
+def _grams(k: int, bits, part: int = 0, parts: int = 1):
+    """Rows (lang, phrase, f) for one part of the phrases of ``k`` words; with ``k`` 1 also one without a phrase, the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +149,8 @@ def _grams(k: int, bits):
                     if k > 1:
                         may = _held(bits.value, _name(hashes, k - 1, salt))
                         ok &= may[:-1] & may[1:]
+                    if parts > 1:
+                        ok &= (_name(hashes, k, salt) >> np.uint64(40)) % np.uint64(parts) == part
                     found.append(pc.value_counts(_slices(text, starts[first][ok], ends[last][ok])))
                     n += int(ok.sum())
                     if sum(map(len, found)) > 1 << 19:
@@ -194,8 +200,11 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     texts = shared.plain(docs, lang="string", text="string")
     out, total, bits = None, None, None
     for k in range(1, longest + 1):
-        counted = texts.mapInArrow(_grams(k, bits), _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        counted = shared.materialise(counted.where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}")
+        counted = None
+        for part in range(PARTS.get(k, 1)):
+            rows = texts.mapInArrow(_grams(k, bits, part, PARTS.get(k, 1)), _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+            rows = shared.materialise(rows.where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}")
+            counted = rows if counted is None else counted.unionByName(rows)
         if bits is not None:
             bits.destroy()
         if k == 1:
