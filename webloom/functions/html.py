@@ -8,16 +8,10 @@ from html import entities
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions import fixed
+from webloom.functions import fixed, markup
 from webloom.functions.url import let, strip
 
-#: Comments, and bodies of elements whose content is no markup, before tags are told.
-_RAW = r"(?is)<!--.*?-->|(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>).*?</\2\s*>"
-_TAG = r"<[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
 CSS_URL, CSS_IMPORT, META_REFRESH = (f"(?i){p}" for p in (fixed.CSS_URL, fixed.CSS_IMPORT, fixed.META_REFRESH))
-#: An attribute and its value, as a tag's text goes on; names and values of one never run into the next one's.
-_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
-_ATTR = rf"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+"
 #: A character reference, or what stands between two; a name without its semicolon is one only where the text doesn't go on with it.
 _PIECE = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|&[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;=])|[^&]+|&"
 #: The named references of HTML as one text, to be looked up in.
@@ -25,13 +19,17 @@ _NAMED = "".join(f"\x01{name}\x02{char}" for name, char in entities.html5.items(
 
 
 def tags(html: Column, names: list[str] | None = None) -> Column:
-    """All start tags, or those of some elements, in document order; comments and the bodies of scripts and styles are skipped."""
-    tag = _TAG if names is None else "(?i)<(?:" + "|".join(names) + ")(?=[\\s/>])" + _TAG.removeprefix("<[A-Za-z]")
-    return F.regexp_extract_all(F.regexp_replace(html, _RAW, "$1"), F.lit(tag), F.lit(0))
+    """All start tags, or those of some elements, in document order; comments and bodies that are no markup (``markup.RAW``) are passed over."""
+    return F.filter(F.regexp_extract_all(html, F.lit("(?i)" + markup.start_tags(names)), F.lit(3)), lambda t: t != "")
+
+
+def bodies(html: Column, name: str) -> Column:
+    """Texts of the elements of one name, which is one of ``markup.RAW``; blank ones are left out."""
+    return F.filter(F.regexp_extract_all(html, F.lit("(?i)" + markup.bodies(name)), F.lit(1)), lambda t: t != "")
 
 
 def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([A-Za-z][^\s/>]*)", 1))
+    return F.lower(F.regexp_extract(tag, rf"^<({markup.NAME})", 1))
 
 
 def unescape(text: Column) -> Column:
@@ -56,13 +54,13 @@ def escape(text: Column) -> Column:
 
 def _upto(name: str) -> str:
     """A tag up to its first attribute of a name: other attributes are passed whole."""
-    here = rf"{re.escape(name)}(?=[\s=/>])"
-    return rf"(?is)^<[^\s/>]++(?:[\s/]*+(?!{here}){_ATTR})*+[\s/]*+{here}"
+    here, gap = rf"{re.escape(name)}(?=[ \t\n\f\r=/>])", r"[ \t\n\f\r/]*+"
+    return rf"(?i)^<{markup.NAME}(?:{gap}(?!{here}){markup.ATTR})*+{gap}{here}"
 
 
 def attr_raw(tag: Column, name: str) -> Column:
     """An attribute's value as it is written, with its quotes; empty if the tag has none."""
-    return F.regexp_extract(tag, rf"{_upto(name)}\s*+=\s*+({_VALUE})", 1)
+    return F.regexp_extract(tag, rf"{_upto(name)}{markup.SPACE}*+={markup.SPACE}*+({markup.VALUE})", 1)
 
 
 def attr_value(raw: Column) -> Column:
@@ -84,7 +82,7 @@ def has_attr(tag: Column, name: str) -> Column:
 
 
 def title(html: Column) -> Column:
-    return unescape(strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return unescape(strip(F.regexp_extract(html, rf"(?i)<title(?=[ \t\n\f\r/>])[^>]*+>([\s\S]*?)(?:</title(?=[ \t\n\f\r/>])|{markup.END})", 1)))
 
 
 def visible_text(html: Column, limit: int = fixed.SCANNED) -> Column:

@@ -85,12 +85,12 @@ def asset_refs(html: Column) -> Column:
 
 def style_texts(html: Column) -> Column:
     """Bodies of style elements."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1))
+    return H.bodies(html, "style")
 
 
 def css_refs_of(styles: Column, tags: Column) -> Column:
     """References in style texts and in the style attributes of tags."""
-    attrs = F.transform(F.filter(tags, lambda t: H.has_attr(t, "style")), lambda t: F.coalesce(H.attr(t, "style"), F.lit("")))
+    attrs = F.transform(F.filter(tags, lambda t: t.rlike("(?i)style") & H.has_attr(t, "style")), lambda t: F.coalesce(H.attr(t, "style"), F.lit("")))
     both = F.filter(F.concat(styles, attrs), lambda c: c.rlike(r"(?i)url\(|@import"))
     refs = F.flatten(F.transform(both, lambda c: F.concat(H.css_imports(c), H.css_urls(c))))
     return F.filter(refs, lambda v: (v != "") & ~v.rlike("^(data:|about:|#)"))

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions import fixed, html as H, url as U
+from webloom.functions import fixed, html as H, markup, url as U
 from webloom.functions.scope import Scope
 from webloom.operators import frontier, links as L
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TOKEN = re.compile(rf"{markup.COMMENT}|</(?P<end>{markup.NAME}){markup.ATTRS}(?:>|{markup.END})|<(?P<name>{markup.NAME})(?P<attrs>{markup.ATTRS})(?P<close>>|{markup.END})|{markup.OTHER}", re.A | re.I)
+_ATTR = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:{markup.SPACE}*+={markup.SPACE}*+({markup.VALUE})?+)?+", re.A | re.I)
+_DOCTYPE = re.compile(r"\s*<!doctype[^>]*>", re.I)
+_CLOSES = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>]|{markup.END})", re.A | re.I) for name in markup.RAW}
 #: An import or else a url(): one pass, so that what an import became isn't matched again.
 _CSS = re.compile("(" + fixed.CSS_IMPORT.replace(r"\1", r"\2") + ")|" + fixed.CSS_URL.replace(r"\1", r"\4"), re.I)
 _REFRESH = re.compile(fixed.META_REFRESH, re.I)
@@ -105,25 +107,27 @@ class _Page:
             attrs.pop("crossorigin", None)
 
     def rewrite(self, text: str) -> str:
-        out, at, raw, charset = [], 0, None, False
+        out, at, charset = [], 0, False
         top = after_html = before_end = None  # places in ``out``
-        for m in _TAG.finditer(text):
-            if m[2] is None or m.start() < at:
-                continue
-            tag = m[2].lower()
-            if raw and not (m[1] and tag == raw):
-                continue
-            body = text[at : m.start()]
-            out.append(self._css(body) if raw == "style" else body)
-            at, raw = m.end(), None
-            if m[1]:
+        look = 0
+        while (m := _TOKEN.search(text, look)) is not None:
+            look = m.end()
+            if m["end"] is not None:
+                tag = m["end"].lower()
                 if tag == "body" or (tag == "html" and before_end is None):
-                    before_end = len(out)
-                out.append(m[0])
+                    out.append(text[at : m.start()])
+                    before_end, at = len(out), m.start()
+                continue
+            if m["name"] is None or not m["close"]:
                 continue
+            tag = m["name"].lower()
+            out.append(text[at : m.start()])
+            at = m.end()
             if tag == "base":
                 continue
-            attrs = {k.lower(): None if not v else entities.unescape(v[1:-1] if v[0] in "\"'" else v) for k, v in _ATTR.findall(m[3])}
+            attrs: dict[str, str | None] = {}
+            for k, v in _ATTR.findall(m["attrs"]):
+                attrs.setdefault(k.lower(), None if not v else entities.unescape(v[1:-1] if v[0] in "\"'" else v))
             before = dict(attrs)
             self.tag(tag, attrs)
             if tag == "meta" and not charset and (attrs.get("charset") or (attrs.get("http-equiv") or "").lower() == "content-type"):
@@ -132,9 +136,13 @@ class _Page:
             if attrs == before:
                 out.append(m[0])
             else:
-                out.append(f"<{m[2]}" + "".join(f" {k}" if v is None else f' {k}="{entities.escape(v)}"' for k, v in attrs.items()) + (" />" if m[3].rstrip().endswith("/") else ">"))
-            if tag in ("script", "style"):
-                raw = tag
+                out.append(f"<{m['name']}" + "".join(f" {k}" if v is None else f' {k}="{entities.escape(v)}"' for k, v in attrs.items()) + (" />" if m["attrs"].endswith("/") else ">"))
+            if tag in _CLOSES:  # a body that is no markup
+                close = _CLOSES[tag].search(text, at)
+                look = close.start() if close else len(text)
+                if tag == "style":
+                    out.append(self._css(text[at:look]))
+                    at = look
             if tag == "head" and top is None:
                 top = len(out)
             elif tag == "html" and after_html is None:
@@ -144,8 +152,10 @@ class _Page:
             bar = f'<div id="{NAV_ID}"><a href="{entities.escape(self.home)}">Site map</a> <a href="{entities.escape(self.live)}" target="_blank" rel="noopener">Live page</a></div>'
             out.insert(len(out) if before_end is None else before_end, bar)
         if not charset:  # first in the head, or where that would be
-            doctype = int(out[0].lstrip().lower().startswith("<!doctype"))
-            out.insert(next((k for k in (top, after_html) if k is not None), doctype), '<meta charset="utf-8">')
+            declared = _DOCTYPE.match(out[0])
+            if top is None and after_html is None and declared:
+                out[0:1] = [declared[0], out[0][declared.end() :]]
+            out.insert(next((k for k in (top, after_html) if k is not None), int(declared is not None)), '<meta charset="utf-8">')
         return "".join(out)
 
 
@@ -213,7 +223,8 @@ def rewrite_pages(pages: DataFrame, captured: DataFrame, assets: DataFrame | Non
     """
     scope = scope or Scope()
     html, url, tags = F.coalesce("html", F.lit("")), F.col("url"), F.col("tags")
-    seen = pages.select("page_id", "path", H.base_url(html, url).alias("base"), H.tags(html).alias("tags"), L.style_texts(html).alias("styles"))
+    named = F.filter(H.tags(html), lambda t: F.contains(t, F.lit("=")))  # others name nothing
+    seen = pages.select("page_id", "path", H.base_url(html, url).alias("base"), named.alias("tags"), L.style_texts(html).alias("styles"))
     fragmentless = F.transform(L.page_refs(tags, scope), lambda r: F.when(F.startswith(r, F.lit("#")), r).otherwise(F.regexp_extract(r, "^([^#]*)", 1)))
     raws = F.array_distinct(F.concat(fragmentless, L.asset_refs_of(tags), L.css_refs_of(F.col("styles"), tags), L.link_refs(tags)))
     refs = seen.select("page_id", "path", "base", F.explode_outer(raws).alias("raw")).where("raw <> ''")
