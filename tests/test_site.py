@@ -76,3 +76,51 @@ def test_report_lines(spark):
     crawled = spark.createDataFrame([("k", "pages/h/index.html"), ("l", "")], "key string, path string")
     starts = spark.createDataFrame([("a", "k"), ("b", "l"), ("c", "m")], "site string, start_key string")
     assert {r.site: r.href for r in report.start_page(crawled, starts).collect()} == {"a": "pages/h/index.html", "b": "", "c": ""}
+
+
+def test_cookie_files(spark, tmp_path):
+    """A list, one cookie a line, one cookie over many lines; what is none gives nothing."""
+    from webloom.sources import feeds
+
+    files = {"list": '[{"name": "a", "value": "1"}, {"name": "b", "value": "2", "expiry": 5}, 7]', "lines": '{"name": "c", "value": "3"}\n\n{"name": "d", "value": "4", "secure": true}\r\nnone\n{"value": "5"}', "one": '{\n "name": "e",\n "value": "6"\n}', "none": "hello", "empty": ""}
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.name: (r.value, r.secure, r.expiry) for r in feeds.read_cookies(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("1", None, None), "b": ("2", None, 5), "c": ("3", None, None), "d": ("4", True, None), "e": ("6", None, None)}
+
+
+def test_manifests_that_are_cut_off(spark, tmp_path):
+    from webloom.sources import feeds
+
+    whole = '{"version": 1, "start_url": "u", "pages": {"k": {"url": "u", "depth": 0}}, "not_crawled": {}}'
+    for name, text in (("whole", whole), ("cut", whole[:60]), ("other", "[1]"), ("text", "x"), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = feeds.read_manifest(spark, str(tmp_path))
+    assert [(r.version, r.start_url) for r in rows.collect()] == [(1, "u")] and rows.count() == 1
+    assert [r.key for r in feeds.manifest_pages(rows).collect()] == ["k"]
+    assert feeds.read_manifest(spark, f"{tmp_path}/cut.json").isEmpty()
+
+
+def test_sitemaps_are_read_once(spark):
+    """Children behind the maps that a site names itself; a map that is named again, by the site or by an index, counts where it comes first."""
+    from webloom.sources import feeds
+
+    urls = lambda *xs: "<urlset>" + "".join(f"<loc>{x}</loc>" for x in xs) + "</urlset>"
+    index = lambda *xs: "<sitemapindex>" + "".join(f"<loc>{x}</loc>" for x in xs) + "</sitemapindex>"
+    rows = [("s", 0, "i", index("k1", "p", "k2", "k1", "i")), ("s", 1, "p", urls("a", "b")), ("s", 2, "p", urls("a", "b")), ("s", 3, "i", index("k2")), ("s", None, "k1", urls("c")), ("s", None, "k2", urls("d", "a")), ("t", 0, "n", None)]
+    maps = spark.createDataFrame(rows, "site string, seq int, url string, body string")
+    got = [tuple(r) for r in feeds.sitemap_urls(maps).orderBy("site", "pos").collect()]
+    assert got == [("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c"), ("s", 3, "d"), ("s", 4, "a")]
+    assert [r.url for r in feeds.sitemap_urls(maps, 3).orderBy("pos").collect()] == ["a", "b", "c"]
+
+
+def test_one_file_of_many_lines(spark, tmp_path):
+    lines = spark.range(5000).select(F.format_string("%05d", (F.col("id") * 7919) % 5000).alias("place")).withColumn("line", F.concat(F.lit("é"), "place")).repartition(7)
+    site_files.store_lines(lines, f"{tmp_path}/m")
+    assert (tmp_path / "m/index.html").read_text() == "".join(f"é{k:05d}\n" for k in range(5000))
+    site_files.store_lines(lines.limit(0), f"{tmp_path}/m")
+    assert (tmp_path / "m/index.html").read_text() == "" and [p.name for p in (tmp_path / "m").iterdir() if p.name.endswith(".part")] == []
+    crawled = spark.createDataFrame([("http://h/a", "t", 200, 0, "pages/a.html", None)], "url string, title string, status int, depth int, path string, error string")
+    page = report.site_map(crawled, spark.createDataFrame([(10, None)], "size bigint, error string"), spark.createDataFrame([("http://h/c", 2)], "key string, depth int"), "h")
+    site_files.store_mirror(f"{tmp_path}/n", spark.createDataFrame([], "path string, html string"), site_map=page)
+    assert (tmp_path / "n/index.html").read_text() == "".join(r.line + "\n" for r in page.orderBy("place").collect())

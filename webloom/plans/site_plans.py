@@ -67,3 +67,32 @@ def crawl_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long each site's fetches took, when they ended, and how much came."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("site")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum("event_id").alias("n"))
     return rows.select("site", report.duration(F.col("a"), F.col("b")).alias("seconds"), report.local_time(F.col("b")).alias("finished"), report.megabytes(F.col("n") * 1000).alias("size"))
+
+
+@query(f"WITH {_KEYS} SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS INT) AS pos, key AS line FROM first")
+def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for every page, written by many tasks as one file and read back in the file's order."""
+    got, root = _first(spark, sf_dir), session.place(spark, "lines")
+    site_files.store_lines(got.select(F.col("key").alias("place"), F.col("key").alias("line")), root)
+    whole = spark.read.text(f"{root}/{site_files.SITE_MAP}", wholetext=True)
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("pos", "line"))
+
+
+_MAPS = """m AS (SELECT page_id % 9 AS site, page_id AS seq, 'https://s/' || (page_id // 20) || '.xml' AS url FROM pages),
+u AS (SELECT m.site, min(m.seq) AS seq, m.url FROM m GROUP BY m.site, m.url)"""
+
+
+@query(
+    f"""WITH {_MAPS}, l AS (SELECT site, seq, k, 'https://h/' || split_part(url, '/', 4) || '/' || k || CASE WHEN k = 1 THEN '?a=1&b=2' ELSE '' END AS loc FROM u, (VALUES (0), (1), (2)) v(k))
+SELECT site, CAST(pos AS INT) AS pos, loc AS url FROM (SELECT site, row_number() OVER (PARTITION BY site ORDER BY seq, k) - 1 AS pos, loc FROM l) WHERE pos < 20"""
+)
+def sitemaps_named_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps that sites name again and again: each is read once, where it is named first, up to the limit."""
+    from webloom.sources import feeds
+
+    i = F.col("page_id")
+    name = F.concat(F.expr("page_id div 20").cast("string"), F.lit(".xml"))
+    loc = lambda k, more: F.concat(F.lit("<url><loc> https://h/"), name, F.lit(f"/{k}{more}</loc></url>"))
+    body = F.concat(F.lit("<urlset>"), loc(0, ""), loc(1, "?a=1&amp;b=2"), loc(2, ""), F.lit("</urlset>"))
+    maps = pages(spark, sf_dir).select((i % 9).alias("site"), i.alias("seq"), F.concat(F.lit("https://s/"), name).alias("url"), body.alias("body"))
+    return feeds.sitemap_urls(maps, 20)

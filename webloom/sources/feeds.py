@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,15 +55,18 @@ def is_index(body: Column) -> Column:
 def sitemap_urls(maps: DataFrame, limit: int = SITEMAP_URLS) -> DataFrame:
     """(site, pos, url) from ``maps`` (site, seq, url, body): the pages of a site's maps, an index's children one level down.
 
-    ``seq`` is the order in which a site names its maps; maps that no index and no robots file names have none.
+    ``seq`` is the order in which a site names its maps; maps that no index and no robots file names have none. A map that is named more
+    than once is read once, where it is named first; children come behind all maps that the site names itself.
     """
-    roots = maps.where("seq IS NOT NULL")
-    plain = roots.where(~is_index(F.col("body"))).select("site", F.struct(F.col("seq").alias("a"), F.lit(-1).alias("b")).alias("order"), "body")
-    kids = roots.where(is_index(F.col("body"))).select("site", "seq", F.posexplode(F.slice(locations(F.col("body")), 1, CHILD_MAPS)).alias("b", "url"))
-    below = kids.join(maps.select("site", "url", "body"), ["site", "url"]).where(~is_index(F.col("body"))).select("site", F.struct(F.col("seq").alias("a"), "b").alias("order"), "body")
-    rows = plain.unionByName(below).select("site", "order", F.posexplode(locations(F.col("body"))).alias("c", "url"))
-    from pyspark.sql import Window
-
+    body = F.coalesce("body", F.lit(""))
+    named = maps.where("seq IS NOT NULL").groupBy("site", "url").agg(F.min("seq").alias("seq"), F.min_by(body, "seq").alias("body"))
+    place = lambda level, a, b: F.struct(F.lit(level).alias("level"), F.col(a).cast("int").alias("a"), b.cast("int").alias("b")).alias("order")
+    plain = named.where(~is_index(F.col("body"))).select("site", place(0, "seq", F.lit(0)), "body")
+    kids = named.where(is_index(F.col("body"))).select("site", "seq", F.posexplode(F.slice(locations(F.col("body")), 1, CHILD_MAPS)).alias("b", "url"))
+    kids = kids.groupBy("site", "url").agg(F.min(place(1, "seq", F.col("b"))).alias("order")).join(named.select("site", "url"), ["site", "url"], "left_anti")
+    texts = maps.groupBy("site", "url").agg(F.max(body).alias("body"))
+    below = kids.join(texts, ["site", "url"]).where(~is_index(F.col("body"))).select("site", "order", "body")
+    rows = plain.unionByName(below).select("site", "order", F.posexplode(F.slice(locations(F.col("body")), 1, limit)).alias("c", "url"))
     ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy("site").orderBy("order", "c")) - 1)
     return ranked.where(F.col("pos") < limit).select("site", "pos", "url")
 
@@ -116,8 +119,12 @@ COOKIE_FLAGS = ["secure", "httpOnly", "sameSite"]
 
 
 def read_cookies(spark: SparkSession, path: str) -> DataFrame:
-    """Cookies of JSON files, each a list or one cookie a line; a file that is none gives no rows."""
-    rows = spark.read.schema(T._parse_datatype_string(COOKIE)).option("multiLine", True).json(path)
+    """Cookies of JSON files, each a list, one cookie a line, or one cookie over many lines; what is no cookie gives no rows."""
+    text = F.col("value")
+    by_line = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.from_json(x, COOKIE))
+    lines = F.filter(by_line, lambda c: c["name"].isNotNull())
+    some = F.when(text.rlike(r"^[\s\ufeff]*\["), F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, COOKIE))).when(F.size(lines) > 0, lines).otherwise(F.array(F.from_json(text, COOKIE)))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(some).alias("c")).select("c.*")
     return rows.where("name IS NOT NULL AND value IS NOT NULL")
 
 
@@ -152,8 +159,9 @@ def is_html(content_type: Column) -> Column:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifests as rows; a file that is no manifest gives a row of nulls."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """Manifests as rows. A file that is cut off or no manifest gives none, so a crawl that would go on from it starts afresh."""
+    rows = spark.read.schema(MANIFEST + ", _corrupt_record string").option("multiLine", True).json(path)
+    return rows.where("_corrupt_record IS NULL AND version IS NOT NULL").drop("_corrupt_record")
 
 
 def manifest_pages(manifest: DataFrame) -> DataFrame:

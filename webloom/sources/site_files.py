@@ -20,7 +20,7 @@ from webloom import session
 from webloom.functions import fixed
 
 NAME = "site_files"
-MANIFEST_FILE = "_crawl/manifest.json"
+MANIFEST_FILE, SITE_MAP = "_crawl/manifest.json", "index.html"
 
 
 def _inside(path: str) -> str:
@@ -75,6 +75,81 @@ class SiteFiles(DataSource):
         return _Writer(self.options["root"])
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    number: int
+    path: str
+
+
+class _OrderedWriter(DataSourceArrowWriter):
+    """Each task writes its range of lines beside the file; the commit strings the ranges together, a piece at a time, and moves the whole into place."""
+
+    PIECE = 1 << 20
+
+    def __init__(self, root: str, path: str) -> None:
+        self.root, self.path, self.mark = root, _inside(path), uuid.uuid4().hex
+
+    def _place(self, name: str) -> tuple:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(self.root)
+        folder = posixpath.dirname(posixpath.join(top, self.path))
+        system.create_dir(folder, recursive=True)
+        return system, posixpath.join(folder, name)
+
+    def write(self, iterator: Iterator) -> _Part:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        number = task.partitionId()
+        system, part = self._place(f".{self.mark}-{number}-{task.taskAttemptId()}.part")
+        with system.open_output_stream(part) as out:
+            for batch in iterator:
+                out.write("".join(f"{x or ''}\n" for x in batch.column(0).to_pylist()).encode())
+        return _Part(number, part)
+
+    def commit(self, messages: list) -> None:
+        system, whole = self._place(f".{self.mark}-whole.part")
+        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
+        with system.open_output_stream(whole) as out:
+            for part in parts:
+                with system.open_input_stream(part.path) as source:
+                    while piece := source.read(self.PIECE):
+                        out.write(piece)
+        system.move(whole, self._place(posixpath.basename(self.path))[1])
+        self.abort(parts)
+
+    def abort(self, messages: list) -> None:
+        for part in messages:
+            if part is not None:
+                self._place("")[0].delete_file(part.path)
+
+
+class OrderedFile(DataSource):
+    """One text file of lines in the order of the written partitions: ``format("ordered_file")`` with ``root`` and ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ordered_file"
+
+    def schema(self) -> str:
+        return "line string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> _OrderedWriter:
+        return _OrderedWriter(self.options["root"], self.options["path"])
+
+
+def store_lines(lines: DataFrame, root: str, path: str = SITE_MAP) -> None:
+    """Write ``lines`` (place, line) as one file, in order by ``place``; a null line is an empty one.
+
+    Lines are dealt by ranges of their place and each range is written by a task of its own, so no task has them all.
+    """
+    session.ship(lines.sparkSession)
+    lines.sparkSession.dataSource.register(OrderedFile)
+    rows = lines.repartitionByRange("place").sortWithinPartitions("place").select("line")
+    rows.write.format(OrderedFile.name()).option("root", root).option("path", path).mode("append").save()
+
+
 def store(files: DataFrame, root: str) -> None:
     """Write ``files`` (path, content): a text is written as UTF-8.
 
@@ -119,8 +194,8 @@ def discard_snapshots(spark: SparkSession, root: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def store_mirror(root: str, pages: DataFrame, sheets: DataFrame | None = None, assets: DataFrame | None = None, manifest: DataFrame | None = None) -> None:
-    """A mirror's files: rewritten ``pages`` (path, html), ``sheets`` (path, css), ``assets`` (path, content) and one ``manifest`` (value)."""
+def store_mirror(root: str, pages: DataFrame, sheets: DataFrame | None = None, assets: DataFrame | None = None, manifest: DataFrame | None = None, site_map: DataFrame | None = None) -> None:
+    """A mirror's files: rewritten ``pages`` (path, html), ``sheets`` (path, css), ``assets`` (path, content), one ``manifest`` (value) and the ``site_map`` (place, line)."""
     store(pages.select("path", F.col("html").alias("content")), root)
     if sheets is not None:
         store(sheets.select("path", F.col("css").alias("content")), root)
@@ -128,3 +203,5 @@ def store_mirror(root: str, pages: DataFrame, sheets: DataFrame | None = None, a
         store(assets, root)
     if manifest is not None:
         store(manifest.select(F.lit(MANIFEST_FILE).alias("path"), F.col("value").alias("content")), root)
+    if site_map is not None:
+        store_lines(site_map, root)
