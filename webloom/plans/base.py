@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webloom.functions import fixed
 
@@ -28,8 +29,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def each_page(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
+    """Every page's number with each of the rows, which are a fixed list."""
+    return pages(spark, sf_dir).select("page_id").crossJoin(F.broadcast(spark.createDataFrame(rows, schema)))
 
 
 def quoted(v) -> str:
@@ -43,6 +45,11 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)})"
 
 
+def each_page_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    """A common table expression of every page's number with each of the literal rows."""
+    return values(f"{name}_rows", columns, rows) + f", {name} AS (SELECT page_id, {name}_rows.* FROM pages, {name}_rows)"
+
+
 def in_list(names: list[str]) -> str:
     return ", ".join(quoted(n) for n in names)
 

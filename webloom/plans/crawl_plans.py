@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webloom.functions import fixed, html as H, walls
 from webloom.functions.scope import Scope
 from webloom.operators import frontier, report, state
-from webloom.plans.base import pages, query, values
+from webloom.plans.base import each_page, each_page_sql, pages, query, values
 from webloom.sources import feeds
 
 _EDGES = "n AS (SELECT count(*) AS n FROM pages), edges AS (SELECT page_id AS src, (page_id * 3 + k) % n AS dst, k AS pos FROM pages, n, (VALUES (1), (2), (3)) v(k))"
@@ -199,22 +199,24 @@ WALLS = [
     ("empty", "", "", 200, None, None, None),
     ("plain", f"<h1>Hi</h1><p>{_LONG}</p>", "Docs", 200, None, None, None),
 ]
-_WALL_SQL = "WITH " + values("w", "name, html, title, status, kind, vendor, detail", WALLS)
+_WALL_SQL = "WITH " + each_page_sql("w", "name, html, title, status, kind, vendor, detail", WALLS)
 
 
-def _walls(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([w[:4] for w in WALLS], "name string, html string, title string, status int")
+def _walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's number in front of each typed page."""
+    rows = each_page(spark, sf_dir, "name string, html string, title string, status int", [w[:4] for w in WALLS])
+    rows = rows.withColumn("html", F.when(F.col("html") != "", F.concat(F.lit("<i id="), F.col("page_id").cast("string"), F.lit("></i>"), "html")).otherwise(""))
     return rows.withColumn("wall", walls.detect(F.col("html"), F.col("title"), F.col("status")))
 
 
-@query(_WALL_SQL + " SELECT name, kind, vendor, detail, coalesce(kind IN ('interstitial', 'captcha', 'login-wall'), false) AS clearable, 'challenge: ' || vendor || ' ' || kind || ' (' || detail || ')' AS error FROM w")
+@query(_WALL_SQL + " SELECT page_id, name, kind, vendor, detail, coalesce(kind IN ('interstitial', 'captcha', 'login-wall'), false) AS clearable, 'challenge: ' || vendor || ' ' || kind || ' (' || detail || ')' AS error FROM w")
 def wall_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walls(spark).select("name", "wall.*", F.coalesce(walls.human_clearable(F.col("wall.kind")), F.lit(False)).alias("clearable"), walls.as_error(F.col("wall")).alias("error"))
+    return _walls(spark, sf_dir).select("page_id", "name", "wall.*", F.coalesce(walls.human_clearable(F.col("wall.kind")), F.lit(False)).alias("clearable"), walls.as_error(F.col("wall")).alias("error"))
 
 
 @query(_WALL_SQL + " SELECT coalesce(kind, 'page') AS kind, count(*) AS n FROM w GROUP BY 1")
 def wall_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walls(spark).groupBy(F.coalesce("wall.kind", F.lit("page")).alias("kind")).agg(F.count("*").alias("n"))
+    return _walls(spark, sf_dir).groupBy(F.coalesce("wall.kind", F.lit("page")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
