@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET = "assistant"
@@ -23,18 +23,23 @@ EXAMPLE = "conv_id long, example int, is_last boolean, text string, loss_start i
 _ARROW = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("is_last", pa.bool_()), ("text", pa.string()), ("loss_start", pa.int32()), ("loss_length", pa.int32())])
 _READ = "conv_id long, example int, is_last boolean, n_turns long, turns_sha256 string, loss string, formatted_chars long"
 _READ_ARROW = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("is_last", pa.bool_()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss", pa.string()), ("formatted_chars", pa.int64())])
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.S)
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)  # possessive, so no place is kept for each character
 #: Characters of examples that a batch holds, or one example.
 BATCH = 4 << 20
 
 
 def escape(text: str, more: str = "") -> str:
-    return re.sub(rf"([\\<#{more}])", r"\\\1", text)
+    for c in "\\<#" + more:
+        text = text.replace(c, "\\" + c)
+    return text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    # Between doubled backslashes one stands for what follows it; no list of single characters is made.
+    parts = text.split("\\\\")
+    for c in "<#:":
+        parts = [p.replace("\\" + c, c) for p in parts]
+    return "\\".join(parts)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -93,9 +98,13 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """
     row = F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("row"))
-    whole = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    alone = turns.where("conv_id IS NULL").select("conv_id", F.array("row").alias("turns"))
-    return whole.unionByName(alone).mapInArrow(_format, EXAMPLE)
+    whole = turns.groupBy("conv_id", _alone()).agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    return whole.select("conv_id", "turns").mapInArrow(_format, EXAMPLE)
+
+
+def _alone() -> Column:
+    """A number of its own for each row without a conversation, so that it is grouped with no other."""
+    return F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +126,9 @@ def read_back(examples: DataFrame) -> DataFrame:
     read = examples.select("conv_id", "example", "is_last", "text", "loss_start", "loss_length").mapInArrow(_read, _READ)
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
     sums = [F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("formatted_chars").alias("formatted_chars"), F.count("*").alias("n_examples")]
-    whole = read.where("conv_id IS NOT NULL").groupBy("conv_id").agg(*sums)
-    alone = read.where("conv_id IS NULL").select("conv_id", "n_turns", "turns_sha256", "loss", "formatted_chars", F.lit(1).cast("long").alias("n_examples"))
+    whole = read.groupBy("conv_id", _alone()).agg(*sums)
     out = ["conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples"]
-    return whole.unionByName(alone).select(*out)
+    return whole.select(*out)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
