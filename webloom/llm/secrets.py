@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is layer 0. A layer is scanned by the base patterns; then the encoded runs in it (percent escapes,
-Unicode and hex escapes, base64, compressed data inside base64, percent escapes or compressed data) are decoded into new layers, which go on
+Unicode and hex escapes, base64 in one line or over many, compressed data inside base64, percent escapes or compressed data) are decoded into new layers, which go on
 the worklist, until nothing new comes: a layer that was seen before (cycle) is not put on it again.
 Each layer keeps where its characters come from, so what is found in it is mapped back to the text: through escapes
 character by character, through base64 and compression to the encoded run.
@@ -17,6 +17,7 @@ import re
 import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import BinaryIO
 from urllib.parse import unquote_to_bytes
 
@@ -35,10 +36,15 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Between lines of one encoded run, and its last line, whatever its length.
+_LINE_END = re.compile(r"\r?\n[ \t]*")
+_TAIL = re.compile(r"\r?\n[ \t]*((?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
 #: Percent escapes with the characters that need none.
 _QUOTED = re.compile(r"(?<![A-Za-z0-9_.~/-])[A-Za-z0-9_.~/-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*+)++")
 #: Bytes that are inflated and read at a time.
-INFLATE, READ = 8 << 20, 1 << 20
+INFLATE, READ, STEP = 8 << 20, 1 << 20, 4 << 10
+#: Bytes from which on data that break off were packed data, and not bytes that looked like it.
+DAMAGED = 64 << 10
 #: What matches and encoded runs are made of. Data are cut behind another byte, and are no text that matters without 14 such bytes in a
 #: row, the least that a match has. RUN: bytes of a run that is cut anywhere, with an overlap.
 _IN = rb"A-Za-z0-9+/_.=\-\"' :%\\{}&#;~"
@@ -132,31 +138,77 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
 
 
+def _header(raw: bytes) -> tuple[int, int] | None:
+    """Bytes of the head and of the checksum behind gzip or zlib data, or None where none begin."""
+    if raw[:2] == b"\x1f\x8b":
+        if len(raw) < 10 or raw[2] != 8:
+            return None
+        flags, at = raw[3], 10
+        if flags & 4:
+            at += 2 + int.from_bytes(raw[at : at + 2], "little")
+        for bit in (8, 16):  # a name, a comment
+            if flags & bit:
+                at = raw.find(b"\0", at) + 1
+                if not at:
+                    return None
+        return at + (flags & 2), 8
+    return (2, 4) if _packed(raw) and not raw[1] & 32 else None
+
+
+def _pieces(machine, source: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What deflated data from ``at`` on hold, in pieces, each with the place behind what was read for it; ends where they end or break off.
+
+    Checksums don't count, and little is read at a time: what comes before damage is told.
+    """
+    while at < len(source) and not machine.eof:
+        step, at = source[at : at + STEP], at + STEP
+        while step:
+            try:
+                piece = machine.decompress(step, INFLATE)
+            except zlib.error:
+                return
+            step = machine.unconsumed_tail
+            yield piece, min(at, len(source)) - len(step) - len(machine.unused_data)
+            if machine.eof:
+                return
+
+
+def _packed_end(raw: bytes, start: int) -> tuple[int, bool]:
+    """Where packed data that begin at ``start`` end or break off (``start`` if they hold nothing), and whether they are whole."""
+    head = _header(raw[start : start + STEP])
+    if head is None:
+        return start, False
+    machine, end, some = zlib.decompressobj(-15), start, False
+    for piece, at in _pieces(machine, raw, start + head[0]):
+        some = some or bool(piece)
+        end = at
+    return (min(len(raw), end + head[1]), True) if machine.eof else (end if some else start, False)
+
+
 def _inflated(source: BinaryIO) -> Iterator[tuple[bytes, bool]]:
     """What gzip or zlib data hold, member after member, in pieces, and whether a piece begins a member; what follows them is the last."""
-    rest, machine, begins = source.read(READ), zlib.decompressobj(47), True
-    try:
-        while rest or (rest := source.read(READ)):
-            piece = machine.decompress(rest, INFLATE)
-            rest = machine.unconsumed_tail
-            while piece:
-                yield piece, begins
-                # What is still inside comes without more input.
-                begins, piece = False, b"" if machine.eof else machine.decompress(rest, INFLATE)
-                rest = machine.unconsumed_tail
-            if machine.eof:
-                rest = (machine.unused_data or source.read(READ)).lstrip(b"\0")
-                while not rest and (rest := source.read(READ)):
-                    rest = rest.lstrip(b"\0")
-                machine, begins = zlib.decompressobj(47), True
-                if len(rest) < 3:
-                    rest += source.read(READ)
-                if not _packed(rest):
-                    break
-    except zlib.error:
-        pass
-    while begins and rest:  # no further member, so plain
-        yield rest, begins
+    rest = source.read(READ)
+    while rest and (head := _header(rest)):
+        machine, begins, at = zlib.decompressobj(-15), True, head[0]
+        while True:
+            for piece, end in _pieces(machine, rest, at):
+                at = end
+                if piece:
+                    yield piece, begins
+                    begins = False
+            if machine.eof or not (more := source.read(READ)) or at < len(rest):
+                break
+            rest, at = more, 0
+        if not machine.eof:
+            return  # cut off or damaged: nothing tells what follows
+        rest = rest[at:]
+        while len(rest) < head[1] + 18 and (more := source.read(READ)):
+            rest += more
+        rest = rest[head[1] :].lstrip(b"\0")
+        while not rest and (rest := source.read(READ)):
+            rest = rest.lstrip(b"\0")
+    while rest:  # no further member, so plain
+        yield rest, True
         rest = source.read(READ)
 
 
@@ -221,23 +273,41 @@ def _whole(raw: bytes) -> bool:
     """Whether bytes are all text, or packed data from their beginning."""
     try:
         if _packed(raw[:3]):
-            zlib.decompressobj(47).decompress(raw[:512], READ)
-        else:
-            raw.decode()
-    except (zlib.error, UnicodeDecodeError):
+            return _packed_end(raw, 0)[1]
+        raw.decode()
+    except UnicodeDecodeError:
         return False
     return True
 
 
 def _inner(raw: bytes) -> Iterator[str]:
-    """Texts of decoded bytes, and of packed data that begin somewhere in them."""
+    """Texts of decoded bytes, and of packed data that begin somewhere in them; the search goes on behind data that were whole."""
     yield from _texts(raw)
-    for m in _HEADS.finditer(raw, 1):
-        try:
-            zlib.decompressobj(47).decompress(raw[m.start() : m.start() + 512], READ)
-        except zlib.error:
-            continue
-        yield from _texts(raw[m.start() :])
+    at = max(1, _packed_end(raw, 0)[0])
+    while m := _HEADS.search(raw, at):
+        end, whole = _packed_end(raw, m.start())
+        if end > m.start():
+            yield from _texts(raw[m.start() : end])
+        # What breaks off soon only looked like packed data, and what it ran over may hold some.
+        at = end if whole or end - m.start() > DAMAGED else m.start() + 1
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of base64 that goes on over line ends, with the last, shorter line and without it."""
+    begin, parts, stop = 0, [], -1
+    for m in [*_BASE64.finditer(text), None]:
+        if parts and (m is None or parts[-1][-1] == "=" or not _LINE_END.fullmatch(text, stop, m.start())):
+            tail = _TAIL.match(text, stop) if parts[-1][-1] != "=" else None
+            if len(parts) > 1:
+                yield begin, stop, "".join(parts)
+            if tail and len(tail[1]) < len(parts[0]):
+                yield begin, tail.end(1), "".join(parts) + tail[1]
+            parts = []
+        if m is not None:
+            if not parts:
+                begin = m.start()
+            parts.append(m[0])
+            stop = m.end()
 
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
@@ -252,15 +322,16 @@ def _decoded(layer: _Layer) -> Iterator[_Layer]:
                     yield _Layer(inner, [], layer.span(m.start(), m.end()))
     if ("\\" in text or "&#" in text) and (out := _unescaped(layer, _UNICODE, _escape)):
         yield out
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    runs = ((m.start(), m.end(), m[0]) for m in _BASE64.finditer(text))
+    for start, end, run in chain(runs, _wrapped(text) if "\n" in text else ()):
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
         # What is glued on in front (a path, a name) shifts the groups of four characters.
         for ahead in range(4):
             own = body[ahead:]
             own = own[:-1] if len(own) % 4 == 1 else own
             raw = base64.b64decode(own + "=" * (-len(own) % 4))
             for inner in _inner(raw):
-                yield _Layer(inner, [], layer.span(m.start(), m.end()))
+                yield _Layer(inner, [], layer.span(start, end))
             if _whole(raw):
                 break
 
@@ -269,21 +340,25 @@ def scan_layers(text: str) -> list[tuple[int, int, str]]:
     """Base spans of the text and those of its decoded layers, mapped to the text, by start and kind."""
     base = scan(text)
     found, kept = set(base), {k: [(s, e) for s, e, kind in base if kind == k] for k in KINDS}  # of a kind they don't overlap
-    work, seen = [_Layer(text, [(0, 0, -1)], None)], {(text, None)}
+    name = lambda x: (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.whole)
+    # The worklist holds what each layer still has to give, not the layers: one of each depth is in memory.
+    root = _Layer(text, [(0, 0, -1)], None)
+    work, seen = [_decoded(root)], {name(root)}
     while work:
-        layer = work.pop()
-        for inner in _decoded(layer):
-            name = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), inner.whole)
-            if name in seen:
-                continue
-            seen.add(name)
-            work.append(inner)
-            for start, end, kind in scan(inner.text):
-                one = inner.span(start, end)
-                # Escapes leave the rest of a text as it was: what the base has there is not told twice.
-                k = bisect.bisect_right(kept[kind], (one[0], len(text))) - 1
-                if k < 0 or kept[kind][k][1] < one[1]:
-                    found.add((*one, kind))
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        if (own := name(inner)) in seen:
+            continue
+        seen.add(own)
+        work.append(_decoded(inner))
+        for start, end, kind in scan(inner.text):
+            one = inner.span(start, end)
+            # Escapes leave the rest of a text as it was: what the base has there is not told twice.
+            k = bisect.bisect_right(kept[kind], (one[0], len(text))) - 1
+            if k < 0 or kept[kind][k][1] < one[1]:
+                found.add((*one, kind))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
