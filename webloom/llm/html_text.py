@@ -2,10 +2,11 @@
 
 The standard library's parser gives events; block elements cut the page into lines, each with its text, its number
 of tags and the container it stands in. The ratio of text to tags of each line is smoothed by a Gaussian; lines above
-the spread of the smoothed ratios are content. Where an article or main part holds any of them, all articles and main
-parts are the content region, else the innermost container that holds all of them is. So link lists, menus and the like
-outside it go whatever their mark-up calls them. All of the region's lines are given but those in menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, which tags, roles and class words tell.
+the spread of the smoothed ratios are content. Where an article or main part holds any of them, the main part with most of
+them, or else all articles and main parts, are the content region; else the innermost container that holds all of them is, a bar
+of a line or two beside the body's story left out. So link lists, menus, other stories and the like
+outside it go whatever their mark-up calls them, and where no line stands out nothing is given. All of the region's lines are given but
+those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments, which tags, roles and class words tell.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import markup
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Their text is no part of the page.
@@ -29,7 +32,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion "
-    "share sharing social related recommended toolbar widget search pagination pager skip".split()
+    "share sharing social related recommended toolbar widget search pagination pager skip "
+    "werbung anzeige seitenleiste fusszeile brotkrumen hinweis kommentar kommentare leserkommentare teilen verwandt "
+    "publicite annonce barrelaterale ariane avis commentaire commentaires partager reponses "
+    "publicidad anuncio migas aviso comentario comentarios compartir respuestas pie".split()
 )
 #: Words that say where or what kind of box; a name made of these and at least one of the others is such a part, any
 #: other word beside them (``has-sidebar``, ``social-policy``) makes it something else.
@@ -207,32 +213,92 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return [x >= spread and 16 * own >= spread for x, own in zip(smooth, ratios, strict=True)]
 
 
+_TOKEN = re.compile(rf"{markup.COMMENT}|</{markup.NAME}{markup.ATTRS}(?:>|(?P<cut>{markup.END}))|<(?P<name>{markup.NAME}){markup.ATTRS}(?:>|(?P<open>{markup.END}))|(?P<bogus><[!?/][^>]*+(?:>|{markup.END}))", re.A | re.I)
+_CLOSES = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>]|{markup.END})", re.A | re.I) for name in markup.RAW if name != "xmp"}
+
+
+def cleaned(html: str) -> str:
+    """``html`` without comments, declarations, bodies that are never text, and tags that its end cuts off: one pass, whatever is broken.
+
+    What is left takes the parser a time that follows its length.
+    """
+    out, at, look = [], 0, 0
+    while m := _TOKEN.search(html, look):
+        look = m.end()
+        if m["name"] is None:
+            if m["bogus"] is not None or m["cut"] is not None or m[0].startswith("<!"):
+                out.append(html[at : m.start()])
+                at = look
+        elif m["open"] is not None:
+            out.append(html[at : m.start()])
+            at = look
+        elif (close := _CLOSES.get(m["name"].lower())) is not None:
+            end = close.search(html, look)
+            out.append(html[at:look])
+            at = look = end.start() if end else len(html)
+    out.append(html[at:])
+    return "".join(out)
+
+
 def main_text(html: str) -> str:
-    """The blocks of the content region, joined by one line end."""
+    """The blocks of the content region, joined by one line end; empty where no line stands out."""
     page = _Events()
-    page.feed(html)
+    page.feed(cleaned(html))
     page.close()
     page.cut()
-    lines = page.lines
-    if not any(shown for *_, shown in lines):
-        return ""
-    marks = content_lines([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    content = {around for (*_, around, shown), mark in zip(lines, marks, strict=True) if shown and mark}
-    content = content or {around for *_, around, shown in lines if shown}
-    # Of every container whether it lies in an article or main part; parents have smaller numbers.
-    named: list[bool] = []
-    for kind, parent in zip(page.kinds, page.parents, strict=True):
-        named.append(kind in ("article", "main") or (parent >= 0 and named[parent]))
-    if any(around >= 0 and named[around] for around in content):
-        inside = named
-    else:
-        home = _innermost(page.parents, content)
-        if home < 0:
-            return "\n".join(text for text, _, _, shown in lines if shown)
-        inside = []
-        for k, parent in enumerate(page.parents):
-            inside.append(k == home or (parent >= 0 and inside[parent]))
-    return "\n".join(text for text, _, around, shown in lines if shown and around >= 0 and inside[around])
+    shown = [line for line in page.lines if line[3]]
+    ratio = lambda line: len(line[0]) / max(1, line[1])
+    marks = content_lines([ratio(line) for line in page.lines])
+    content = [(line[2], len(line[0])) for line, mark in zip(page.lines, marks, strict=True) if line[3] and mark]
+    if not content:  # what stands out is no part of the article: the others are held against one another
+        content = [(line[2], len(line[0])) for line, mark in zip(shown, content_lines([ratio(line) for line in shown]), strict=True) if mark]
+    inside = _region(page, content)
+    return "\n".join(text for text, _, around, _ in shown if inside(around))
+
+
+def _within(page: _Events, start) -> list[bool]:
+    """Of each container whether it or one around it is of a kind; parents have smaller numbers."""
+    out: list[bool] = []
+    for k, parent in enumerate(page.parents):
+        out.append(start(k) or (parent >= 0 and out[parent]))
+    return out
+
+
+def _region(page: _Events, content: list[tuple[int, int]]):
+    """Whether a container belongs to the region of the content lines (container, characters)."""
+    if not content:
+        return lambda around: False
+    total = lambda held: sum(n for k, n in content if k >= 0 and held[k])
+    main = _within(page, lambda k: page.kinds[k] == "main")
+    named = _within(page, lambda k: page.kinds[k] in ("article", "main"))
+    if total(named):
+        # Articles beside a main part with most of the content are other stories.
+        held = main if 2 * total(main) > total(named) else named
+        return lambda around: around >= 0 and held[around]
+    home = _innermost(page.parents, {k for k, _ in content})
+    if home < 0 or page.kinds[home] == "body":
+        home = _story(page, content, home)
+    if home < 0:
+        return lambda around: True
+    held = _within(page, lambda k: k == home)
+    return lambda around: around >= 0 and held[around]
+
+
+def _story(page: _Events, content: list[tuple[int, int]], home: int) -> int:
+    """The part of a page's body that has its story, where all else that stands out is a line or two of a bar; ``home`` where there is none."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for k, n in content:
+        top = k
+        while top != home and top >= 0 and page.parents[top] != home:
+            top = page.parents[top]
+        if top in (home, -1):
+            return home  # the body has lines of its own
+        by.setdefault(top, []).append((k, n))
+    size = {top: sum(n for _, n in rows) for top, rows in by.items()}
+    best = max(size, key=size.get)
+    if 4 * size[best] < 3 * sum(size.values()) or any(len(rows) > 2 for top, rows in by.items() if top != best):
+        return home
+    return _innermost(page.parents, {k for k, _ in by[best]})
 
 
 def _innermost(parents: list[int], content: set[int]) -> int:
