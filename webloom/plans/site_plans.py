@@ -9,7 +9,7 @@ from webloom import session
 from webloom.functions import url as U
 from webloom.operators import links as L, report, state
 from webloom.plans.base import pages, query, sql_canonical
-from webloom.sources import site_files
+from webloom.sources import archives, site_files
 
 _KEYS = f"src AS (SELECT page_id, url AS raw, NULL AS base, html FROM pages), {sql_canonical('page', 'src')}, first AS (SELECT key, arg_min(fetch_url, page_id) AS url, arg_min(html, page_id) AS html FROM page WHERE key IS NOT NULL GROUP BY key)"
 
@@ -96,3 +96,12 @@ def sitemaps_named_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<urlset>"), loc(0, ""), loc(1, "?a=1&amp;b=2"), loc(2, ""), F.lit("</urlset>"))
     maps = pages(spark, sf_dir).select((i % 9).alias("site"), i.alias("seq"), F.concat(F.lit("https://s/"), name).alias("url"), body.alias("body"))
     return feeds.sitemap_urls(maps, 20)
+
+
+@query(f"WITH {_KEYS}, i AS (SELECT key, min(page_id) AS i FROM page WHERE key IS NOT NULL GROUP BY key) SELECT key, length(html) AS n_chars, sha256(html) AS html_sha256 FROM first JOIN i USING (key) WHERE i % 3 = 1")
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, stored as a fetcher's archives; those with one status are read back, by a filter that the archives apply."""
+    got, root = _first(spark, sf_dir), session.place(spark, "archives")
+    archives.store_pages(got.withColumn("status", F.col("page_id") % 3), root)
+    back = archives.fetched(spark, columns=["key", "html", "status"], root=root).where("status = 1")
+    return back.select("key", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("html_sha256"))

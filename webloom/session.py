@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds that a table takes to write from which on the driver collects its garbage: smaller ones leave few shuffle files.
-COLLECT_AFTER = 1.0
+COLLECT_AFTER = 0.3
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 _paths: dict[int, tuple] = {}
