@@ -43,11 +43,11 @@ def page_successes(refs: DataFrame, outcomes: DataFrame) -> DataFrame:
     others are joined. An asset without an outcome was not stored.
     """
     each = refs.groupBy("page_id", "key").agg(F.count("*").alias("n"))
-    asked = session.materialise(each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("pages")), "asked")
+    asked = session.materialise(each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("pages")), "asked", tidy=False)
     bound = asked.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0] / HEAVY
     ok = outcomes.groupBy("key").agg(F.min(F.coalesce("error", F.lit("")) == "").alias("ok"))
     told = asked.join(ok, "key", "left").select("key", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("pages") > bound)
-    told = session.materialise(told.toDF("key", "ok", "heavy"), "told")
+    told = session.materialise(told.toDF("key", "ok", "heavy"), "told", tidy=False)
     heavy = F.broadcast(told.where("heavy").select("key", "ok"))  # fewer than HEAVY rows
     near = each.join(heavy, "key")
     rest = each.join(heavy.select("key"), "key", "left_anti").join(told.where("NOT heavy").select("key", "ok"), "key")
@@ -80,13 +80,13 @@ def page_sheets(pages: DataFrame, sheets: DataFrame, scope: Scope | None = None)
     most = (scope or Scope()).css_depth
     html = F.coalesce("html", F.lit(""))
     starts = pages.select("page_id", F.explode_outer(_starts(html, F.col("url"))).alias("s")).where("s.key IS NOT NULL")
-    starts = session.materialise(starts.groupBy("page_id", F.col("s.key").alias("start")).agg(F.min("s.depth").alias("depth")), "starts")
-    edges = session.materialise(_sheet_edges(sheets), "sheet-links")
+    starts = session.materialise(starts.groupBy("page_id", F.col("s.key").alias("start")).agg(F.min("s.depth").alias("depth")), "starts", tidy=False)
+    edges = session.materialise(_sheet_edges(sheets), "sheet-links", tidy=False)
     step = starts.select(F.col("start").alias("src"), F.col("start").alias("dst"), F.lit(0).alias("steps")).distinct()
-    reach = step = session.materialise(step, "reach")
+    reach = step = session.materialise(step, "reach", tidy=False)
     for k in range(1, most + 1):
         further = step.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
-        step = session.materialise(further.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(k)), "reach")
+        step = session.materialise(further.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(k)), "reach", tidy=False)
         reach = reach.unionByName(step)
     all_ = starts.join(reach, F.col("start") == F.col("src")).select("page_id", F.col("dst").alias("key"), (F.col("depth") + F.col("steps")).alias("depth"))
     return all_.where(F.col("depth") <= most).groupBy("page_id", "key").agg(F.min("depth").alias("depth"))

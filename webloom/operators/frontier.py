@@ -56,7 +56,7 @@ def number(rows: DataFrame, order: list[str]) -> DataFrame:
 
     Numbers are given without a single task: rows are dealt by range, and each range needs how many rows lie before it.
     """
-    dealt = session.materialise(_dealt(rows, order), "numbered")
+    dealt = session.materialise(_dealt(rows, order), "numbered", tidy=False)
     return _placed(dealt, _ranges(dealt))
 
 

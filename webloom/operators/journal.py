@@ -95,5 +95,5 @@ class Unkept:
     """Steps of a job that isn't to be found again: tables of this session."""
 
     def step(self, name: str, make: Callable[[], DataFrame], learn: Callable[[DataFrame], Facts] | None = None) -> tuple[DataFrame, Facts]:
-        df = session.materialise(make(), name)
+        df = session.materialise(make(), name, tidy=False)
         return df, learn(df) if learn else {}

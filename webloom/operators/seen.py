@@ -58,7 +58,7 @@ class Seen:
         bits = new.select(self._word().alias("word"), self._mask().alias("bits"))
         if self.words is not None:
             bits = bits.unionByName(self.words)
-        before, self.words = self.words, session.materialise(bits.groupBy("word").agg(F.bit_or("bits").alias("bits")), "seen-words")
+        before, self.words = self.words, session.materialise(bits.groupBy("word").agg(F.bit_or("bits").alias("bits")), "seen-words", tidy=False)
         if before is not None:
             session.drop(before)
         self.recent, self.waiting = [], 0
@@ -72,7 +72,7 @@ class Seen:
             return candidates
         mask = self._mask()
         held = candidates.withColumn("_word", self._word()).join(F.broadcast(self.words.select(F.col("word").alias("_word"), "bits")), "_word", "left")  # WORDS rows at most
-        told = session.materialise(held.select(*names, (F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(mask) == mask).alias("_maybe")), "candidates")
+        told = session.materialise(held.select(*names, (F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(mask) == mask).alias("_maybe")), "candidates", tidy=False)
         maybe = told.where("_maybe").select(*names)
         touched = [r[0] for r in maybe.select(self._bucket().alias("b")).distinct().collect()]  # BUCKETS rows at most
         known = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("bucket").isin(touched)).select("key")

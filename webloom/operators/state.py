@@ -52,17 +52,19 @@ def throttle_schedule(log: DataFrame, order: list[str], delay: float = 0.4) -> D
     those few rows are folded by host.
     """
     gap = F.lit(float(max(SHORTEST_GAP, delay)))
-    dealt = session.materialise(log.repartitionByRange("host", *order).withColumn("_part", F.spark_partition_id()), "requests")
-    w = Window.partitionBy("host", "_part").orderBy(*order)
-    numbered = dealt.withColumn("_k", F.row_number().over(w) - 1)
-    parts = numbered.groupBy("host", "_part").agg(F.count("*").alias("_n"), F.max(F.col("at") - F.col("_k") * gap).alias("_most"))
+    at = F.monotonically_increasing_id()  # the range above, the place in it below
+    place, part = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long")), F.shiftright("_at", 33).cast("int")
+    dealt = session.materialise(log.repartitionByRange("host", *order).sortWithinPartitions("host", *order).withColumn("_at", at), "requests", tidy=False)
+    dealt = dealt.withColumn("_place", place).withColumn("_part", part)
+    parts = dealt.groupBy("host", "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_low"), F.max(F.col("at") - F.col("_place") * gap).alias("_most"))
+    parts = parts.withColumn("_most", F.col("_most") + F.col("_low") * gap)
     by_part = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(by_part), F.lit(0)))
-    parts = parts.withColumn("_floor", F.max(F.col("_most") - F.col("_before") * gap).over(by_part)).select("host", "_part", "_before", "_floor")
+    parts = parts.withColumn("_floor", F.max(F.col("_most") - F.col("_before") * gap).over(by_part)).select("host", "_part", "_low", "_before", "_floor")
     # A piece has one row here, so a host's rows meet it by piece.
-    whole = numbered.join(parts, ["host", "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
-    run = F.max(F.col("at") - F.col("_k") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return whole.withColumn("due", F.greatest(run, F.col("_floor")) + F.col("_k") * gap).drop("_k", "_part", "_before", "_floor")
+    whole = dealt.join(parts, ["host", "_part"]).withColumn("_k", F.col("_place") - F.col("_low") + F.col("_before"))
+    run = F.max(F.col("at") - F.col("_k") * gap).over(Window.partitionBy("host", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return whole.withColumn("due", F.greatest(run, F.col("_floor")) + F.col("_k") * gap).drop("_k", "_at", "_place", "_part", "_low", "_before", "_floor")
 
 
 #: The most walls that a fetch has cleared for it.
@@ -136,7 +138,7 @@ def adopted_sessions(fetches: DataFrame, cleared: DataFrame) -> DataFrame:
     rows = fetches.select("site", "at", "seq", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_left"), F.struct(*columns).alias("_row"))
     walls = cleared.select("site", "at", "seq", F.lit(0).alias("_kind"), F.col("session").cast("string").alias("_left"))
     both = rows.unionByName(walls, allowMissingColumns=True).repartitionByRange("site", "at", "seq", "_kind").withColumn("_part", F.spark_partition_id())
-    both = session.materialise(both, "sessions")
+    both = session.materialise(both, "sessions", tidy=False)
     run = Window.partitionBy("site", "_part").orderBy("at", "seq", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     here = both.withColumn("_n", F.count_if(F.col("_kind") == 0).over(run)).withColumn("_last", F.last("_left", ignorenulls=True).over(run))
     parts = both.where("_kind = 0").groupBy("site", "_part").agg(F.count("*").alias("n"), F.max_by("_left", F.when(F.col("_left").isNotNull(), F.struct("at", "seq"))).alias("last"))

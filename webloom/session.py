@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 import weakref
 import zipfile
@@ -13,8 +12,6 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds that a table takes to write from which on the driver collects its garbage: smaller ones leave few shuffle files.
-COLLECT_AFTER = 0.3
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 _paths: dict[int, tuple] = {}
@@ -68,16 +65,18 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage; the files outlive any executor."""
+def materialise(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage; the files outlive any executor.
+
+    ``tidy`` has the driver collect its garbage, so that shuffle files which nothing needs any more go; small tables leave few.
+    """
     spark = df.sparkSession
     path, schema = place(spark, name), df.schema
-    began = time.monotonic()
     df.write.parquet(path)
     del df
-    if time.monotonic() - began > COLLECT_AFTER:
+    if tidy:
         gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing needs any more
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
