@@ -124,7 +124,8 @@ def summary(mirror: Mirror, fetched: DataFrame, assets: DataFrame | None = None,
         top = report.throttled_hosts(multipliers)
         hosts = top.agg(F.array_sort(F.collect_list(F.struct("host", "multiplier"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["multiplier"].alias("multiplier"), x["host"].alias("host"))).alias("throttled"))
     out = one
-    for part in (walled, solved, report.asset_totals(stored).withColumnRenamed("n", "assets").withColumnRenamed("total_bytes", "asset_bytes"), left, hosts, failures, met):
+    kept = report.asset_totals(stored).select(F.col("n").alias("assets"), F.col("total_bytes").cast("long").alias("asset_bytes"))  # what is on disks fits a long
+    for part in (walled, solved, kept, left, hosts, failures, met):
         out = out.crossJoin(part)  # single rows
     return out
 

@@ -35,7 +35,9 @@ def summary(crawled: DataFrame) -> DataFrame:
 
 
 def asset_totals(assets: DataFrame) -> DataFrame:
-    return assets.agg(F.count_if(F.col("error").isNull()).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
+    """One row over assets (size, error): those without an error, and the bytes of all, a decimal(38, 0) since longs may add up to more than a long."""
+    total = F.coalesce(F.sum(F.col("size").cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
+    return assets.agg(F.count_if(F.col("error").isNull()).alias("n"), total.alias("total_bytes"))
 
 
 def stats(crawled: DataFrame, assets: DataFrame, pending: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import session
 from webloom.functions import fixed, html as H, walls
 from webloom.functions.scope import Scope
 from webloom.operators import frontier, report, state
@@ -281,7 +282,10 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SIZES} SELECT count(*) FILTER (id % 3 <> 0) AS n, CAST(sum(n) AS BIGINT) AS total_bytes FROM z")
 def asset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.asset_totals(_sizes(spark, sf_dir).select(F.col("n").alias("size"), F.when(F.col("id") % 3 == 0, "HTTP 404").alias("error")))
+    """Assets without an error and the bytes of all: a long, or the exact decimal where no long holds them, for which the SQL has no result."""
+    totals = session.keep(report.asset_totals(_sizes(spark, sf_dir).select(F.col("n").alias("size"), F.when(F.col("id") % 3 == 0, "HTTP 404").alias("error"))))
+    within = F.col("total_bytes").between(-(1 << 63), (1 << 63) - 1)
+    return totals.select("n", F.col("total_bytes").cast("long").alias("total_bytes")) if totals.select(within).first()[0] else totals
 
 
 @query(
