@@ -136,12 +136,23 @@ def strip_integrity(html: Column) -> Column:
     return out
 
 
+def one_decimal(n: Column, unit: float) -> Column:
+    """A whole number that isn't negative, in units of a power of two, with one decimal; only what stands halfway exactly goes to the even digit.
+
+    ``format_string`` would round it up, as the shortest digits of a double read. What is behind the point, times ten, is exact.
+    """
+    x = n.cast("double") / unit
+    whole = F.floor(x)
+    tenths = F.rint((x - whole) * 10).cast("long")
+    return F.concat((whole + F.when(tenths == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_bytes(n: Column) -> Column:
     """A size in steps of 1,024; whole bytes, else one decimal."""
-    out = F.when(n < 1024, F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B")))
+    out = F.when(n < 1024, F.concat(F.rint(n.cast("double")).cast("long").cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 2):
-        out = out.when(n < 1024.0**k, F.concat(F.format_string("%.1f", n / 1024.0 ** (k - 1)), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.1f", n / 1024.0**5), F.lit(" PB")))
+        out = out.when(n < 1024.0**k, F.concat(one_decimal(n, 1024.0 ** (k - 1)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(one_decimal(n, 1024.0**5), F.lit(" PB")))
 
 
 def base_url(html: Column, page_url: Column) -> Column:

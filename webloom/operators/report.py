@@ -138,7 +138,7 @@ def local_time(at: Column) -> Column:
 
 
 def megabytes(n: Column) -> Column:
-    return F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit(" MB"))
+    return F.concat(H.one_decimal(n, float(1 << 20)), F.lit(" MB"))
 
 
 def start_page(crawled: DataFrame, starts: DataFrame) -> DataFrame:
