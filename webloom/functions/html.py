@@ -17,6 +17,9 @@ _PIECE = r"&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|&[A-Za
 #: The named references of HTML as one text, to be looked up in.
 _NAMED = "".join(f"\x01{name}\x02{char}" for name, char in entities.html5.items()) + "\x01"
 
+#: The commonest references, in the order in which they are replaced.
+_COMMON = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+
 
 def tags(html: Column, names: list[str] | None = None) -> Column:
     """All start tags, or those of some elements, in document order; comments and bodies that are no markup (``markup.RAW``) are passed over."""
@@ -85,6 +88,17 @@ def title(html: Column) -> Column:
     return unescape(strip(F.regexp_extract(html, rf"(?i)<title(?=[ \t\n\f\r/>])[^>]*+>([\s\S]*?)(?:</title(?=[ \t\n\f\r/>])|{markup.END})", 1)))
 
 
+def written_title(html: Column) -> Column:
+    """The first title that is closed, as it is written but for white space around it and the commonest references, which end in a semicolon.
+
+    ``title`` reads more of it as browsers do: all references, those without a semicolon too, and a title that the page's end cuts off.
+    """
+    text = strip(F.regexp_extract(html, r"(?is)\A(?>.*?<title)[^>]*+>(.*?)</title>", 1))
+    for name, char in _COMMON:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def visible_text(html: Column, limit: int = fixed.SCANNED) -> Column:
     """The text of a page's first ``limit`` characters, in lower case, white space squeezed."""
     cut = F.regexp_replace(F.substring(html, 1, limit), r"(?is)<(script|style|noscript|template)\b.*?</\1>", " ")
