@@ -28,6 +28,8 @@ _REFRESH = re.compile(fixed.META_REFRESH, re.I)
 _INLINE = ("data:", "blob:", "about:", "#")
 _NO_PAGE = ("#", "javascript:", "mailto:", "tel:", "sms:", "data:")
 NAV_ID = "webloom-nav"
+#: Characters of rewritten texts that a task holds before it hands them on.
+HELD = 4 << 20
 _PAGE, _ASSET, _SETS = set(fixed.PAGE_ATTRS), set(fixed.ASSET_ATTRS), set(fixed.SRCSET_ATTRS)
 
 
@@ -159,16 +161,36 @@ class _Page:
         return "".join(out)
 
 
+def _singly(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one at a time: of a batch only one page's text and references are Python objects, however many rows it has."""
+    for batch in batches:
+        columns = batch.columns
+        for k in range(batch.num_rows):
+            yield tuple(column[k].as_py() for column in columns)
+        del batch, columns  # before the next one is read
+
+
+def _packed(rows: Iterator[tuple], schema: pa.Schema, text: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that end once the texts in column ``text`` pass ``HELD``."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text])
+        if size > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _rewrite(nav: bool):
+    def one(page_id: int, url: str, home: str, html: str | None, refs: list[dict] | None) -> tuple:
+        page = _Page({r["raw"]: (r["absolute"], r["page"], r["asset"]) for r in refs or ()}, home, url, nav)
+        return page_id, page.rewrite(html or ""), page.n_local, page.n_remote
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, home, html, refs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                page = _Page({r["raw"]: (r["absolute"], r["page"], r["asset"]) for r in refs or ()}, home, url, nav)
-                rows.append((page_id, page.rewrite(html or ""), page.n_local, page.n_remote))
-            if rows:
-                ids, html, local, remote = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(html, pa.string()), pa.array(local, pa.int64()), pa.array(remote, pa.int64())], names=["page_id", "html", "n_local", "n_remote"])
+        schema = pa.schema([("page_id", pa.int64()), ("html", pa.string()), ("n_local", pa.int64()), ("n_remote", pa.int64())])
+        return _packed((one(*row) for row in _singly(batches)), schema, 1)
 
     return run
 
@@ -184,9 +206,10 @@ def _located(refs: DataFrame, captured: DataFrame | None, assets: DataFrame | No
 
 
 def _rewrite_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [_Page({r["raw"]: (r["absolute"], None, r["asset"]) for r in refs or ()}, "", "", False)._css(css or "") for css, refs in zip(*(batch.column(k).to_pylist() for k in ("css", "refs")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("path"), pa.array(out, pa.string())], names=["key", "path", "css"])
+    def one(key: str, path: str, css: str | None, refs: list[dict] | None) -> tuple:
+        return key, path, _Page({r["raw"]: (r["absolute"], None, r["asset"]) for r in refs or ()}, "", "", False)._css(css or "")
+
+    return _packed((one(*row) for row in _singly(batches)), pa.schema([(name, pa.string()) for name in ("key", "path", "css")]), 2)
 
 
 def rewrite_sheets(sheets: DataFrame, assets: DataFrame) -> DataFrame:
