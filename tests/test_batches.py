@@ -41,3 +41,23 @@ def test_sheets_one_at_a_time():
     assert [k for b in out for k in b.column("key").to_pylist()] == names * 2
     assert [c for b in out for c in b.column("css").to_pylist()] == (['p{background:url("a1-%d.png")}' % i for i in range(n - 1)] + [""]) * 2
     assert peak < 10
+
+
+def test_many_batches_take_no_more_than_few():
+    n = 600
+    refs = [[{"raw": f"/a{k}-{i}", "absolute": f"http://h/a{k}-{i}", "page": None, "asset": None} for k in range(60)] for i in range(n)]
+    html = ["<body><a href=/a1-%d>x</a>" % i + "y" * 8000 for i in range(n)]
+    columns = [pa.array(range(n), pa.int64()), pa.array(["http://h/"] * n), pa.array(["index.html"] * n), pa.array(html), pa.array(refs, pa.list_(REF))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "home", "html", "refs"])
+    del refs, html, columns
+
+    def peak(times: int) -> float:
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in rewrite._rewrite(True)(iter([batch] * times)))  # taken as Spark does, none kept
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert rows == n * times
+        return most
+
+    few, many = peak(2), peak(6)
+    assert many < few + 1 and many < 10
